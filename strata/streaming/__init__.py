@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of this engine is a batch operator.
+
+Tables are refreshed by full, atomic replacement (see ``strata.sources.write``),
+so there is no stream, watermark or state to keep.
+"""
