@@ -4,9 +4,10 @@ Scale notes
 -----------
 * Edges are an exploded projection of the processes, no per-asset calls.
 * Traversal is breadth first. A level joins the frontier (one row per node) with the
-  edges, drops nodes seen before and deduplicates map-side; a hub with a third of the
-  edges is split by the adaptive skew join. Each level is checkpointed, so lost
-  executors cost one level and the plan does not grow with the depth.
+  edges, deduplicates map-side and drops nodes seen before. The frontier is counted: a
+  small one is broadcast, so the edges are only scanned; with a large one the adaptive
+  skew join splits a hub that holds a third of the edges. Each level is checkpointed, so
+  lost executors cost one level and the plan does not grow with the depth.
 """
 
 from __future__ import annotations
@@ -75,11 +76,15 @@ def gold_processes(profiles: DataFrame, cluster: str, as_of: str, engine: str =
     return made.where(F.size("inputs") > 0)
 
 
-def edges(processes: DataFrame) -> DataFrame:
-    """Directed edges input -> process -> output."""
+def edges(processes: DataFrame, unique: bool = True) -> DataFrame:
+    """Directed edges input -> process -> output.
+
+    Traversal tolerates repeated edges, so ``unique=False`` saves it a shuffle of all edges.
+    """
     into = processes.select(F.explode("inputs").alias("src"), F.col("qualified_name").alias("dst"))
     out = processes.select(F.col("qualified_name").alias("src"), F.explode("outputs").alias("dst"))
-    return into.unionByName(out).distinct()
+    both = into.unionByName(out)
+    return both.distinct() if unique else both
 
 
 def dataset_edges(processes: DataFrame) -> DataFrame:
@@ -103,21 +108,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+# A frontier of at most this many nodes is broadcast: a few megabytes of names.
+BROADCAST_NODES = 50_000
+
+
+def _sized(nodes: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(nodes) if count <= BROADCAST_NODES else nodes
+
+
 def _reach(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` steps along src -> dst, with their smallest depth; the start has depth 0."""
-    visited = start.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier = visited
+    frontier = start.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    visited, found = frontier, frontier.count()
+    seen = found
     for level in range(1, depth + 1):
-        step = graph.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"))
-        frontier = (
-            step.distinct()
-            .join(visited.select("node"), "node", "left_anti")
-            .withColumn("depth", F.lit(level))
-            .checkpoint()
-        )
-        if frontier.isEmpty():
+        sources = _sized(frontier.select(F.col("node").alias("src")), found)
+        step = graph.join(sources, "src").select(F.col("dst").alias("node")).distinct()
+        known = _sized(visited.select("node"), seen)
+        frontier = step.join(known, "node", "left_anti").withColumn("depth", F.lit(level)).checkpoint()
+        found = frontier.count()
+        if found == 0:
             break
-        visited = visited.unionByName(frontier)
+        visited, seen = visited.unionByName(frontier), seen + found
     return visited
 
 

@@ -6,8 +6,9 @@ Scale notes
   aggregate scans a single column (the columns of a table are read once in total),
   combines equal values before its shuffle, so a hot value costs one row per task, and
   needs no ``Expand`` of rows x columns, which one wide aggregate of several distinct
-  counts would get. Profile tables that are written, not long plans: a derived frame
-  would be recomputed per column.
+  counts would get.
+* ``plan="once"`` is for frames that are not stored: it evaluates the frame a single time,
+  turns each row into (column, value) pairs and counts equal pairs before the shuffle.
 * The gate needs no distinct counts, so it is a single pass with one row per task
   shuffled.
 """
@@ -18,12 +19,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DataType, MapType
+from pyspark.sql.types import DataType, DoubleType, FloatType, MapType, StructField, TimestampType
 
 from strata.functions.numbers import gate_status
 from strata.functions.predicates import is_blank
 
 DISTINCT_MODES = ("exact", "approx", "text")
+PLANS = ("per_column", "once")
 
 
 def _countable(name: str, data_type: DataType) -> Column:
@@ -40,13 +42,13 @@ def _distinct(name: str, data_type: DataType, mode: str) -> Column:
     return F.count_distinct(column)
 
 
-def _stats(table_name: str, position: int, name: str, data_type: DataType) -> list[Column]:
+def _stats(table_name: str, position: Column, name: Column, data_type: Column) -> list[Column | str]:
     complete = (F.col("row_count") - F.col("null_count")) / F.col("row_count") * 100
     return [
         F.lit(table_name).alias("table_name"),
-        F.lit(position).alias("position"),
-        F.lit(name).alias("column_name"),
-        F.lit(str(data_type)).alias("data_type"),
+        position.alias("position"),
+        name.alias("column_name"),
+        data_type.alias("data_type"),
         "row_count",
         "null_count",
         F.round(F.col("null_count") / F.col("row_count") * 100, 2).alias("null_pct"),
@@ -55,16 +57,24 @@ def _stats(table_name: str, position: int, name: str, data_type: DataType) -> li
     ]
 
 
-def profile_columns(df: DataFrame, table_name: str, distinct: str = "exact") -> DataFrame:
+def profile_columns(
+    df: DataFrame, table_name: str, distinct: str = "exact", plan: str = "per_column"
+) -> DataFrame:
     """One row per column: blanks, distinct values and completeness; no rows for an empty table.
 
     ``distinct`` is ``exact`` (NULL is no value), ``approx`` (one pass over all columns,
     HyperLogLog) or ``text`` (values as untrimmed text, NULL and '' are one value).
+    ``plan`` is ``per_column`` for stored tables and ``once`` for frames that are costly to
+    evaluate; both give the same rows.
     """
     if distinct not in DISTINCT_MODES:
         raise ValueError(f"distinct must be one of {DISTINCT_MODES}")
+    if plan not in PLANS:
+        raise ValueError(f"plan must be one of {PLANS}")
     if distinct == "approx":
         return _profile_one_pass(df, table_name)
+    if plan == "once":
+        return _profile_pairs(df, table_name, distinct)
     parts = [
         df.agg(
             F.count(F.lit(1)).alias("row_count"),
@@ -72,12 +82,49 @@ def profile_columns(df: DataFrame, table_name: str, distinct: str = "exact") ->
             _distinct(f.name, f.dataType, distinct).alias("distinct_count"),
         )
         .where("row_count > 0")
-        .select(*_stats(table_name, i, f.name, f.dataType))
+        .select(*_stats(table_name, F.lit(i), F.lit(f.name), F.lit(str(f.dataType))))
         for i, f in enumerate(df.schema)
     ]
     return reduce(DataFrame.union, parts)
 
 
+def _value_text(field: StructField) -> Column:
+    """Text that is equal exactly when the values are: one zero, instants free of the time zone."""
+    column = _countable(field.name, field.dataType)
+    if isinstance(field.dataType, (DoubleType, FloatType)):
+        column = column + F.lit(0.0).cast(field.dataType)
+    elif isinstance(field.dataType, TimestampType):
+        column = F.unix_micros(column)
+    return column.cast("string")
+
+
+def _profile_pairs(df: DataFrame, table_name: str, distinct: str) -> DataFrame:
+    fields = list(enumerate(df.schema))
+    value = lambda f: F.coalesce(_value_text(f), F.lit("")) if distinct == "text" else _value_text(f)
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("position"),
+                value(f).alias("value"),
+                is_blank(f"`{f.name}`", f.dataType).cast("int").alias("blank"),
+            )
+            for i, f in fields
+        ]
+    )
+    values = (
+        df.select(F.inline(pairs))
+        .groupBy("position", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("blank").alias("blanks"))
+    )
+    counted = values.groupBy("position").agg(
+        F.sum("n").alias("row_count"), F.sum("blanks").alias("null_count"), F.count("value").alias("distinct_count")
+    )
+    name_of = F.create_map(*[F.lit(x) for i, f in fields for x in (i, f.name)])
+    type_of = F.create_map(*[F.lit(x) for i, f in fields for x in (i, str(f.dataType))])
+    position = F.col("position")
+    return counted.select(*_stats(table_name, position, name_of[position], type_of[position]))
+
+
 def _profile_one_pass(df: DataFrame, table_name: str) -> DataFrame:
     fields = list(enumerate(df.schema))
     counts = df.agg(
@@ -193,6 +240,7 @@ def profile_with_provenance(
     source_status: str | None,
     steps: Sequence[str],
     sources: Sequence[str],
+    plan: str = "per_column",
 ) -> DataFrame:
     """Profile of a refined table together with the gate of its sources and how it was made."""
     quality = F.struct(
@@ -203,7 +251,7 @@ def profile_with_provenance(
     )
     texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
     return table_profile(
-        profile_columns(df, table_name),
+        profile_columns(df, table_name, plan=plan),
         quality=quality,
         transformations=texts(steps),
         sources=texts(sources),

@@ -190,8 +190,6 @@ def pass_rate(spark, sf_dir):
     _sql(
         """SELECT qualified_name, name, row_count FROM assets
            WHERE type_name = 'dataset' AND list_contains(classifications, 'PII')
-             AND (lower(name) LIKE '%src1%' OR lower(qualified_name) LIKE '%src1%' OR lower(description) LIKE '%src1%'
-                  OR lower(qualified_name) LIKE '%doc_1%')
              AND (lower(name) LIKE '%doc_1%' OR lower(qualified_name) LIKE '%doc_1%' OR lower(description) LIKE '%doc_1%')
            ORDER BY qualified_name"""
     )
@@ -683,7 +681,7 @@ def catalog_silver(spark, sf_dir):
     profiles = reduce(
         DataFrame.unionByName,
         [
-            profile.profile_with_provenance(df, t, *gates[t], ["DEDUP"], sources).withColumn(
+            profile.profile_with_provenance(df, t, *gates[t], ["DEDUP"], sources, plan="once").withColumn(
                 "written", F.lit(gates[t][1] != "REJECT")
             )
             for t, (df, sources) in frames.items()

@@ -106,6 +106,17 @@ NOTES = """(SELECT doc_id, source, CASE lang WHEN 'de' THEN NULL WHEN 'fr' THEN
 NOTE_COLUMNS = [("doc_id", "LongType()", False), ("source", "StringType()", True), ("note", "StringType()", True)]
 
 
+@query(profile_sql("silver_customer", [*COLUMNS["customer"], ("n_name", "StringType()", True)],
+                   "(SELECT customer.*, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey > 0)"))
+def profile_derived(spark, sf_dir):
+    """A joined frame that is not stored, profiled in a single evaluation."""
+    nation = table(spark, sf_dir, "nation").where("n_regionkey > 0")
+    nation = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    joined = table(spark, sf_dir, "customer").join(nation, "c_nationkey", "left")
+    ordered = joined.select(*[c for c, _, _ in COLUMNS["customer"]], "n_name")
+    return profile.profile_columns(ordered, "silver_customer", plan="once")
+
+
 def _notes(spark, sf_dir) -> DataFrame:
     """Documents with a note that is missing, empty, blank or filled, depending on the language."""
     note = F.when(F.col("lang") == "fr", "").when(F.col("lang") == "es", "  ").when(F.col("lang") != "de", F.col("lang"))
