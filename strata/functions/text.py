@@ -10,6 +10,10 @@ from pyspark.sql import Column, functions as F
 LAYERS = ("staging", "bronze", "silver", "gold")
 LAYER_ORDER = (*LAYERS, "unknown")
 
+# Type names of the two kinds of catalog entries.
+DATASET = "lakehouse_dataset"
+PROCESS = "lakehouse_etl_process"
+
 
 def label(code: Column | str, mapping: Mapping) -> Column:
     """Code -> label through a literal map; a code without label gives NULL."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from strata.functions.documents import json_field, json_list, json_list_field, json_object, non_empty_texts
-from strata.functions.text import contains_text, layer_of, layer_rank, layer_tag, qualified_name
+from strata.functions.text import DATASET, contains_text, layer_of, layer_rank, layer_tag, qualified_name
 from strata.operators.dims import literal_table
 from strata.operators.refine import dedup
 
@@ -43,7 +43,7 @@ def staging_assets(tables: DataFrame, cluster: str, landing: str) -> DataFrame:
         tables,
         qualified_name=qualified_name("staging", name, cluster),
         name=name,
-        type_name=F.lit("dataset"),
+        type_name=F.lit(DATASET),
         layer=F.lit("staging"),
         format=F.lit("csv"),
         location=F.concat(F.lit(f"{landing}/"), name, F.lit(".csv")),
@@ -65,7 +65,7 @@ def bronze_assets(
         profiles,
         qualified_name=qualified_name("bronze", name, cluster),
         name=F.concat(F.lit("bronze_"), name),
-        type_name=F.lit("dataset"),
+        type_name=F.lit(DATASET),
         layer=F.lit("bronze"),
         format=F.lit(table_format),
         location=F.concat(F.lit(f"{warehouse}/bronze/"), name),
@@ -122,7 +122,7 @@ def silver_assets(
         joined,
         qualified_name=qualified_name("silver", name, cluster),
         name=name,
-        type_name=F.lit("dataset"),
+        type_name=F.lit(DATASET),
         layer=F.lit("silver"),
         format=F.lit(table_format),
         location=F.concat(F.lit(f"{warehouse}/silver/"), name),
@@ -210,7 +210,7 @@ def gold_assets(
         joined,
         qualified_name=qualified_name("gold", name, cluster),
         name=name,
-        type_name=F.lit("dataset"),
+        type_name=F.lit(DATASET),
         layer=F.lit("gold"),
         format=F.lit(table_format),
         location=F.concat(F.lit(f"{warehouse}/gold/"), name),
@@ -233,10 +233,12 @@ def written_only(profiles: DataFrame) -> DataFrame:
     return profiles.where("written")
 
 
-def pii_columns(columns: DataFrame, pii: DataFrame) -> DataFrame:
-    """PII columns that a table really has: column profiles against a list (``table_name, column_name``)."""
-    listed = pii.select("table_name", "column_name").distinct()
-    return columns.select("table_name", "column_name").join(listed, ["table_name", "column_name"], "left_semi")
+def with_pii_columns(profiles: DataFrame, listed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Table profiles with the listed PII columns that the table really has; empty for unlisted tables."""
+    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    own = F.create_map(*[x for table, names in listed.items() for x in (F.lit(table), texts(names))])
+    present = F.array_intersect(F.map_keys("schema"), own[F.col("table_name")])
+    return profiles.withColumn("pii_columns", F.coalesce(present, texts([])))
 
 
 def upsert(current: DataFrame, changes: DataFrame, version: str, key: str = "qualified_name") -> DataFrame:

@@ -78,16 +78,21 @@ def target_table(spark: SparkSession, targets: Mapping[int, Mapping[str, float |
     return literal_table(spark, rows, TARGET_SCHEMA)
 
 
+def _by_year(kpi: Kpi) -> DataFrame:
+    rows = kpi.targets.where(F.col("code") == kpi.code)
+    return rows.select(F.col("year").alias("_target_year"), "target")
+
+
+def fixed_target(kpi: Kpi) -> Column:
+    """The fallback year's target, or 0 if it has none; a scalar subquery."""
+    chosen = _by_year(kpi).where(F.col("_target_year") == kpi.fallback_year).select(F.max("target"))
+    return F.coalesce(chosen.scalar(), F.lit(0.0))
+
+
 def with_target(df: DataFrame, kpi: Kpi, year: str) -> DataFrame:
-    """Add ``target`` by year; years without one get the fallback year's, or 0 if that has none."""
-    by_year = kpi.targets.where(F.col("code") == kpi.code).select(
-        F.col("year").alias("_target_year"), F.col("target")
-    )
-    fallback = F.coalesce(
-        by_year.where(F.col("_target_year") == kpi.fallback_year).select(F.max("target")).scalar(), F.lit(0.0)
-    )
-    joined = df.join(by_year, F.col(year) == F.col("_target_year"), "left").drop("_target_year")
-    target = F.coalesce("target", fallback)
+    """Add ``target`` by year; years without one get the fallback year's."""
+    joined = df.join(_by_year(kpi), F.col(year) == F.col("_target_year"), "left").drop("_target_year")
+    target = F.coalesce("target", fixed_target(kpi))
     if kpi.unknown_year is not None:
         target = F.when(F.col(year).isNull(), F.lit(float(kpi.unknown_year))).otherwise(target)
     return joined.withColumn("target", target)
@@ -103,13 +108,13 @@ def _fact(
 ) -> DataFrame:
     """Target, attainment, period key and surrogate id in the common column order.
 
-    Rows with an unknown year have no period unless ``unknown_period`` names one.
+    A frame that brings its ``target`` keeps it. Rows with an unknown year have no period
+    unless ``unknown_period`` names one.
     """
+    targeted = df if "target" in df.columns else with_target(df, kpi, year)
     period = period_key(F.coalesce(F.col(year), F.lit(unknown_period)))
-    finished = (
-        with_target(df, kpi, year)
-        .withColumn("attainment", attainment_pct(F.col(kpi.value), F.col("target"), kpi.floor))
-        .withColumn("period_key", period)
+    finished = targeted.withColumns(
+        {"attainment": attainment_pct(F.col(kpi.value), F.col("target"), kpi.floor), "period_key": period}
     )
     key = surrogate_key(F.lit(kpi.code), F.col(year), *units)
     return finished.select(
@@ -241,7 +246,7 @@ def qualification_share(
     )
     counted = counted.withColumn(qualified, F.col("_any") if kpi.numerator == "any" else _total(list(flags)))
     valued = counted.withColumn(kpi.value, share_pct(F.col(qualified), F.col(total)))
-    snapshot = valued.withColumn("_year", F.lit(kpi.fallback_year))
+    snapshot = valued.withColumns({"_year": F.lit(kpi.fallback_year), "target": fixed_target(kpi)})
     return _fact(snapshot, kpi, "_year", [unit], [total, *flags, qualified])
 
 
@@ -430,9 +435,7 @@ def gold_profile(
         F.array(*[F.lit(s) for s in sources]).cast("array<string>").alias("sources"),
     )
     kpi_type = "struct<value:double,target:double,attainment:double,status:string,unit:string>"
-    if summary is None:
-        return profile.withColumn("sample_kpi", F.lit(None).cast(kpi_type))
-    packed = summary.select(
-        "table_name", F.struct("value", "target", "attainment", "status", "unit").cast(kpi_type).alias("sample_kpi")
-    )
-    return profile.join(packed, "table_name", "left")
+    packed = F.lit(None) if summary is None else summary.select(
+        F.struct("value", "target", "attainment", "status", "unit")
+    ).scalar()
+    return profile.withColumn("sample_kpi", packed.cast(kpi_type))

@@ -18,10 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strata.functions.numbers import share_pct
-from strata.functions.text import LAYERS, layer_from_name, layer_of, process_name, qualified_name
-
-DATASET = "dataset"
-PROCESS = "etl_process"
+from strata.functions.text import LAYERS, PROCESS, layer_from_name, layer_of, process_name, qualified_name
 
 
 def _processes(

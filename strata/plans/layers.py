@@ -17,6 +17,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.operators import profile
+from strata.operators.catalog import with_pii_columns
 from strata.operators.kpi import gold_profile, kpi_summary
 from strata.sources.read import read_staging_or_none, read_table
 from strata.sources.runlog import append_run, run_record
@@ -123,10 +124,8 @@ def run_bronze(
             if raw is None:
                 continue
             table = lake.replace(raw, "bronze", name)
-            own = F.array(*[F.lit(c) for c in columns]).cast("array<string>")
-            run.profiles.append(
-                profile.table_profile(profile.profile_columns(table, name), pii_columns=own).drop("output_completeness")
-            )
+            folded = profile.table_profile(profile.profile_columns(table, name)).drop("output_completeness")
+            run.profiles.append(with_pii_columns(folded, {name: columns}))
             run.results[name] = {"row_count": table.count(), "status": "LOADED", "written": True}
         except PySparkException as error:
             run.failed(name, error)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strata.functions.documents import json_field, json_list, json_object
 from strata.functions.predicates import filled
+from strata.functions.text import DATASET
 from strata.operators import catalog, glossary, governance, kpi, profile
 from strata.queries import query, table
 from strata.queries.refinement import orders_with_flags
@@ -25,7 +26,7 @@ BRONZE_DOC = (
 
 ASSETS = f"""assets AS (
     SELECT doc_id, prefix || '.doc_' || doc_id || '@lake' AS qualified_name,
-           CASE WHEN source = 'src3' THEN '' ELSE 'doc_' || doc_id END AS name, 'dataset' AS type_name,
+           CASE WHEN source = 'src3' THEN '' ELSE 'doc_' || doc_id END AS name, '{DATASET}' AS type_name,
            CASE WHEN prefix <> 'tmp' AND quality IS DISTINCT FROM 0 THEN home END AS layer,
            CASE WHEN source <> 'src5' THEN 'parquet' END AS format,
            CASE WHEN source = 'src7' THEN 's3a://Landing/' ELSE 's3a://warehouse/' || home || '/' END || source AS location,
@@ -123,7 +124,7 @@ def document_assets(spark, sf_dir) -> DataFrame:
     return base.withColumn("home", home).select(
         F.concat(prefix, F.lit(".doc_"), "doc_id", F.lit("@lake")).alias("qualified_name"),
         F.when(source == "src3", "").otherwise(F.concat(F.lit("doc_"), "doc_id")).alias("name"),
-        F.lit("dataset").alias("type_name"),
+        F.lit(DATASET).alias("type_name"),
         F.when((prefix != "tmp") & ~poor, F.col("home")).alias("layer"),
         F.when(source != "src5", "parquet").alias("format"),
         F.concat(
@@ -188,14 +189,14 @@ def pass_rate(spark, sf_dir):
 
 @query(
     _sql(
-        """SELECT qualified_name, name, row_count FROM assets
-           WHERE type_name = 'dataset' AND list_contains(classifications, 'PII')
+        f"""SELECT qualified_name, name, row_count FROM assets
+           WHERE type_name = '{DATASET}' AND list_contains(classifications, 'PII')
              AND (lower(name) LIKE '%doc_1%' OR lower(qualified_name) LIKE '%doc_1%' OR lower(description) LIKE '%doc_1%')
            ORDER BY qualified_name"""
     )
 )
 def asset_search(spark, sf_dir):
-    found = catalog.search(document_assets(spark, sf_dir), "dataset", "DOC_1", "PII")
+    found = catalog.search(document_assets(spark, sf_dir), DATASET, "DOC_1", "PII")
     return found.select("qualified_name", "name", "row_count").orderBy("qualified_name")
 
 
@@ -610,21 +611,15 @@ def _bronze_profiles(spark, sf_dir) -> DataFrame:
     columns = reduce(
         DataFrame.unionByName, [profile.profile_columns(table(spark, sf_dir, t), t) for t in REGISTERED]
     )
-    listed = [(t, c) for t, names in REGISTERED.items() for c in names]
-    pii = spark.createDataFrame(listed, "table_name string, column_name string")
-    present = catalog.pii_columns(columns, pii).groupBy("table_name").agg(
-        F.array_sort(F.collect_list("column_name")).alias("pii_columns")
-    )
-    folded = profile.table_profile(columns).join(present, "table_name", "left")
-    return folded.withColumn("pii_columns", F.coalesce("pii_columns", F.array().cast("array<string>")))
+    return catalog.with_pii_columns(profile.table_profile(columns), REGISTERED)
 
 
 @query(
     "\nUNION ALL\n".join(
         f"""SELECT 'bronze.{t}@lake' AS qualified_name, 'bronze_{t}' AS name, 's3a://warehouse/bronze/{t}' AS location, count(*) AS row_count,
                    {len(COLUMN_NAMES[t])} AS column_count,
-                   '{"[" + ",".join(f'"{c}"' for c in sorted(set(pii) & set(COLUMN_NAMES[t]))) + "]"}' AS pii_columns,
-                   '{"Bronze_Layer,PII" if pii else "Bronze_Layer"}' AS tags,
+                   '{"[" + ",".join(f'"{c}"' for c in COLUMN_NAMES[t] if c in pii) + "]"}' AS pii_columns,
+                   '{"Bronze_Layer,PII" if set(pii) & set(COLUMN_NAMES[t]) else "Bronze_Layer"}' AS tags,
                    count(DISTINCT {COLUMN_NAMES[t][0]}) AS distinct_keys FROM {t}"""
         for t, pii in REGISTERED.items()
     )

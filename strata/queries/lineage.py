@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from strata.functions.text import DATASET, PROCESS
 from strata.operators import lineage
 from strata.queries import query, table
 
@@ -172,7 +173,7 @@ def order_nodes(spark, sf_dir) -> DataFrame:
         .otherwise(F.concat(F.lit("etl.other."), "o_orderkey", F.lit("@lake")))
         .alias("qualified_name"),
         F.when(priority != "4-NOT SPECIFIED", F.concat(F.lit("order_"), "o_orderkey")).alias("name"),
-        F.when(priority == "5-LOW", lineage.DATASET).otherwise(lineage.PROCESS).alias("type_name"),
+        F.when(priority == "5-LOW", DATASET).otherwise(PROCESS).alias("type_name"),
         F.lit(None).cast("string").alias("layer"),
         F.when(status == "F", "bronze_to_silver").when(status == "O", "silver_to_gold").alias("pipeline_name"),
         F.when(priority == "2-HIGH", "bronze").alias("source_layer"),
@@ -184,14 +185,14 @@ NODES = f"""nodes AS (
     SELECT CASE o_orderpriority WHEN '5-LOW' THEN 'silver.order_' || o_orderkey WHEN '1-URGENT' THEN 'etl.staging_to_bronze.order_' || o_orderkey
                 ELSE 'etl.other.' || o_orderkey END || '@lake' AS qualified_name,
            CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN 'order_' || o_orderkey END AS name,
-           CASE WHEN o_orderpriority = '5-LOW' THEN 'dataset' ELSE 'etl_process' END AS type_name, {PIPELINE} AS pipeline,
+           CASE WHEN o_orderpriority = '5-LOW' THEN '{DATASET}' ELSE '{PROCESS}' END AS type_name, {PIPELINE} AS pipeline,
            o_orderpriority AS prio FROM orders),
     described AS (
-    SELECT qualified_name, coalesce(name, qualified_name) AS name, type_name, type_name = 'etl_process' AS is_process,
-           CASE WHEN type_name = 'dataset' THEN name WHEN pipeline = 'bronze_to_silver' THEN 'ETL Bronze → Silver'
+    SELECT qualified_name, coalesce(name, qualified_name) AS name, type_name, type_name = '{PROCESS}' AS is_process,
+           CASE WHEN type_name = '{DATASET}' THEN name WHEN pipeline = 'bronze_to_silver' THEN 'ETL Bronze → Silver'
                 WHEN pipeline = 'silver_to_gold' THEN 'ETL Silver → Gold' WHEN name IS NOT NULL THEN replace(name, '_', ' ')
                 ELSE 'ETL process' END AS display_name,
-           CASE WHEN type_name = 'dataset' THEN 'silver' WHEN pipeline = 'bronze_to_silver' THEN 'etl-bronze-silver'
+           CASE WHEN type_name = '{DATASET}' THEN 'silver' WHEN pipeline = 'bronze_to_silver' THEN 'etl-bronze-silver'
                 WHEN pipeline = 'silver_to_gold' THEN 'etl-silver-gold' WHEN prio = '2-HIGH' THEN 'etl-bronze-gold'
                 WHEN prio = '1-URGENT' THEN 'etl-staging-bronze' ELSE 'etl' END AS layer FROM nodes)"""
 
