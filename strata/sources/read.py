@@ -50,7 +50,7 @@ def file_sizes(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 def dataset_summary(spark: SparkSession, folder: str, file_format: str = "csv") -> DataFrame:
     """One row per file of a folder: rows, bytes and megabytes.
 
-    One scan over all files of the folder; rows are counted per file, no column is decoded.
+    A file of zero bytes has no header either; Spark does not list it. One scan over all files of the folder; rows are counted per file, no column is decoded.
     """
     pattern = f"*.{file_format}"
     scan = spark.read.format(file_format).schema("_unused string").option("pathGlobFilter", pattern)
