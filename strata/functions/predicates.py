@@ -29,10 +29,10 @@ def non_blank(column: Column | str) -> Column:
     return c != ""
 
 
-def at_least(column: Column | str, threshold: int) -> Column:
+def at_least(column: Column | str, threshold: float) -> Column:
     """Numeric threshold on a column that may still be text; unreadable text gives NULL."""
     c = F.col(column) if isinstance(column, str) else column
-    return c.try_cast("bigint") >= F.lit(threshold)
+    return c.try_cast("double") >= F.lit(float(threshold))
 
 
 def text_flag(column: Column | str) -> Column:

@@ -338,6 +338,11 @@ def page_number(df: DataFrame, order: Sequence[str | Column], number: int, per_p
     return page(df, order, per_page, (number - 1) * per_page)
 
 
+def first_match(df: DataFrame, predicate: Column, order: Sequence[str | Column]) -> DataFrame:
+    """The first row in ``order`` that passes ``predicate``; no row if none does."""
+    return page(df.where(predicate), order, 1)
+
+
 def by_qualified_name(assets: DataFrame, name: str) -> DataFrame:
     """The asset with exactly this name; the equality reaches the scan."""
     return assets.where(F.col("qualified_name") == name)

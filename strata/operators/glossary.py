@@ -24,11 +24,7 @@ def dictionary(spark: SparkSession, terms: Mapping[str, tuple[str, str]]) -> Dat
     return literal_table(spark, [(t, d, c) for t, (d, c) in terms.items()], DICTIONARY_SCHEMA)
 
 
-def term_links(assets: DataFrame) -> DataFrame:
-    """Distinct (term, source, asset): business terms of any asset, and KPI codes of gold assets.
-
-    A KPI row also brings the KPI's name as its definition.
-    """
+def _links(assets: DataFrame) -> DataFrame:
     doc = F.col("_doc")
     parsed = assets.select(
         "qualified_name",
@@ -49,7 +45,15 @@ def term_links(assets: DataFrame) -> DataFrame:
         "qualified_name",
         F.coalesce(name, code).alias("stated_definition"),
     )
-    return business.where("term is not null").unionByName(kpis).distinct()
+    return business.where("term is not null").unionByName(kpis)
+
+
+def term_links(assets: DataFrame) -> DataFrame:
+    """Distinct (term, source, asset): business terms of any asset, and KPI codes of gold assets.
+
+    A KPI row also brings the KPI's name as its definition.
+    """
+    return _links(assets).distinct()
 
 
 def glossary_terms(assets: DataFrame, known: DataFrame, default_definition: str) -> DataFrame:
@@ -59,7 +63,7 @@ def glossary_terms(assets: DataFrame, known: DataFrame, default_definition: str)
     A KPI code replaces a business term of the same text.
     """
     counted = (
-        term_links(assets)
+        _links(assets)
         .groupBy("term", "source")
         .agg(
             F.count_distinct("qualified_name").alias("related_assets"),

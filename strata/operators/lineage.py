@@ -130,20 +130,27 @@ def _reach(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return visited
 
 
-def traverse(graph: DataFrame, start: DataFrame, depth: int = 5, direction: str = "BOTH") -> DataFrame:
+def traverse(
+    graph: DataFrame, start: DataFrame, depth: int = 5, direction: str = "BOTH", persist: bool = False
+) -> DataFrame:
     """Nodes within ``depth`` steps of the nodes in ``start`` (column ``node``).
 
     ``INPUT`` follows edges upstream, ``OUTPUT`` downstream, ``BOTH`` does each. One row
-    per node and direction with its smallest depth.
+    per node and direction with its smallest depth. Every level scans the edges; with
+    ``persist=True`` edges that are costly to derive are kept while the levels read them.
     """
     if direction not in ("INPUT", "OUTPUT", "BOTH"):
         raise ValueError("direction must be INPUT, OUTPUT or BOTH")
     ensure_checkpoint_dir(graph.sparkSession)
     forward = graph.select("src", "dst")
+    if persist:
+        forward = forward.persist()
     backward = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ways = {"OUTPUT": forward, "INPUT": backward}
     wanted = ["INPUT", "OUTPUT"] if direction == "BOTH" else [direction]
     found = [_reach(ways[w], start, depth).withColumn("direction", F.lit(w)) for w in wanted]
+    if persist:
+        forward.unpersist()
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 

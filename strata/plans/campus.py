@@ -321,12 +321,19 @@ def scorecard(facts: Tables, specs: Sequence[Curated]) -> DataFrame:
 
 
 def refresh(
-    lake: Lake, landing: str, as_of: str, institution: str, run_folder: str | None = None, **gold_options
+    lake: Lake,
+    landing: str,
+    as_of: str,
+    institution: str,
+    run_folder: str | None = None,
+    profile_plan: str = "per_column",
+    **gold_options,
 ) -> dict[str, LayerRun]:
     """Full recompute of bronze, silver and gold from the raw files; every table is replaced."""
     optional = {"raw_metode_pembelajaran": []}
-    bronze = run_bronze(lake, landing, {**values.PII_COLUMNS, **optional}, run_folder)
-    silver = run_silver(lake, silver_recipes(), as_of, run_folder)
+    raw = {**values.PII_COLUMNS, **optional}
+    bronze = run_bronze(lake, landing, raw, run_folder, profile_plan=profile_plan)
+    silver = run_silver(lake, silver_recipes(), as_of, run_folder, profile_plan)
     specs = gold_specs(lake.spark, institution, **gold_options)
     gold = run_gold(lake, specs, lambda facts: scorecard(facts, specs), "fact_rekap_iku_institusi", run_folder)
     return {"bronze": bronze, "silver": silver, "gold": gold}

@@ -115,8 +115,12 @@ def run_bronze(
     pii: Mapping[str, Sequence[str]],
     run_folder: str | None = None,
     multi_line: bool = False,
+    profile_plan: str = "per_column",
 ) -> LayerRun:
-    """Load every raw file into a table of the same name; missing and empty files are skipped."""
+    """Load every raw file into a table of the same name; missing and empty files are skipped.
+
+    ``profile_plan`` is the plan of ``profile_columns``; ``once`` suits many small tables.
+    """
     run = _start("staging_to_bronze")
     for name, columns in pii.items():
         try:
@@ -124,7 +128,7 @@ def run_bronze(
             if raw is None:
                 continue
             table = lake.replace(raw, "bronze", name)
-            folded = profile.table_profile(profile.profile_columns(table, name)).drop("output_completeness")
+            folded = profile.table_profile(profile.profile_columns(table, name, plan=profile_plan)).drop("output_completeness")
             run.profiles.append(with_pii_columns(folded, {name: columns}))
             run.results[name] = {"row_count": table.count(), "status": "LOADED", "written": True}
         except PySparkException as error:
@@ -139,7 +143,11 @@ def _gate(tables: Tables, gated: Sequence[str]) -> dict:
 
 
 def run_silver(
-    lake: Lake, recipes: Sequence[Refined], as_of: str, run_folder: str | None = None
+    lake: Lake,
+    recipes: Sequence[Refined],
+    as_of: str,
+    run_folder: str | None = None,
+    profile_plan: str = "per_column",
 ) -> LayerRun:
     """Build refined tables from bronze ones; a rejected table is not written."""
     run = _start("bronze_to_silver")
@@ -154,7 +162,7 @@ def run_silver(
             table = lake.replace(recipe.build(tables, as_of), "silver", recipe.name)
             run.profiles.append(
                 profile.profile_with_provenance(
-                    table, recipe.name, gate["quality_score"], gate["status"], recipe.steps, recipe.sources
+                    table, recipe.name, gate["quality_score"], gate["status"], recipe.steps, recipe.sources, profile_plan
                 ).withColumn("written", F.lit(True))
             )
             run.results[recipe.name] = {"row_count": table.count(), "status": gate["status"], "written": True}

@@ -56,11 +56,8 @@ def dataset_summary(spark: SparkSession, folder: str, file_format: str = "csv")
     scan = spark.read.format(file_format).schema("_unused string").option("pathGlobFilter", pattern)
     if file_format == "csv":
         scan = scan.option("header", True)
-    counted = (
-        scan.load(folder)
-        .groupBy(table_name_of(F.col("_metadata.file_path")).alias("table_name"))
-        .agg(F.count(F.lit(1)).alias("row_count"))
-    )
+    per_file = scan.load(folder).groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("row_count"))
+    counted = per_file.select(table_name_of(F.col("file_path")).alias("table_name"), "row_count")
     return (
         file_sizes(spark, folder, pattern)
         .join(counted, "table_name", "left")

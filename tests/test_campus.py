@@ -71,7 +71,7 @@ def refreshed(spark, tmp_path_factory):
     for name, (header, lines) in FILES.items():
         (landing / f"{name}.csv").write_text("\n".join([header, *lines]) + "\n")
     lake = Lake(spark, str(base / "lake"))
-    return lake, campus.refresh(lake, str(landing), AS_OF, "Campus", str(base / "runs")), base
+    return lake, campus.refresh(lake, str(landing), AS_OF, "Campus", str(base / "runs"), "once"), base
 
 
 def read(lake, layer, name, *columns):
