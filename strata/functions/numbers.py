@@ -41,10 +41,13 @@ def gate_status(score: Column, pass_at: float = 80, quarantine_at: float = 60) -
     )
 
 
-def target_status(
-    value: Column, target: Column, met: str = "Tercapai", near: str = "On Track", missed: str = "Tidak Tercapai"
-) -> Column:
+# Status words of met, nearly met and missed targets.
+STATUS_WORDS = ("Tercapai", "On Track", "Tidak Tercapai")
+
+
+def target_status(value: Column, target: Column, words: tuple[str, str, str] = STATUS_WORDS) -> Column:
     """Met at the target, near from 80 % of it, else missed; empty when either side is unknown."""
+    met, near, missed = words
     return (
         F.when(value.isNull() | target.isNull(), "")
         .when(value >= target, met)

@@ -25,7 +25,11 @@ from strata.functions.text import label
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None) -> DataFrame:
-    """One row per key: the first by ``order``, by default by all other columns ascending."""
+    """One row per key: the first by ``order``, by default by all other columns ascending.
+
+    The default needs every column. Name the columns that matter, so that the scan can leave
+    out the others; with an empty ``order`` any row of a key may survive.
+    """
     by = order if order is not None else [c for c in df.columns if c not in keys]
     if not by:
         return df.dropDuplicates(list(keys))

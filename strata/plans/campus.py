@@ -92,45 +92,18 @@ def _accreditations(t: Tables, as_of: str) -> DataFrame:
 
 def silver_recipes() -> list[Refined]:
     """The six refined tables."""
+
+    def recipe(name: str, sources: list[str], build, gated: int = 1, gate: str = "skip") -> Refined:
+        return Refined(name, sources, sources[:gated], values.STEPS[name], build, gate)
+
     return [
-        Refined(
-            "silver_mahasiswa", ["raw_mahasiswa", "raw_prodi"], ["raw_mahasiswa"],
-            ["JOIN raw_prodi → nama_prodi, jenjang", "MAP jurusan_id → nama_jurusan",
-             "FLAG is_mbkm = sks_luar_kampus >= 20", "DEDUP on mahasiswa_id"],
-            _students,
-        ),
-        Refined(
-            "silver_lulusan", ["raw_lulusan"], ["raw_lulusan"],
-            ["FLAG is_employed = status_pasca_lulus == 'Bekerja'", "FLAG is_lanjut_studi = status_pasca_lulus == 'Studi Lanjut'",
-             "FLAG is_wirausaha = status_pasca_lulus == 'Wirausaha'", "FLAG is_terserap = employed | studi | wirausaha",
-             "DEDUP on lulusan_id"],
-            _graduates,
-        ),
-        Refined(
-            "silver_dosen", ["raw_dosen", "raw_kegiatan_dosen"], ["raw_dosen"],
-            ["FLAG is_s3 = pendidikan_terakhir == 'S3'", "FLAG is_praktisi = berasal_praktisi",
-             "FLAG is_serdos = sertifikat_dosen", "JOIN kegiatan → is_aktif_tridarma (≥1 jenis kegiatan)", "DEDUP on dosen_id"],
-            _lecturers,
-        ),
-        Refined(
-            "silver_penelitian_pkm", ["raw_penelitian", "raw_pengabdian"], ["raw_penelitian", "raw_pengabdian"],
-            ["UNION raw_penelitian + raw_pengabdian", "NORMALIZE columns (id, judul, dosen_id, …)",
-             "FLAG is_rekognisi = rekognisi_internasional", "FLAG is_diterapkan = diterapkan_masyarakat",
-             "ADD jenis = 'Penelitian' | 'Pengabdian'", "DEDUP on id"],
-            _research, gate="report",
-        ),
-        Refined(
-            "silver_kerjasama_aktif", ["raw_kerjasama"], ["raw_kerjasama"],
-            ["FILTER status == 'Aktif'", "FLAG is_mbkm = lingkup IN ('MBKM', 'Semua')", "DEDUP on kerjasama_id"],
-            _partnerships,
-        ),
-        Refined(
-            "silver_akreditasi_aktif", ["raw_akreditasi"], ["raw_akreditasi"],
-            ["FILTER tanggal_berakhir >= as_of (masih berlaku)", "WINDOW ROW_NUMBER per prodi ORDER BY tanggal_sk DESC",
-             "KEEP latest akreditasi per prodi", "FLAG is_internasional = lembaga == 'Internasional'"],
-            _accreditations,
-        ),
-    ]
+        recipe("silver_mahasiswa", ["raw_mahasiswa", "raw_prodi"], _students),
+        recipe("silver_lulusan", ["raw_lulusan"], _graduates),
+        recipe("silver_dosen", ["raw_dosen", "raw_kegiatan_dosen"], _lecturers),
+        recipe("silver_penelitian_pkm", ["raw_penelitian", "raw_pengabdian"], _research, 2, "report"),
+        recipe("silver_kerjasama_aktif", ["raw_kerjasama"], _partnerships),
+        recipe("silver_akreditasi_aktif", ["raw_akreditasi"], _accreditations),
+    ]
 
 
 # -- gold -----------------------------------------------------------------------------

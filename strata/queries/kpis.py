@@ -274,7 +274,7 @@ def _suppliers_with_flags(spark, sf_dir) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").withColumns(
         {"is_wealthy": F.col("s_acctbal") >= 5000, "is_debtor": F.col("s_acctbal") < 0}
     )
-    return refine.activity_flag(supplier, lines, "s_suppkey", "l_returnflag", "is_active", 3)
+    return refine.activity_flag(supplier, lines, "s_suppkey", "l_returnflag", "is_active", 3, ["s_nationkey", "s_acctbal"])
 
 
 def _qualification_sql(qualified: str) -> str:

@@ -16,8 +16,9 @@ AS_OF = "2001-06-01"
 
 def orders_with_flags(spark, sf_dir) -> DataFrame:
     flags = {k: STATUS_FLAGS[k] for k in ("is_fulfilled", "is_pending")}
+    order = ["o_orderdate", "o_custkey", "o_orderstatus"]
     return refine.status_flags(
-        table(spark, sf_dir, "orders"), "o_orderstatus", flags, "is_processed", "o_orderkey"
+        table(spark, sf_dir, "orders"), "o_orderstatus", flags, "is_processed", "o_orderkey", order
     )
 
 
@@ -58,7 +59,7 @@ def order_status_flags(spark, sf_dir):
 def customer_activity(spark, sf_dir):
     activity = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
     return refine.activity_flag(
-        table(spark, sf_dir, "customer"), activity, "c_custkey", "o_orderpriority", "buys_all_priorities", 5
+        table(spark, sf_dir, "customer"), activity, "c_custkey", "o_orderpriority", "buys_all_priorities", 5, order=[]
     ).select("c_custkey", "buys_all_priorities")
 
 
@@ -71,7 +72,7 @@ def customer_has_events(spark, sf_dir):
     """Entities without any activity get false."""
     activity = table(spark, sf_dir, "events").withColumnRenamed("user_id", "c_custkey")
     return refine.activity_flag(
-        table(spark, sf_dir, "customer"), activity, "c_custkey", "event_type", "has_events"
+        table(spark, sf_dir, "customer"), activity, "c_custkey", "event_type", "has_events", order=[]
     ).select("c_custkey", "has_events")
 
 
@@ -108,6 +109,7 @@ def urgent_open_orders(spark, sf_dir):
         "o_orderpriority",
         ["1-URGENT", "2-HIGH"],
         "o_orderkey",
+        order=["o_custkey", "o_orderpriority"],
     ).select("o_orderkey", "o_custkey", "o_orderpriority", "is_hurried")
 
 
