@@ -105,8 +105,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-# A frontier of at most this many nodes is broadcast: a few megabytes of names.
-BROADCAST_NODES = 50_000
+# A frontier of at most this many nodes is broadcast: about ten megabytes of names.
+BROADCAST_NODES = 100_000
 
 
 def _sized(nodes: DataFrame, count: int) -> DataFrame:
@@ -121,8 +121,10 @@ def _reach(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     for level in range(1, depth + 1):
         sources = _sized(frontier.select(F.col("node").alias("src")), found)
         step = graph.join(sources, "src").select(F.col("dst").alias("node")).distinct()
-        known = _sized(visited.select("node"), seen)
-        frontier = step.join(known, "node", "left_anti").withColumn("depth", F.lit(level)).checkpoint()
+        # An anti join would be pushed below the step and test every edge; this one tests its result.
+        known = _sized(visited.select("node", F.lit(True).alias("_seen")), seen)
+        unseen = step.join(known, "node", "left").where("_seen is null")
+        frontier = unseen.select("node", F.lit(level).alias("depth")).checkpoint()
         found = frontier.count()
         if found == 0:
             break
@@ -163,14 +165,20 @@ def relations(graph: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
 
 
 def has_lineage(assets: DataFrame, graph: DataFrame) -> DataFrame:
-    """Assets with two flags: some edge comes in, some edge goes out."""
-    flag = F.lit(True)
-    incoming = graph.select(F.col("dst").alias("qualified_name")).distinct().withColumn("has_in", flag)
-    outgoing = graph.select(F.col("src").alias("qualified_name")).distinct().withColumn("has_out", flag)
-    return (
-        assets.join(incoming, "qualified_name", "left")
-        .join(outgoing, "qualified_name", "left")
-        .withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_in", "has_out")})
+    """Assets with two flags: some edge comes in, some edge goes out.
+
+    The edges are read once; both ends of an edge are merged by name before the shuffle.
+    """
+
+    def end(node: str, comes_in: bool) -> Column:
+        return F.struct(
+            F.col(node).alias("qualified_name"), F.lit(comes_in).alias("has_in"), F.lit(not comes_in).alias("has_out")
+        )
+
+    ends = graph.select(F.inline(F.array(end("dst", True), end("src", False))))
+    flags = ends.groupBy("qualified_name").agg(*[F.bool_or(c).alias(c) for c in ("has_in", "has_out")])
+    return assets.join(flags, "qualified_name", "left").withColumns(
+        {c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_in", "has_out")}
     )
 
 

@@ -1,6 +1,7 @@
-"""Lineage over the supply chain: supplier and part feed an order, an order feeds its customer.
+"""Lineage over the supply chain: a supplier feeds parts, parts feed an order, an order feeds its customer.
 
-Every order line is an ETL process record with two inputs and one output.
+An order is an ETL process. It is recorded in pieces: one record per line with the part as
+input, one per order with the customer as output.
 """
 
 from __future__ import annotations
@@ -20,19 +21,35 @@ EDGES = f"""edges AS (
     SELECT DISTINCT src, dst FROM (
         SELECT {SUPPLIER} AS src, {PART} AS dst FROM lineitem
         UNION ALL SELECT {PART}, {ORDER} FROM lineitem
-        UNION ALL SELECT {ORDER}, {CUSTOMER} FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
+        UNION ALL SELECT 'etl.order.' || o_orderkey || '@lake', {CUSTOMER} FROM orders))"""
 
 
 def _names(kind: str, layer: str, key: str) -> F.Column:
     return F.concat(F.lit(f"{layer}.{kind}_"), F.col(key), F.lit("@lake"))
 
 
-def sourcing_processes(spark, sf_dir) -> DataFrame:
-    """One process record per order line: part in, customer out; records of an order share their name."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+def _process(key: str) -> F.Column:
+    return F.concat(F.lit("etl.order."), key, F.lit("@lake")).alias("qualified_name")
+
+
+def order_processes(spark, sf_dir) -> DataFrame:
+    """Process records of the orders; the pieces of an order share its name, so no join is needed."""
+    none = F.array().cast("array<string>")
+    lines = table(spark, sf_dir, "lineitem").select(
+        _process("l_orderkey"), F.array(_names("part", "silver", "l_partkey")).alias("inputs"), none.alias("outputs")
+    )
+    orders = table(spark, sf_dir, "orders").select(
+        _process("o_orderkey"), none.alias("inputs"), F.array(_names("customer", "gold", "o_custkey")).alias("outputs")
+    )
+    return lines.unionByName(orders)
+
+
+def line_processes(spark, sf_dir) -> DataFrame:
+    """One whole process record per order line: part in, customer out."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return lines.join(orders, "l_orderkey").select(
-        F.concat(F.lit("etl.order."), "l_orderkey", F.lit("@lake")).alias("qualified_name"),
+        _process("l_orderkey"),
         F.array(_names("part", "silver", "l_partkey")).alias("inputs"),
         F.array(_names("customer", "gold", "o_custkey")).alias("outputs"),
     )
@@ -43,7 +60,7 @@ def supply_graph(spark, sf_dir, unique: bool = True) -> DataFrame:
     supplied = table(spark, sf_dir, "lineitem").select(
         _names("supplier", "bronze", "l_suppkey").alias("src"), _names("part", "silver", "l_partkey").alias("dst")
     )
-    made = lineage.edges(sourcing_processes(spark, sf_dir), unique)
+    made = lineage.edges(order_processes(spark, sf_dir), unique)
     return (supplied.distinct() if unique else supplied).unionByName(made)
 
 
@@ -57,7 +74,7 @@ def lineage_edges(spark, sf_dir):
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 )
 def lineage_dataset_edges(spark, sf_dir):
-    return lineage.dataset_edges(sourcing_processes(spark, sf_dir)).distinct()
+    return lineage.dataset_edges(line_processes(spark, sf_dir)).distinct()
 
 
 ASSETS = """assets AS (
