@@ -35,6 +35,7 @@ from strata.functions.numbers import (
 )
 from strata.functions.predicates import any_of
 from strata.operators.dims import literal_table
+from strata.operators.refine import union_all
 
 TARGET_SCHEMA = StructType(
     [
@@ -373,8 +374,7 @@ def scorecard(facts: Sequence[tuple[str, str, str, DataFrame, str]], target: str
         )
         for code, name, unit, fact, value in facts
     ]
-    merged = reduce(DataFrame.unionByName, rows)
-    return merged.select(surrogate_key("period_key", "code").alias("fact_id"), "*")
+    return union_all(rows).select(surrogate_key("period_key", "code").alias("fact_id"), "*")
 
 
 def kpi_summary(fact: DataFrame, table_name: str, value: str, unit: str = "%") -> DataFrame:

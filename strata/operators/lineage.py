@@ -12,13 +12,13 @@ Scale notes
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strata.functions.numbers import share_pct
 from strata.functions.text import LAYERS, PROCESS, layer_from_name, layer_of, process_name, qualified_name
+from strata.sources.scratch import shared_folder
 
 
 def _processes(
@@ -92,17 +92,9 @@ def dataset_edges(processes: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a local session gets one of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="strata-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """Checkpoint to the folder the cluster shares."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 # A frontier of at most this many nodes is broadcast: about ten megabytes of names.

@@ -6,7 +6,8 @@ Scale notes
   aggregate scans a single column (the columns of a table are read once in total),
   combines equal values before its shuffle, so a hot value costs one row per task, and
   needs no ``Expand`` of rows x columns, which one wide aggregate of several distinct
-  counts would get.
+  counts would get. Long texts enter the distinct count as SHA-256 digests of the whole
+  text, so the shuffle carries 64 bytes instead of the document.
 * ``plan="once"`` is for frames that are not stored: it evaluates the frame a single time,
   turns each row into (column, value) pairs and counts equal pairs before the shuffle.
 * The gate needs no distinct counts, so it is a single pass with one row per task
@@ -16,21 +17,30 @@ Scale notes
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DataType, DoubleType, FloatType, MapType, StructField, TimestampType
+from pyspark.sql.types import DataType, DoubleType, FloatType, MapType, StringType, StructField, TimestampType
 
 from strata.functions.numbers import gate_status
 from strata.functions.predicates import is_blank
+from strata.operators.refine import union_all
 
 DISTINCT_MODES = ("exact", "approx", "text")
 PLANS = ("per_column", "once")
 
 
+# Texts longer than this many bytes are compared by their digest.
+LONG_TEXT = 128
+
+
 def _countable(name: str, data_type: DataType) -> Column:
+    """A value with the same equality that is cheap to shuffle."""
     column = F.col(f"`{name}`")
-    return F.to_json(column) if isinstance(data_type, MapType) else column
+    if isinstance(data_type, MapType):
+        column = F.to_json(column)
+    elif not isinstance(data_type, StringType):
+        return column
+    return F.when(F.octet_length(column) > LONG_TEXT, F.sha2(column, 256)).otherwise(column)
 
 
 def _distinct(name: str, data_type: DataType, mode: str) -> Column:
@@ -85,7 +95,7 @@ def profile_columns(
         .select(*_stats(table_name, F.lit(i), F.lit(f.name), F.lit(str(f.dataType))))
         for i, f in enumerate(df.schema)
     ]
-    return reduce(DataFrame.union, parts)
+    return union_all(parts)
 
 
 def _value_text(field: StructField) -> Column:
@@ -169,7 +179,7 @@ def quality_gate(
         F.round(F.try_divide(F.col("row_count") - F.col(f"nulls_{i}"), F.col("row_count")) * 100, 2)
         for i, _ in fields
     ]
-    mean = reduce(lambda left, right: left + right, complete) / F.lit(len(complete))
+    mean = F.aggregate(F.array(*complete), F.lit(0.0), lambda total, one: total + one) / F.lit(len(complete))
     return (
         counts.withColumn("completeness", F.coalesce(mean, F.lit(0.0)))
         .withColumn("quality_score", F.round("completeness", 2))
@@ -191,7 +201,7 @@ def combine_gates(gates: Sequence[DataFrame], pass_at: float = 80, quarantine_at
     count and completeness are those of the first source.
     """
     numbered = [g.withColumn("source_no", F.lit(i)) for i, g in enumerate(gates)]
-    merged = reduce(DataFrame.unionByName, numbered).agg(
+    merged = union_all(numbered).agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("source_no", "table_name"))), lambda s: s["table_name"]

@@ -15,7 +15,6 @@ Scale notes
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -24,6 +23,15 @@ from strata.functions.predicates import any_of, still_valid
 from strata.functions.text import label
 
 
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union by name of many frames, pairwise, so that the plan stays flat."""
+    frames = list(parts)
+    while len(frames) > 1:
+        pairs = [frames[i : i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return frames[0]
+
+
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None) -> DataFrame:
     """One row per key: the first by ``order``, by default by all other columns ascending.
 
@@ -113,7 +121,7 @@ def union_normalise(
         )
         for df, columns, kind_value in parts
     ]
-    return dedup(reduce(DataFrame.unionByName, shaped), [key], order)
+    return dedup(union_all(shaped), [key], order)
 
 
 def filter_flag(

@@ -7,7 +7,6 @@ column as text; years and amounts are typed where a fact needs them.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -384,7 +383,7 @@ def register(
         lineage.silver_processes(catalog.written_only(silver), cluster, as_of),
         lineage.gold_processes(catalog.written_only(gold), cluster, as_of),
     ]
-    return reduce(DataFrame.unionByName, assets), reduce(DataFrame.unionByName, processes)
+    return refine.union_all(assets), refine.union_all(processes)
 
 
 def campus_glossary(spark: SparkSession, assets: DataFrame, institution: str) -> DataFrame:

@@ -11,7 +11,6 @@ import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strata.operators import profile
 from strata.operators.catalog import with_pii_columns
 from strata.operators.kpi import gold_profile, kpi_summary
+from strata.operators.refine import union_all
 from strata.sources.read import read_staging_or_none, read_table
 from strata.sources.runlog import append_run, run_record
 from strata.sources.write import create_namespace, replace_files, replace_table
@@ -92,7 +92,7 @@ class LayerRun:
     profiles: list[DataFrame] = field(default_factory=list)
 
     def profile_table(self) -> DataFrame | None:
-        return reduce(DataFrame.unionByName, self.profiles) if self.profiles else None
+        return union_all(self.profiles) if self.profiles else None
 
     def finish(self, spark: SparkSession, run_folder: str | None) -> LayerRun:
         self.ended_at = datetime.now(timezone.utc)

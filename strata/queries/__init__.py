@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from strata.queries import assets, kpis, lineage, quality, refinement, scalars  # noqa: F401
+    from strata.queries import assets, kpis, lineage, quality, refinement, scalars, storage  # noqa: F401

@@ -14,6 +14,7 @@ from strata.functions.documents import json_field, json_list, json_object
 from strata.functions.predicates import filled
 from strata.functions.text import DATASET
 from strata.operators import catalog, glossary, governance, kpi, profile
+from strata.operators.refine import union_all
 from strata.queries import query, table
 from strata.queries.refinement import orders_with_flags
 
@@ -608,9 +609,7 @@ COLUMN_NAMES = {
 
 def _bronze_profiles(spark, sf_dir) -> DataFrame:
     """Profiles of four tables with the PII columns that are both listed and present."""
-    columns = reduce(
-        DataFrame.unionByName, [profile.profile_columns(table(spark, sf_dir, t), t) for t in REGISTERED]
-    )
+    columns = union_all([profile.profile_columns(table(spark, sf_dir, t), t) for t in REGISTERED])
     return catalog.with_pii_columns(profile.table_profile(columns), REGISTERED)
 
 
@@ -673,14 +672,13 @@ def catalog_silver(spark, sf_dir):
         "silver_orders": (orders_with_flags(spark, sf_dir), ["orders"]),
         "silver_lost": (table(spark, sf_dir, "nation"), ["nation"]),
     }
-    profiles = reduce(
-        DataFrame.unionByName,
+    profiles = union_all(
         [
             profile.profile_with_provenance(df, t, *gates[t], ["DEDUP"], sources, plan="once").withColumn(
                 "written", F.lit(gates[t][1] != "REJECT")
             )
             for t, (df, sources) in frames.items()
-        ],
+        ]
     )
     business = spark.createDataFrame(
         [("silver_customer", "Customers with nation and region", "Sales", ["IKU-1"], ["Customer"], "Daily")], _BUSINESS

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from strata.operators import profile
+from strata.operators.refine import union_all
 from strata.queries import query, table
 from strata.sources.read import dataset_summary as summarise
 from strata.sources.read import summary_totals
@@ -186,7 +186,7 @@ def quality_gate_all(spark, sf_dir):
         "verdicts": judged.select("quality", "toxic"),
         "nobody": table(spark, sf_dir, "customer").where("c_acctbal > 1e12"),
     }
-    return reduce(DataFrame.unionByName, [profile.quality_gate(df, name) for name, df in frames.items()])
+    return union_all([profile.quality_gate(df, name) for name, df in frames.items()])
 
 
 @query(

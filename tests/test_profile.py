@@ -88,3 +88,10 @@ def test_unknown_modes_are_refused(frame):
         profile.profile_columns(frame, "f", "guess")
     with pytest.raises(ValueError):
         profile.profile_columns(frame, "f", plan="guess")
+
+
+@pytest.mark.parametrize("plan", profile.PLANS)
+def test_long_texts_that_differ_at_the_end_are_distinct(spark, plan):
+    long = "x" * 5000
+    df = spark.createDataFrame([(long + "a",), (long + "b",), (long + "a",), ("short",), (None,)], "t string")
+    assert profile.profile_columns(df, "f", plan=plan).first().distinct_count == 3
