@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType, StructField
 from pyspark.sql.window import Window
 
 from strata.functions.predicates import any_of, still_valid
@@ -32,13 +33,19 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return frames[0]
 
 
+def _sortable(field: StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    return F.to_json(column) if isinstance(field.dataType, MapType) else column
+
+
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None) -> DataFrame:
     """One row per key: the first by ``order``, by default by all other columns ascending.
 
     The default needs every column. Name the columns that matter, so that the scan can leave
     out the others; with an empty ``order`` any row of a key may survive.
     """
-    by = order if order is not None else [c for c in df.columns if c not in keys]
+    rest = [f for f in df.schema if f.name not in keys]
+    by = order if order is not None else [_sortable(f) for f in rest]
     if not by:
         return df.dropDuplicates(list(keys))
     window = Window.partitionBy(*keys).orderBy(*by)

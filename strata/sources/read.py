@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import logging
+import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 log = logging.getLogger(__name__)
 
@@ -36,37 +37,33 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def table_name_of(path_column) -> F.Column:
-    """File name without its folder and extension."""
-    return F.regexp_extract(path_column, r"([^/]+?)(\.[^./]*)?$", 1)
-
-
-def file_sizes(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Files of a folder with their size; the contents are not read."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return listing.select(table_name_of(F.col("path")).alias("table_name"), F.col("length").alias("size_bytes"))
+def _table_of(path_column: str, folder: str) -> Column:
+    """First name below ``folder`` in a path, without extension: a file, or the folder of a table."""
+    inner = re.sub(r"^[A-Za-z0-9]+:/*", "", folder).strip("/")
+    return F.regexp_extract(path_column, rf"\Q{inner}\E/+([^/]+?)(\.[^./]*)?(/.*)?$", 1).alias("table_name")
 
 
 def dataset_summary(spark: SparkSession, folder: str, file_format: str = "csv") -> DataFrame:
-    """One row per file of a folder: rows, bytes and megabytes.
+    """One row per table of a folder, be it one file or a folder of files: rows, bytes and megabytes.
 
-    A file of zero bytes has no header either; Spark does not list it. One scan over all files of the folder; rows are counted per file, no column is decoded.
+    A file of zero bytes has no header either; Spark does not list it. One scan over all
+    files of the folder; rows are counted per file, no column is decoded. Sizes come from
+    a listing that does not open the files.
     """
     pattern = f"*.{file_format}"
-    scan = spark.read.format(file_format).schema("_unused string").option("pathGlobFilter", pattern)
+    find = {"pathGlobFilter": pattern, "recursiveFileLookup": True}
+    listing = spark.read.format("binaryFile").options(**find).load(folder)
+    sizes = listing.groupBy(_table_of("path", folder)).agg(F.sum("length").alias("size_bytes"))
+    scan = spark.read.format(file_format).schema("_unused string").options(**find)
     if file_format == "csv":
         scan = scan.option("header", True)
-    per_file = scan.load(folder).groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("row_count"))
-    counted = per_file.select(table_name_of(F.col("file_path")).alias("table_name"), "row_count")
-    return (
-        file_sizes(spark, folder, pattern)
-        .join(counted, "table_name", "left")
-        .select(
-            "table_name",
-            F.coalesce("row_count", F.lit(0)).alias("row_count"),
-            "size_bytes",
-            F.round(F.col("size_bytes") / 1024**2, 2).alias("size_mb"),
-        )
+    per_file = scan.load(folder).groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n"))
+    counted = per_file.groupBy(_table_of("file_path", folder)).agg(F.sum("n").alias("row_count"))
+    return sizes.join(counted, "table_name", "left").select(
+        "table_name",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        "size_bytes",
+        F.round(F.col("size_bytes") / 1024**2, 2).alias("size_mb"),
     )
 
 

@@ -1,7 +1,6 @@
 """KPI facts on hand-made rows."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from strata.operators import kpi
 

@@ -12,6 +12,11 @@ def test_dedup_is_deterministic(spark, rows):
     assert rows(refine.dedup(df, ["k"], [F.col("y").desc()])) == [(1, "a", 9), (2, "c", 1)]
 
 
+def test_dedup_of_maps(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, map('a', 2)), (1, map('a', 1)), (2, NULL) AS t(k, m)")
+    assert {r.k: r.m for r in refine.dedup(df, ["k"]).collect()} == {1: {"a": 1}, 2: None}
+
+
 def test_lookup_keeps_rows_and_never_multiplies(spark, rows):
     facts = spark.createDataFrame([(1, "IF"), (2, "XX"), (3, None)], "id int, p string")
     dim = spark.createDataFrame([("IF", "Informatika"), ("IF", "Zweit")], "p string, name string")

@@ -46,6 +46,13 @@ def test_summary_reads_no_column_of_parquet(spark, sf):
     assert len(got) == 14 and got["lineitem"] == spark.read.parquet(f"{sf}/lineitem.parquet").count()
 
 
+def test_summary_of_tables_that_are_folders(spark, tmp_path, rows):
+    for name, n in (("one", 10), ("two", 3)):
+        spark.range(n, numPartitions=3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for folder in (str(tmp_path), f"file:{tmp_path}/"):
+        assert rows(read.dataset_summary(spark, folder, "parquet"), "table_name", "row_count") == [("one", 10), ("two", 3)]
+
+
 def test_replace_table_and_namespace(spark, rows):
     write.create_namespace(spark, "strata_test")
     write.create_namespace(spark, "strata_test")
