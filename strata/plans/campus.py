@@ -368,7 +368,7 @@ def register(
     warehouse: str = "s3a://warehouse",
 ) -> tuple[DataFrame, DataFrame]:
     """Assets and ETL processes of a refresh; tables that were not written are left out."""
-    bronze, silver, gold = (runs[layer].profile_table() for layer in ("bronze", "silver", "gold"))
+    bronze, silver, gold = (runs[layer].profiles for layer in ("bronze", "silver", "gold"))
     place = {"cluster": cluster, "warehouse": warehouse, "as_of": as_of}
     assets = [
         catalog.staging_assets(bronze, cluster, landing),

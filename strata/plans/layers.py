@@ -1,8 +1,8 @@
 """Running a layer: build each table, apply the gate, write, profile, record.
 
 A driver loop over lazy frames. Only small facts reach the driver: one gate row and one
-row count per table. Profiles are taken from the written tables, so nothing is computed
-twice.
+row count per table. Profiles are taken from the written tables and stored as a table of
+their own (layer ``metadata``), so nothing is computed twice.
 """
 
 from __future__ import annotations
@@ -83,21 +83,23 @@ class Curated:
 
 @dataclass
 class LayerRun:
-    """Outcome of a run: one result per table, and the profiles of the written tables."""
+    """Outcome of a run: one result per table, and the stored profiles of the written tables."""
 
     pipeline: str
     started_at: datetime
     ended_at: datetime | None = None
     results: dict[str, dict] = field(default_factory=dict)
-    profiles: list[DataFrame] = field(default_factory=list)
+    profiles: DataFrame | None = None
+    pending: list[DataFrame] = field(default_factory=list)
 
-    def profile_table(self) -> DataFrame | None:
-        return union_all(self.profiles) if self.profiles else None
-
-    def finish(self, spark: SparkSession, run_folder: str | None) -> LayerRun:
+    def finish(self, lake: Lake, run_folder: str | None) -> LayerRun:
+        if self.pending:
+            self.profiles = lake.replace(union_all(self.pending), "metadata", f"{self.pipeline}_profiles")
+            self.pending.clear()
         self.ended_at = datetime.now(timezone.utc)
         if run_folder is not None:
-            append_run(run_record(spark, self.pipeline, self.results, self.started_at, self.ended_at), run_folder)
+            record = run_record(lake.spark, self.pipeline, self.results, self.started_at, self.ended_at)
+            append_run(record, run_folder)
         return self
 
     def failed(self, name: str, error: Exception) -> None:
@@ -129,11 +131,11 @@ def run_bronze(
                 continue
             table = lake.replace(raw, "bronze", name)
             folded = profile.table_profile(profile.profile_columns(table, name, plan=profile_plan)).drop("output_completeness")
-            run.profiles.append(with_pii_columns(folded, {name: columns}))
+            run.pending.append(with_pii_columns(folded, {name: columns}))
             run.results[name] = {"row_count": table.count(), "status": "LOADED", "written": True}
         except PySparkException as error:
             run.failed(name, error)
-    return run.finish(lake.spark, run_folder)
+    return run.finish(lake, run_folder)
 
 
 def _gate(tables: Tables, gated: Sequence[str]) -> dict:
@@ -160,7 +162,7 @@ def run_silver(
                 run.results[recipe.name] = {"row_count": 0, "status": "REJECT", "written": False}
                 continue
             table = lake.replace(recipe.build(tables, as_of), "silver", recipe.name)
-            run.profiles.append(
+            run.pending.append(
                 profile.profile_with_provenance(
                     table, recipe.name, gate["quality_score"], gate["status"], recipe.steps, recipe.sources, profile_plan
                 ).withColumn("written", F.lit(True))
@@ -168,7 +170,7 @@ def run_silver(
             run.results[recipe.name] = {"row_count": table.count(), "status": gate["status"], "written": True}
         except PySparkException as error:
             run.failed(recipe.name, error)
-    return run.finish(lake.spark, run_folder)
+    return run.finish(lake, run_folder)
 
 
 def _kpi_row(table: DataFrame, spec: Curated) -> DataFrame | None:
@@ -196,7 +198,7 @@ def run_gold(
         try:
             table = lake.replace(spec.build(tables), "gold", spec.name)
             summary = _kpi_row(table, spec)
-            run.profiles.append(
+            run.pending.append(
                 gold_profile(table, spec.name, spec.table_type, spec.sources, summary).withColumn(
                     "written", F.lit(True)
                 )
@@ -217,4 +219,4 @@ def run_gold(
         build(spec, tables)
     if scorecard is not None and facts:
         build(Curated(scorecard_name, "fact", ["all_iku_facts"], scorecard), facts)
-    return run.finish(lake.spark, run_folder)
+    return run.finish(lake, run_folder)

@@ -83,7 +83,7 @@ def test_bronze(refreshed):
     lake, runs, _ = refreshed
     assert set(runs["bronze"].results) == set(FILES)
     assert {f.dataType.simpleString() for f in lake.read("bronze", "raw_mahasiswa").schema} == {"string"}
-    profile = {r.table_name: r for r in runs["bronze"].profile_table().collect()}
+    profile = {r.table_name: r for r in runs["bronze"].profiles.collect()}
     assert profile["raw_mahasiswa"].row_count == 5
     assert profile["raw_mahasiswa"].pii_columns == ["mahasiswa_id", "nama", "asal_provinsi"]
     assert profile["raw_kerjasama"].columns["prodi_id"].null_count == 1
@@ -203,4 +203,4 @@ def test_rejected_table_is_not_written(spark, tmp_path):
     run = run_silver(lake, [recipe("kept", "report"), recipe("dropped", "skip")], AS_OF)
     assert (run.results["kept"]["status"], run.results["kept"]["written"]) == ("REJECT", True)
     assert (run.results["dropped"]["written"], run.results["dropped"]["row_count"]) == (False, 0)
-    assert len(run.profiles) == 1
+    assert run.profiles.count() == 1
