@@ -7,6 +7,7 @@ column as text; years and amounts are typed where a fact needs them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -299,15 +300,17 @@ def refresh(
     institution: str,
     run_folder: str | None = None,
     profile_plan: str = "per_column",
+    workers: int = 4,
     **gold_options,
 ) -> dict[str, LayerRun]:
     """Full recompute of bronze, silver and gold from the raw files; every table is replaced."""
     optional = {"raw_metode_pembelajaran": []}
     raw = {**values.PII_COLUMNS, **optional}
-    bronze = run_bronze(lake, landing, raw, run_folder, profile_plan=profile_plan)
-    silver = run_silver(lake, silver_recipes(), as_of, run_folder, profile_plan)
+    bronze = run_bronze(lake, landing, raw, run_folder, profile_plan=profile_plan, workers=workers)
+    silver = run_silver(lake, silver_recipes(), as_of, run_folder, profile_plan, workers)
     specs = gold_specs(lake.spark, institution, **gold_options)
-    gold = run_gold(lake, specs, lambda facts: scorecard(facts, specs), "fact_rekap_iku_institusi", run_folder)
+    recap = partial(scorecard, specs=specs)
+    gold = run_gold(lake, specs, recap, "fact_rekap_iku_institusi", run_folder, workers)
     return {"bronze": bronze, "silver": silver, "gold": gold}
 
 

@@ -1,7 +1,7 @@
 """Running a layer: build each table, apply the gate, write, profile, record.
 
-A driver loop over lazy frames. Only small facts reach the driver: one gate row and one
-row count per table. Profiles are taken from the written tables and stored as a table of
+Tables of a layer do not depend on each other, so a few are built at a time and share the
+cluster. Only small facts reach the driver: one gate row and one row count per table. Profiles are taken from the written tables and stored as a table of
 their own (layer ``metadata``), so nothing is computed twice.
 """
 
@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,6 +28,8 @@ from strata.sources.write import create_namespace, replace_files, replace_table
 log = logging.getLogger(__name__)
 
 Tables = Mapping[str, DataFrame]
+# What building a table gives: its result (None if there was nothing to load) and its profile.
+Built = tuple[dict | None, DataFrame | None]
 
 
 @dataclass(frozen=True)
@@ -102,15 +106,32 @@ class LayerRun:
             append_run(record, run_folder)
         return self
 
-    def failed(self, name: str, error: Exception) -> None:
-        log.error("%s failed: %s", name, error)
-        self.results[name] = {"status": "ERROR", "row_count": 0, "written": False, "error": str(error)[:2000]}
+    def build_all(self, items: Mapping[str, Callable[[], Built]], workers: int) -> None:
+        """Build tables that do not depend on each other, ``workers`` at a time; an error fails one table only."""
+
+        def attempt(name: str) -> Built:
+            try:
+                return items[name]()
+            except PySparkException as error:
+                log.error("%s failed: %s", name, error)
+                return {"status": "ERROR", "row_count": 0, "written": False, "error": str(error)[:2000]}, None
+
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            for name, (result, table_profile) in zip(items, pool.map(attempt, items)):
+                if result is not None:
+                    self.results[name] = result
+                if table_profile is not None:
+                    self.pending.append(table_profile)
 
 
 def _start(pipeline: str) -> LayerRun:
     return LayerRun(pipeline, datetime.now(timezone.utc))
 
 
+def _written(table: DataFrame, status: str) -> dict:
+    return {"row_count": table.count(), "status": status, "written": True}
+
+
 def run_bronze(
     lake: Lake,
     landing: str,
@@ -118,23 +139,24 @@ def run_bronze(
     run_folder: str | None = None,
     multi_line: bool = False,
     profile_plan: str = "per_column",
+    workers: int = 4,
 ) -> LayerRun:
     """Load every raw file into a table of the same name; missing and empty files are skipped.
 
     ``profile_plan`` is the plan of ``profile_columns``; ``once`` suits many small tables.
     """
+
+    def load(name: str, columns: Sequence[str]) -> Built:
+        raw = read_staging_or_none(lake.spark, f"{landing}/{name}.csv", multi_line)
+        if raw is None:
+            return None, None
+        table = lake.replace(raw, "bronze", name)
+        columns_profile = profile.profile_columns(table, name, plan=profile_plan)
+        folded = profile.table_profile(columns_profile).drop("output_completeness")
+        return _written(table, "LOADED"), with_pii_columns(folded, {name: columns})
+
     run = _start("staging_to_bronze")
-    for name, columns in pii.items():
-        try:
-            raw = read_staging_or_none(lake.spark, f"{landing}/{name}.csv", multi_line)
-            if raw is None:
-                continue
-            table = lake.replace(raw, "bronze", name)
-            folded = profile.table_profile(profile.profile_columns(table, name, plan=profile_plan)).drop("output_completeness")
-            run.pending.append(with_pii_columns(folded, {name: columns}))
-            run.results[name] = {"row_count": table.count(), "status": "LOADED", "written": True}
-        except PySparkException as error:
-            run.failed(name, error)
+    run.build_all({name: partial(load, name, columns) for name, columns in pii.items()}, workers)
     return run.finish(lake, run_folder)
 
 
@@ -150,26 +172,24 @@ def run_silver(
     as_of: str,
     run_folder: str | None = None,
     profile_plan: str = "per_column",
+    workers: int = 4,
 ) -> LayerRun:
     """Build refined tables from bronze ones; a rejected table is not written."""
+
+    def refine(recipe: Refined) -> Built:
+        tables = {name: lake.read("bronze", name) for name in recipe.sources}
+        gate = _gate(tables, recipe.gated)
+        if gate["status"] == "REJECT" and recipe.gate == "skip":
+            log.warning("%s rejected, score %s", recipe.name, gate["quality_score"])
+            return {"row_count": 0, "status": "REJECT", "written": False}, None
+        table = lake.replace(recipe.build(tables, as_of), "silver", recipe.name)
+        made = profile.profile_with_provenance(
+            table, recipe.name, gate["quality_score"], gate["status"], recipe.steps, recipe.sources, profile_plan
+        )
+        return _written(table, gate["status"]), made.withColumn("written", F.lit(True))
+
     run = _start("bronze_to_silver")
-    for recipe in recipes:
-        try:
-            tables = {name: lake.read("bronze", name) for name in recipe.sources}
-            gate = _gate(tables, recipe.gated)
-            if gate["status"] == "REJECT" and recipe.gate == "skip":
-                log.warning("%s rejected, score %s", recipe.name, gate["quality_score"])
-                run.results[recipe.name] = {"row_count": 0, "status": "REJECT", "written": False}
-                continue
-            table = lake.replace(recipe.build(tables, as_of), "silver", recipe.name)
-            run.pending.append(
-                profile.profile_with_provenance(
-                    table, recipe.name, gate["quality_score"], gate["status"], recipe.steps, recipe.sources, profile_plan
-                ).withColumn("written", F.lit(True))
-            )
-            run.results[recipe.name] = {"row_count": table.count(), "status": gate["status"], "written": True}
-        except PySparkException as error:
-            run.failed(recipe.name, error)
+    run.build_all({r.name: partial(refine, r) for r in recipes}, workers)
     return run.finish(lake, run_folder)
 
 
@@ -186,37 +206,32 @@ def run_gold(
     scorecard: Callable[[Tables], DataFrame] | None = None,
     scorecard_name: str = "fact_scorecard",
     run_folder: str | None = None,
+    workers: int = 4,
 ) -> LayerRun:
     """Build dimensions and facts, each on its own, then the scorecard over the written facts.
 
     A source ``raw_*`` is read from bronze, any other from silver.
     """
+
+    def source(name: str) -> DataFrame:
+        return lake.read("bronze" if name.startswith("raw_") else "silver", name)
+
+    def curate(spec: Curated, tables: Tables | None = None) -> Built:
+        if tables is None:
+            tables = {name: source(name) for name in spec.sources if name != "generated"}
+        table = lake.replace(spec.build(tables), "gold", spec.name)
+        made = gold_profile(table, spec.name, spec.table_type, spec.sources, _kpi_row(table, spec))
+        return _written(table, "WRITTEN"), made.withColumn("written", F.lit(True))
+
     run = _start("silver_to_gold")
-    facts: dict[str, DataFrame] = {}
-
-    def build(spec: Curated, tables: Tables) -> None:
-        try:
-            table = lake.replace(spec.build(tables), "gold", spec.name)
-            summary = _kpi_row(table, spec)
-            run.pending.append(
-                gold_profile(table, spec.name, spec.table_type, spec.sources, summary).withColumn(
-                    "written", F.lit(True)
-                )
-            )
-            run.results[spec.name] = {"row_count": table.count(), "status": "WRITTEN", "written": True}
-            if spec.table_type == "fact":
-                facts[spec.name] = table
-        except PySparkException as error:
-            run.failed(spec.name, error)
-
-    for spec in specs:
-        try:
-            layer = lambda s: "bronze" if s.startswith("raw_") else "silver"
-            tables = {s: lake.read(layer(s), s) for s in spec.sources if s != "generated"}
-        except PySparkException as error:
-            run.failed(spec.name, error)
-            continue
-        build(spec, tables)
-    if scorecard is not None and facts:
-        build(Curated(scorecard_name, "fact", ["all_iku_facts"], scorecard), facts)
+    run.build_all({s.name: partial(curate, s) for s in specs}, workers)
+    if scorecard is not None:
+        facts = {
+            s.name: lake.read("gold", s.name)
+            for s in specs
+            if s.table_type == "fact" and run.results[s.name]["written"]
+        }
+        if facts:
+            summary = Curated(scorecard_name, "fact", ["all_iku_facts"], scorecard)
+            run.build_all({scorecard_name: partial(curate, summary, facts)}, 1)
     return run.finish(lake, run_folder)

@@ -204,3 +204,10 @@ def test_rejected_table_is_not_written(spark, tmp_path):
     assert (run.results["kept"]["status"], run.results["kept"]["written"]) == ("REJECT", True)
     assert (run.results["dropped"]["written"], run.results["dropped"]["row_count"]) == (False, 0)
     assert run.profiles.count() == 1
+
+
+def test_tables_of_the_session_catalog(spark):
+    lake = Lake(spark)
+    assert lake.replace(spark.range(3), "strata_bronze", "t").count() == 3
+    assert lake.replace(spark.range(2), "strata_bronze", "t").count() == 2
+    assert lake.read("strata_bronze", "t").count() == 2
