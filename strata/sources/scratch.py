@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only a local session without one gets its own folder."""
+    """``spark.checkpoint.dir`` of the session; a local session without one uses a folder in its warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="strata-")
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
