@@ -78,3 +78,64 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.exact import deduplicate
 
     return deduplicate(table(spark, sf_dir, "documents"), carry=[]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _mix_sql() -> str:
+    """The mix in SQL, with the fixed values of :mod:`strata.llm.mixing`."""
+    from strata.llm.mixing import MULTIPLIERS, SPLITS
+
+    def turned(x, m, primes, shift):
+        return f"((({x}) * (CASE WHEN {m} % {primes[0]} = 0 THEN {primes[1]} ELSE {primes[0]} END) + {shift}) % {m})"
+
+    rounds, last = [], "r0"
+    for r, (primes, (up, down)) in enumerate(zip(MULTIPLIERS, SPLITS)):
+        shift = f"((rank + 1) * 7368787 + (epoch + 1) * 15487469 + {(r + 1) * 179424673})"
+        back = primes[::-1]
+        rounds.append(f"a{r} AS (SELECT * REPLACE ({turned('x', 'blocks', primes, shift)} AS x), greatest(1, blocks * {up} // {down}) AS cut FROM {last})")
+        rounds.append(
+            f"r{r + 1} AS (SELECT * EXCLUDE (cut) REPLACE (CASE WHEN x < cut THEN {turned('x', 'cut', back, shift)} "
+            f"ELSE cut + {turned('x - cut', 'greatest(1, blocks - cut)', back, shift)} END AS x) FROM a{r})"
+        )
+        last = f"r{r + 1}"
+    return f"""
+WITH sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+ranked AS (
+  SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1)::BIGINT AS rank FROM totals),
+weighed AS (SELECT *, [5, 2, 1][(rank % 3) + 1] AS weight, source_size * 3 AS lim FROM ranked),
+levels AS (
+  SELECT *, lim::DOUBLE / weight AS ratio,
+    ((sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+     / sum(weight) OVER (ORDER BY lim::DOUBLE / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM weighed),
+plan AS (
+  SELECT source, rank, source_size,
+    least(lim::DOUBLE, coalesce(weight * (SELECT max(level) FROM levels WHERE ratio > level), lim::DOUBLE)) AS target FROM levels),
+epochs AS (
+  SELECT rank, source_size, (source_size + 255) // 256 AS blocks, least(round(target)::BIGINT, source_size * 3) AS words,
+    unnest(range(0, least(round(target)::BIGINT, source_size * 3) // source_size + 1)) AS epoch FROM plan WHERE source_size > 0),
+remaining AS (SELECT *, least(source_size, words - epoch * source_size) AS remains FROM epochs),
+r0 AS (
+  SELECT rank, epoch, blocks, source_size, remains, place, place AS x
+  FROM (SELECT *, unnest(range(0, (remains + 255) // 256)) AS place FROM remaining WHERE remains > 0)),
+{", ".join(rounds)},
+draws AS (SELECT rank, x AS block, CASE WHEN remains = source_size THEN 256 ELSE least(256, remains - place * 256) END AS words FROM {last}),
+known AS (SELECT s.doc_id, s.size, p.rank, p.source_size, p.target FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY ((coalesce(doc_id, size) % 256) + 256) % 256, doc_id NULLS FIRST, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM known),
+pieces AS (SELECT *, unnest(range(before // 256, (before + size - 1) // 256 + 1)) AS block FROM placed WHERE size > 0),
+taken AS (
+  SELECT rank, before, sum(greatest(0, least(size, block * 256 + words - before) - greatest(0, block * 256 - before)))::BIGINT AS taken
+  FROM pieces JOIN draws USING (rank, block) GROUP BY rank, before)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE coalesce(taken, 0) END::BIGINT AS taken
+FROM placed LEFT JOIN taken USING (rank, before)
+"""
+
+
+@query(_mix_sql())
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes."""
+    from strata.llm.mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents"))
