@@ -11,6 +11,7 @@ from strata.llm.stored import stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3
+BLOCK = 64
 # Fixed values of the permutation: multipliers (primes) and the shares at which a round splits the indices.
 MULTIPLIERS = ((104395301, 86028121), (122949823, 49979687), (67867967, 15485863), (32452843, 141650939))
 SPLITS = ((1, 2), (1, 3), (2, 5), (3, 7))
@@ -86,7 +87,7 @@ def slots(plan: DataFrame, length: int, shards: int, chunk: int = 4096) -> DataF
     )
 
 
-def mix(documents: DataFrame, length: int = 256, shards: int = 64, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = 256):
+def mix(documents: DataFrame, length: int = BLOCK, shards: int = 64, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = 256):
     """The mix of ``documents`` (doc_id, text, source): three stored or lazy tables (sizes, plan, takes).
 
     ``sizes``: one row per document: doc_id, source, size (words; null text: 0), rank, source_size, target, before (its

@@ -82,12 +82,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix_sql() -> str:
     """The mix in SQL, with the fixed values of :mod:`strata.llm.mixing`."""
-    from strata.llm.mixing import MULTIPLIERS, SPLITS
+    from strata.llm.mixing import BLOCK, MULTIPLIERS, SPLITS
 
     def turned(x, m, primes, shift):
         return f"((({x}) * (CASE WHEN {m} % {primes[0]} = 0 THEN {primes[1]} ELSE {primes[0]} END) + {shift}) % {m})"
 
-    rounds, last = [], "r0"
+    rounds, last, b = [], "r0", BLOCK
     for r, (primes, (up, down)) in enumerate(zip(MULTIPLIERS, SPLITS)):
         shift = f"((rank + 1) * 7368787 + (epoch + 1) * 15487469 + {(r + 1) * 179424673})"
         back = primes[::-1]
@@ -112,21 +112,21 @@ plan AS (
   SELECT source, rank, source_size,
     least(lim::DOUBLE, coalesce(weight * (SELECT max(level) FROM levels WHERE ratio > level), lim::DOUBLE)) AS target FROM levels),
 epochs AS (
-  SELECT rank, source_size, (source_size + 255) // 256 AS blocks, least(round(target)::BIGINT, source_size * 3) AS words,
+  SELECT rank, source_size, (source_size + {b - 1}) // {b} AS blocks, least(round(target)::BIGINT, source_size * 3) AS words,
     unnest(range(0, least(round(target)::BIGINT, source_size * 3) // source_size + 1)) AS epoch FROM plan WHERE source_size > 0),
 remaining AS (SELECT *, least(source_size, words - epoch * source_size) AS remains FROM epochs),
 r0 AS (
   SELECT rank, epoch, blocks, source_size, remains, place, place AS x
-  FROM (SELECT *, unnest(range(0, (remains + 255) // 256)) AS place FROM remaining WHERE remains > 0)),
+  FROM (SELECT *, unnest(range(0, (remains + {b - 1}) // {b})) AS place FROM remaining WHERE remains > 0)),
 {", ".join(rounds)},
-draws AS (SELECT rank, x AS block, CASE WHEN remains = source_size THEN 256 ELSE least(256, remains - place * 256) END AS words FROM {last}),
+draws AS (SELECT rank, x AS block, CASE WHEN remains = source_size THEN {b} ELSE least({b}, remains - place * {b}) END AS words FROM {last}),
 known AS (SELECT s.doc_id, s.size, p.rank, p.source_size, p.target FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
 placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY ((coalesce(doc_id, size) % 256) + 256) % 256, doc_id NULLS FIRST, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM known),
-pieces AS (SELECT *, unnest(range(before // 256, (before + size - 1) // 256 + 1)) AS block FROM placed WHERE size > 0),
+pieces AS (SELECT *, unnest(range(before // {b}, (before + size - 1) // {b} + 1)) AS block FROM placed WHERE size > 0),
 taken AS (
-  SELECT rank, before, sum(greatest(0, least(size, block * 256 + words - before) - greatest(0, block * 256 - before)))::BIGINT AS taken
+  SELECT rank, before, sum(greatest(0, least(size, block * {b} + words - before) - greatest(0, block * {b} - before)))::BIGINT AS taken
   FROM pieces JOIN draws USING (rank, block) GROUP BY rank, before)
 SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE coalesce(taken, 0) END::BIGINT AS taken
 FROM placed LEFT JOIN taken USING (rank, before)
@@ -139,3 +139,26 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.mixing import mix_documents
 
     return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op3_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as Arrow stream files and read back."""
+    from strata.llm.arrowfiles import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
+@query()
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    from strata.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
