@@ -87,11 +87,11 @@ def slots(plan: DataFrame, length: int, shards: int, chunk: int = 4096) -> DataF
     )
 
 
-def mix(documents: DataFrame, length: int = BLOCK, shards: int = 64, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = 256):
+def mix(documents: DataFrame, length: int = BLOCK, shards: int = 64, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = 256, carry: tuple[str, ...] = ()):
     """The mix of ``documents`` (doc_id, text, source): three stored or lazy tables (sizes, plan, takes).
 
     ``sizes``: one row per document: doc_id, source, size (words; null text: 0), rank, source_size, target, before (its
-    first word among the words of its source). ``plan``: one row per source. ``takes``: one row per document and draw
+    first word among the words of its source) and the columns named by ``carry``. ``plan``: one row per source. ``takes``: one row per document and draw
     that touches it: rank, before, epoch, shard, first and last (words of the document, last excluded).
 
     The documents of a source are laid end to end, in an order that doc_id and size decide, and cut into blocks of
@@ -99,7 +99,7 @@ def mix(documents: DataFrame, length: int = BLOCK, shards: int = 64, weights: tu
     at most ``most`` times, as a source's epochs are. Null sources form a source of their own; without any words every
     target is 0. Rows of equal doc_id are separate documents.
     """
-    counted = documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    counted = documents.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     counted = stored(counted, "mix-sizes")
     plan = stored(targets(counted.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).coalesce(1), "mix-plan")
     known = counted.withColumnRenamed("source", "_source").join(plan, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
@@ -133,17 +133,12 @@ def mixed_texts(documents: DataFrame) -> DataFrame:
     A document taken whole keeps its text; one taken in part keeps its taken words, joined by spaces, in order. n_chars
     follows the new text. Documents of which nothing is taken go.
     """
-    rows = stored(documents.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")), "mix-texts")
-    sizes, _, takes = mix(rows.select("doc_id", "source", "text"))
-    spans = takes.groupBy("rank", "before", "epoch").agg(F.sum(F.col("last") - F.col("first")).alias("_taken"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans"))
-    # rows of equal doc_id, source and size are told apart by a running number on both sides
-    number = Window.partitionBy("doc_id", "source", "size").orderBy("before")
-    numbered = sizes.where("size > 0").withColumn("_n", F.row_number().over(number)).select("doc_id", "source", "size", "_n", "rank", "before")
-    own = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    texts = rows.withColumn("_n", F.row_number().over(own))
-    r, s = texts.alias("r"), numbered.join(spans, ["rank", "before"]).alias("s")
-    same = [F.col(f"r.{a}").eqNullSafe(F.col(f"s.{b}")) for a, b in (("doc_id", "doc_id"), ("source", "source"), ("_size", "size"), ("_n", "_n"))]
-    found = r.join(s, same[0] & same[1] & same[2] & same[3]).select("r.*", "_taken", "_spans")
+    rows = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "mix-texts")
+    sizes, _, takes = mix(rows.select("doc_id", "source", "text", "_row"), carry=("_row",))
+    taken = F.sum(F.col("last") - F.col("first")).alias("_taken")
+    spans = takes.groupBy("rank", "before", "epoch").agg(taken, F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans"))
+    placed = sizes.where("size > 0").select("rank", "before", "_row", F.col("size").alias("_size")).join(spans, ["rank", "before"])
+    found = rows.join(placed.select("_row", "_size", "_taken", "_spans"), "_row")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.flatten(F.transform("_spans", lambda p: F.slice(words, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int")))), " ")
     text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(cut)

@@ -162,3 +162,38 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query()
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from strata.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    from strata.llm.language import identify
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(documents, vocabulary("piece_bpe_32k.model")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op2_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    from pyspark.sql import functions as F
+
+    from strata.llm.vectors import search
+
+    return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    from strata.llm.near import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
