@@ -197,3 +197,12 @@ def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.near import near_groups
 
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
