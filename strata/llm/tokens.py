@@ -3,20 +3,26 @@
 A text is cut at single spaces where no token of the tokenizer can span the cut: a word-level tokenizer drops white
 space, a byte-level one starts a new piece at a space before a word. So the ids of the text are the ids of its
 stretches, and a stretch seen before is looked up. The memory of stretches is bounded and belongs to the Python worker.
+A plain stretch (Latin letters, perhaps with a space before and a mark after) is known to be one piece and goes to the
+tokenizer's model without its normaliser and its splitting pattern.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 400_000  # stretches per worker
+REMEMBERED = 1_000_000  # stretches per worker
 LONGEST = 64  # characters of a stretch worth remembering
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+# Latin letters that neither normalisation nor lower-casing changes in number, and a run of ASCII marks, which is a piece of its own.
+_PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@[-`{-~]*)")
+# Byte-level vocabularies write printable bytes as themselves and the others, in order, from character 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _SPACE_RUN = re.compile(r"\s\s")
 
 
@@ -35,12 +41,30 @@ class Encoder:
 
     def _stretches(self, text: str) -> list[str]:
         if not self.keeps_space:
-            return text.split(" ")
+            return text.replace("\n", " ").split(" ")
         if _SPACE_RUN.search(text):
             parts = _INNER_SPACE.split(text)
-        else:
-            parts = text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
+            return parts[:1] + [" " + p for p in parts[1:]]
+        parts = text.replace("\n", " \n").split(" ")  # a lone line break is a piece of its own
+        return parts[:1] + [p if p[:1] == "\n" else " " + p for p in parts[1:]]
+
+    def _learn(self, stretches: list[str]) -> None:
+        known, split, others = self.known, self.tokenizer.model.tokenize, []
+        for s in stretches:
+            if s.isascii() and (s[1:] if (spaced := self.keeps_space and s[:1] == " ") else s).isalpha():
+                ids = [t.id for t in split("\u0120" + s[1:] if spaced else s if self.keeps_space else s.lower())]
+            elif (plain := _PLAIN.fullmatch(s)) and (self.keeps_space or s[0] not in " \n"):
+                ids = []
+                for piece in plain.groups():
+                    if piece:
+                        piece = piece if self.keeps_space else piece.lower()
+                        ids += [t.id for t in split(piece.encode().decode("latin-1").translate(_BYTES))]
+            else:
+                others.append(s)
+                continue
+            known[s] = array("I", ids).tobytes()
+        for s, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            known[s] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text; null is empty."""
@@ -49,8 +73,7 @@ class Encoder:
         if len(self.known) + len(missing) > REMEMBERED:
             self.known.clear()
             missing = list(set().union(*cut))
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.known.update((m, np.array(f.ids, "<u4").tobytes()) for m, f in zip(missing, found))
+        self._learn(missing)
         ids = [b"".join(map(self.known.__getitem__, c)) for c in cut]
         for m in missing:
             if len(m) > LONGEST:
