@@ -14,7 +14,7 @@ from strata.llm.stored import stored
 
 CAPACITY = 2048
 PIECE = 512  # longest piece of a document's rest: more pieces per window, more equal windows
-BATCH = 768  # pieces that are dealt together
+BATCH = 384  # pieces that are dealt together
 END = 1
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
