@@ -125,11 +125,15 @@ def learn(documents: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds: i
     come to the driver. Without such documents there are no languages.
     """
     labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    names = sorted(r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    counts = dict(sorted(labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()))
+    names = list(counts)
     if not names:
         return [], np.zeros((0, 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.where(F.col("lang").isin(names)).select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
+    # about twice the sample passes by hash, so that no language's rows meet in one task
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 2.0 * sample / n))])[F.col("lang")]
+    drawn = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) < share * 1_000_003
+    chosen = labelled.where(F.col("lang").isin(names) & drawn).select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
     texts = labelled.join(F.broadcast(chosen.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi").select("lang", "text")  # sample * languages rows
 
     def split(batches):
@@ -145,8 +149,8 @@ def learn(documents: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds: i
         found = _fit(table.column("word").to_pylist(), table.column("n").to_numpy().astype(float), pieces, rounds)
         return pa.table({"lang": [table.column("lang")[0].as_py()], "probability": [found.tolist()]}, pa.schema([("lang", pa.string()), ("probability", pa.list_(pa.float64()))]))
 
-    counts = texts.mapInArrow(split, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    rows = counts.groupBy("lang").applyInArrow(fit, "lang string, probability array<double>").collect()
+    totals = texts.mapInArrow(split, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    rows = totals.groupBy("lang").applyInArrow(fit, "lang string, probability array<double>").collect()
     fitted = sorted((r["lang"], r["probability"]) for r in rows)
     return [name for name, _ in fitted], np.array([p for _, p in fitted]).T if fitted else np.zeros((0, 0))
 
