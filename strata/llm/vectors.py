@@ -123,10 +123,9 @@ def search(vectors: DataFrame, asks: Column, k: int = NEAREST, id_column: str =
                 lengths = np.sqrt((some**2).sum(axis=1))
                 estimate = ((some @ turn.T).astype(np.float32) @ signs) * scale
                 reach = estimate + lengths[:, None] * error
-                reach[query_ids[at : at + TOGETHER, None] == ids] = -np.inf
                 for q in range(len(some)):
                     least = low[at + q]
-                    likely = np.flatnonzero(reach[q] >= least)
+                    likely = np.flatnonzero((reach[q] >= least) & (ids != query_ids[at + q]))
                     if len(likely) > 4 * k:  # the likeliest first: their exact values raise the floor
                         first = likely[np.argpartition(-estimate[q, likely], 2 * k)[: 2 * k]]
                         least = max(least, np.sort(products(exact[first], some[q]))[-k])
