@@ -191,7 +191,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
                      if hashlib.blake2b((s := shingles.shingle_set(t)).tobytes(), digest_size=16).digest() == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["node", "items"])
 
-    wanted = units.select("label", "node").distinct()
+    wanted = units.select("label", "node").distinct().hint("merge")  # the same plan at every size
     texts = documents.select(F.col("doc_id").cast("long").alias("label"), "text").join(wanted, "label").select("node", "text")
     items = texts.mapInArrow(sets, "node binary, items binary").dropDuplicates(["node"])
     confirmed = (
