@@ -66,5 +66,6 @@ def progress_pct(value: Column, target: Column, is_ratio: Column | bool = False)
 
 
 def surrogate_key(*business_key: Column | str) -> Column:
-    """Stable id from the business key; needs neither a shuffle nor an order."""
-    return F.xxhash64(*business_key)
+    """Stable id from the business key; needs neither a shuffle nor an order. The place of a NULL counts."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in business_key]
+    return F.xxhash64(*[part for c in columns for part in (c.isNull(), c)])

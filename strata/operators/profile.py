@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DataType, DoubleType, FloatType, MapType, StringType, StructField, TimestampType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructField, StructType, TimestampType
 
 from strata.functions.numbers import gate_status
 from strata.functions.predicates import is_blank
@@ -29,7 +29,7 @@ DISTINCT_MODES = ("exact", "approx", "text")
 PLANS = ("per_column", "once")
 
 
-# Texts longer than this many bytes are compared by their digest.
+# Texts longer than this many bytes are compared by a digest that is longer still, so it never equals a text kept whole.
 LONG_TEXT = 128
 
 
@@ -40,7 +40,7 @@ def _countable(name: str, data_type: DataType) -> Column:
         column = F.to_json(column)
     elif not isinstance(data_type, StringType):
         return column
-    return F.when(F.octet_length(column) > LONG_TEXT, F.sha2(column, 256)).otherwise(column)
+    return F.when(F.octet_length(column) > LONG_TEXT, F.concat(F.sha2(column, 512), F.lit("+"))).otherwise(column)
 
 
 def _distinct(name: str, data_type: DataType, mode: str) -> Column:
@@ -105,6 +105,8 @@ def _value_text(field: StructField) -> Column:
         column = column + F.lit(0.0).cast(field.dataType)
     elif isinstance(field.dataType, TimestampType):
         column = F.unix_micros(column)
+    elif isinstance(field.dataType, (ArrayType, StructType)):  # a NULL inside is not the text "null"
+        column = F.to_json(column, {"ignoreNullFields": "false"})
     return column.cast("string")
 
 

@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import partial
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.operators import profile
@@ -112,9 +111,9 @@ class LayerRun:
         def attempt(name: str) -> Built:
             try:
                 return items[name]()
-            except PySparkException as error:
+            except Exception as error:  # whatever fails, fails one table only
                 log.error("%s failed: %s", name, error)
-                return {"status": "ERROR", "row_count": 0, "written": False, "error": str(error)[:2000]}, None
+                return {"status": "ERROR", "row_count": 0, "written": False, "error": str(error)}, None
 
         with ThreadPoolExecutor(max_workers=workers) as pool:
             for name, (result, table_profile) in zip(items, pool.map(attempt, items)):

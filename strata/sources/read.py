@@ -43,12 +43,13 @@ def _table_of(path_column: str, folder: str) -> Column:
     return F.regexp_extract(path_column, rf"\Q{inner}\E/+([^/]+?)(\.[^./]*)?(/.*)?$", 1).alias("table_name")
 
 
-def dataset_summary(spark: SparkSession, folder: str, file_format: str = "csv") -> DataFrame:
+def dataset_summary(spark: SparkSession, folder: str, file_format: str = "csv", multi_line: bool = False) -> DataFrame:
     """One row per table of a folder, be it one file or a folder of files: rows, bytes and megabytes.
 
     A file of zero bytes has no header either; Spark does not list it. One scan over all
     files of the folder; rows are counted per file, no column is decoded. Sizes come from
-    a listing that does not open the files.
+    a listing that does not open the files. ``multi_line`` counts CSV records with quoted line
+    breaks rightly, at the price that a file is read by one task.
     """
     pattern = f"*.{file_format}"
     find = {"pathGlobFilter": pattern, "recursiveFileLookup": True}
@@ -56,7 +57,7 @@ def dataset_summary(spark: SparkSession, folder: str, file_format: str = "csv")
     sizes = listing.groupBy(_table_of("path", folder)).agg(F.sum("length").alias("size_bytes"))
     scan = spark.read.format(file_format).schema("_unused string").options(**find)
     if file_format == "csv":
-        scan = scan.option("header", True)
+        scan = scan.option("header", True).option("multiLine", multi_line)
     per_file = scan.load(folder).groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n"))
     counted = per_file.groupBy(_table_of("file_path", folder)).agg(F.sum("n").alias("row_count"))
     return sizes.join(counted, "table_name", "left").select(

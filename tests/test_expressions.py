@@ -136,3 +136,10 @@ def test_column_stats_of_both_shapes(spark):
 def test_surrogate_key_is_stable(spark):
     got = values(spark, numbers.surrogate_key("x"), ["a", "a", "b"])
     assert got[0] == got[1] != got[2]
+
+
+def test_surrogate_key_tells_null_places_apart(spark):
+    from strata.functions.numbers import surrogate_key
+
+    frame = spark.createDataFrame([(2000, None), (None, 2000), (None, None), (2000, 2000)], "a int, b int")
+    assert frame.select(surrogate_key("a", "b").alias("id")).distinct().count() == 4

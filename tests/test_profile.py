@@ -1,5 +1,7 @@
 """Profiles and gates."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,17 @@ def test_long_texts_that_differ_at_the_end_are_distinct(spark, plan):
     long = "x" * 5000
     df = spark.createDataFrame([(long + "a",), (long + "b",), (long + "a",), ("short",), (None,)], "t string")
     assert profile.profile_columns(df, "f", plan=plan).first().distinct_count == 3
+
+
+def test_long_text_and_its_digest_are_two_values(spark):
+    text = "a" * 200
+    rows = [(text,), (hashlib.sha256(text.encode()).hexdigest(),), (hashlib.sha512(text.encode()).hexdigest() + "+",), (text,)]
+    frame = spark.createDataFrame(rows, "t string")
+    for plan in ("per_column", "once"):
+        assert profile.profile_columns(frame, "x", plan=plan).first()["distinct_count"] == 3
+
+
+def test_null_inside_nested_values(spark):
+    frame = spark.createDataFrame([([None],), (["null"],), (["null"],)], "a array<string>")
+    for plan in ("per_column", "once"):
+        assert profile.profile_columns(frame, "x", plan=plan).first()["distinct_count"] == 2

@@ -116,3 +116,8 @@ def test_run_log(spark, tmp_path, rows):
     assert (summary.experiment_id, summary.pipeline_runtime_total_sec, summary.umt_rows) == ("X-1", 2.25, 4)
     assert summary.pipelines[0].pipeline == "p" and summary.metadata_quality[0].layer == "bronze"
     assert json.loads(log.select(F.to_json(F.struct("*"))).first()[0])["pipeline"] == "p"
+
+
+def test_dataset_summary_counts_records_with_line_breaks(spark, tmp_path):
+    (tmp_path / "notes.csv").write_text('id,text\n1,"two\nlines"\n2,one\n')
+    assert read.dataset_summary(spark, str(tmp_path), multi_line=True).first()["row_count"] == 2
