@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import shingles
 from strata.llm.components import connected
-from strata.llm.stored import stored
+from strata.llm.stored import passing, stored
 
 TREES, DEPTH, PREFIX = 20, 5, 3
 SIMILAR = 75  # per cent of the union that the intersection of linked sets has at least
@@ -29,45 +29,47 @@ _SIGNATURE = shingles.multipliers(TREES * DEPTH)
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, signature, prefixes, rests) of every document (doc_id, text).
+    """(doc_id, n_shingles, node, signature) of every document (doc_id, text).
 
-    ``node`` names the shingle set (16 bytes), null for the empty set. ``prefixes`` has one number per tree for the
-    first ``PREFIX`` values, ``rests`` one for the next value, by which crowded regions are divided.
+    ``node`` names the shingle set (16 bytes); node and signature are null for the empty set.
     """
 
     def run(batches):
         from strata.llm.tokens import slices
 
-        tree = np.arange(TREES, dtype=np.uint64)
         for part in slices(batches, "text"):
-            counts, nodes, signatures, prefixes, rests = [], [], [], [], []
+            counts, nodes, signatures = [], [], []
             for text in part.column("text").to_pylist():
                 items = shingles.shingle_set(text)
                 counts.append(len(items))
-                if not len(items):
-                    for column in (nodes, signatures, prefixes, rests):
-                        column.append(None)
-                    continue
-                values = shingles.signature(items, _SIGNATURE)
-                by_tree = values.reshape(TREES, DEPTH).astype(np.uint64)
-                head = tree
-                for k in range(PREFIX):
-                    head = shingles.mix(head * np.uint64(0x9E3779B97F4A7C15) + by_tree[:, k] + np.uint64(1))
-                nodes.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-                signatures.append(values.tobytes())
-                prefixes.append(head.view(np.int64).tolist())
-                rests.append(by_tree[:, PREFIX].astype(np.int64).tolist())
-            longs = pa.list_(pa.int64())
+                nodes.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
+                signatures.append(shingles.signature(items, _SIGNATURE).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(prefixes, longs), pa.array(rests, longs)],
-                names=["doc_id", "n_shingles", "node", "signature", "prefixes", "rests"],
+                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "signature"],
             )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, node binary, signature binary, prefixes array<long>, rests array<long>"
+        run, "doc_id long, n_shingles long, node binary, signature binary"
     )
 
 
+def placed(nodes: DataFrame) -> DataFrame:
+    """(node, prefix, rest) per node and tree: a number for the first ``PREFIX`` values, and the next value, by which crowded regions are divided."""
+
+    def run(batches):
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(np.uint64)
+            head = np.broadcast_to(np.arange(TREES, dtype=np.uint64), values.shape[:2])
+            for k in range(PREFIX):
+                head = shingles.mix(head * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k] + np.uint64(1))
+            node = batch.column("node").take(pa.array(np.repeat(np.arange(len(values)), TREES)))
+            rest = values[:, :, PREFIX].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([node, pa.array(head.astype(np.int64).ravel()), pa.array(rest.ravel())], names=["node", "prefix", "rest"])
+
+    return nodes.select("node", "signature").mapInArrow(run, "node binary, prefix long, rest long")
+
+
 def spread(same: int, neighbours) -> list[tuple[int, int]]:
     """Components of ``same`` items as (first item, item) pairs; ``neighbours(x, others)`` picks the linked among others.
 
@@ -159,17 +161,22 @@ def near_groups(documents: DataFrame) -> DataFrame:
     Two sets with a Jaccard similarity of 0.75 share a region with probability 1 - 1.7e-5, more similar ones almost
     surely; all else is exact. Regions of more than ``REGION`` nodes are divided by the next signature value into
     blocks, families of more than ``WEIGHT`` shingles by hash, and every pair of blocks is compared, so none is capped.
+    The result is a stored table; signatures, regions and families are deleted once it is written.
     """
+    with passing(documents.sparkSession):
+        return stored(_grouped(documents), "near-result", stays=True)
+
+
+def _grouped(documents: DataFrame) -> DataFrame:
     drawn = stored(sketch(documents), "near-sketches")
     known = drawn.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = stored(
         known.groupBy("node").agg(
             F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"),
-            F.first("prefixes").alias("prefixes"), F.first("rests").alias("rests"),
         ),
         "near-nodes",
     )
-    prefixes = nodes.select("node", F.explode(F.arrays_zip("prefixes", "rests")).alias("_t")).select("node", F.col("_t.prefixes").alias("prefix"), F.col("_t.rests").alias("rest"))
+    prefixes = placed(nodes)
     crowds = prefixes.groupBy("prefix").agg(F.count("*").alias("_size")).where("_size > 1").withColumn("_blocks", F.ceil(F.col("_size") / REGION).cast("long"))
     members = stored(_units(prefixes.join(crowds, "prefix"), "prefix", "_blocks", F.xxhash64("rest")).select("unit", "node"), "near-regions")
     tasks = max(1, -(-members.count() // GROUPED))

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import DataFrame, SparkSession
 
 from strata.sources.scratch import new_folder
 
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def stored(frame: DataFrame, purpose: str, stays: bool = False) -> DataFrame:
+    """``frame`` written once as Parquet to a fresh shared folder and read back: a cut of the lineage that outlives executors.
 
-def stored(frame: DataFrame, purpose: str) -> DataFrame:
-    """``frame`` written once as Parquet to a fresh shared folder and read back: a cut of the lineage that outlives executors."""
+    Inside :func:`passing` the table goes at the end of the block, unless it ``stays``.
+    """
     path = new_folder(frame.sparkSession, purpose)
+    if not stays and (folders := _passing.get()) is not None:
+        folders.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are deleted when it ends, also after an error; only what ``stays`` may be read later."""
+    folders: list[str] = []
+    before = _passing.set(folders)
+    try:
+        yield
+    finally:
+        _passing.reset(before)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
