@@ -140,7 +140,9 @@ def mixed_texts(documents: DataFrame) -> DataFrame:
     placed = sizes.where("size > 0").select("rank", "before", "_row", F.col("size").alias("_size")).join(spans, ["rank", "before"])
     found = rows.join(placed.select("_row", "_size", "_taken", "_spans"), "_row")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.flatten(F.transform("_spans", lambda p: F.slice(words, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int")))), " ")
+    parts = lambda ws: F.transform("_spans", lambda p: F.slice(ws, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int")))
+    # the words as a variable of a lambda, so that a text is split once and not for every span
+    cut = F.transform(F.array(words), lambda ws: F.array_join(F.flatten(parts(ws)), " "))[0]
     text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(cut)
     kept = [F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col("_new").alias(c) if c == "text" else F.col(c) for c in documents.columns]
     return found.withColumn("_new", text).select(*kept)
