@@ -97,30 +97,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-# A frontier of at most this many nodes is broadcast: about ten megabytes of names.
-BROADCAST_NODES = 100_000
+# A frontier is broadcast if its names have at most this many bytes, counted with ``NODE_BYTES`` more for each.
+BROADCAST_BYTES = 10 * 1024 * 1024
+NODE_BYTES = 32
 
 
-def _sized(nodes: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(nodes) if count <= BROADCAST_NODES else nodes
+def _size(nodes: DataFrame) -> tuple[int, int]:
+    """How many nodes there are, and about how many bytes they take in memory."""
+    names = F.coalesce(F.sum(F.octet_length("node").cast("long") + NODE_BYTES), F.lit(0))
+    return tuple(nodes.agg(F.count(F.lit(1)), names).first())
+
+
+def _sized(nodes: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(nodes) if size <= BROADCAST_BYTES else nodes
 
 
 def _reach(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` steps along src -> dst, with their smallest depth; the start has depth 0."""
     frontier = start.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    visited, found = frontier, frontier.count()
-    seen = found
+    visited, (found, size) = frontier, _size(frontier)
+    seen = size
     for level in range(1, depth + 1):
-        sources = _sized(frontier.select(F.col("node").alias("src")), found)
+        sources = _sized(frontier.select(F.col("node").alias("src")), size)
         step = graph.join(sources, "src").select(F.col("dst").alias("node")).distinct()
         # An anti join would be pushed below the step and test every edge; this one tests its result.
         known = _sized(visited.select("node", F.lit(True).alias("_seen")), seen)
         unseen = step.join(known, "node", "left").where("_seen is null")
         frontier = unseen.select("node", F.lit(level).alias("depth")).checkpoint()
-        found = frontier.count()
+        found, size = _size(frontier)
         if found == 0:
             break
-        visited, seen = visited.unionByName(frontier), seen + found
+        visited, seen = visited.unionByName(frontier), seen + size
     return visited
 
 
@@ -139,12 +146,14 @@ def traverse(
     forward = graph.select("src", "dst")
     if persist:
         forward = forward.persist()
-    backward = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    backward = forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ways = {"OUTPUT": forward, "INPUT": backward}
     wanted = ["INPUT", "OUTPUT"] if direction == "BOTH" else [direction]
-    found = [_reach(ways[w], start, depth).withColumn("direction", F.lit(w)) for w in wanted]
-    if persist:
-        forward.unpersist()
+    try:
+        found = [_reach(ways[w], start, depth).withColumn("direction", F.lit(w)) for w in wanted]
+    finally:
+        if persist:
+            forward.unpersist()
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 

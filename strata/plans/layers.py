@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.operators import profile
@@ -97,7 +98,7 @@ class LayerRun:
 
     def finish(self, lake: Lake, run_folder: str | None) -> LayerRun:
         if self.pending:
-            self.profiles = lake.replace(union_all(self.pending), "metadata", f"{self.pipeline}_profiles")
+            self.profiles = self._merge_profiles(lake)
             self.pending.clear()
         self.ended_at = datetime.now(timezone.utc)
         if run_folder is not None:
@@ -105,12 +106,27 @@ class LayerRun:
             append_run(record, run_folder)
         return self
 
+    def _merge_profiles(self, lake: Lake) -> DataFrame:
+        """This run's profiles take the place of the stored ones of the same tables; those of other tables stay."""
+        name = f"{self.pipeline}_profiles"
+        made = union_all(self.pending)
+        try:
+            before = lake.read("metadata", name)
+        except AnalysisException:  # the first run
+            return lake.replace(made, "metadata", name)
+        tables = [row["table_name"] for profile_rows in self.pending for row in profile_rows.select("table_name").collect()]
+        others = before.where(~F.col("table_name").isin(tables))
+        return lake.replace(made.unionByName(others, allowMissingColumns=True), "metadata", name)
+
     def build_all(self, items: Mapping[str, Callable[[], Built]], workers: int) -> None:
         """Build tables that do not depend on each other, ``workers`` at a time; an error fails one table only."""
 
         def attempt(name: str) -> Built:
             try:
-                return items[name]()
+                result, made = items[name]()
+                if made is not None:  # one row per table, taken here so that its errors stay here
+                    made = made.sparkSession.createDataFrame(made.collect(), made.schema)
+                return result, made
             except Exception as error:  # whatever fails, fails one table only
                 log.error("%s failed: %s", name, error)
                 return {"status": "ERROR", "row_count": 0, "written": False, "error": str(error)}, None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,23 +12,58 @@ def create_namespace(spark: SparkSession, namespace: str) -> None:
 
 
 def replace_table(df: DataFrame, name: str, table_format: str = "parquet", partition_by: tuple = ()) -> DataFrame:
-    """Replace a table by the rows of ``df`` and return the written table.
+    """Replace a table by the rows of ``df`` (which may read the table) and return the written table.
 
-    A table format with a catalog of its own (for example Iceberg) is replaced in one
-    commit; files of the session catalog are overwritten.
+    A table format with a catalog of its own (for example Iceberg) is replaced in one commit. In the session catalog
+    the rows are written to a new table, which takes over the name once it is complete; a failed write leaves the old
+    table as it was.
     """
+    spark = df.sparkSession
     if table_format in ("iceberg", "delta"):
         df.writeTo(name).using(table_format).createOrReplace()
-    else:
-        writer = df.write.mode("overwrite").format(table_format)
-        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
-    return df.sparkSession.table(name)
+        return spark.table(name)
+    fresh, old = (f"{name}__{kind}_{uuid.uuid4().hex}" for kind in ("new", "old"))
+    writer = df.write.format(table_format)
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(fresh)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    replaced = spark.catalog.tableExists(name)
+    if replaced:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    if replaced:
+        spark.sql(f"DROP TABLE {old}")
+    return spark.table(name)
 
 
 def replace_files(df: DataFrame, path: str) -> DataFrame:
-    """Replace Parquet files under a path by the rows of ``df`` and return the written rows."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Replace Parquet files under a path by the rows of ``df`` (which may read the path) and return the written rows.
+
+    The rows are written to a folder beside the path, which takes its place once it is complete; a failed write leaves
+    the old files as they were. Renaming costs nothing on a file system and a copy on an object store, where a table
+    format with commits is the better choice.
+    """
+    spark = df.sparkSession
+    parent, _, name = path.rstrip("/").rpartition("/")
+    fresh, old = (f"{parent}/_{name}-{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(fresh)
+    except Exception:
+        files.delete(at(fresh), True)
+        raise
+    replaced = files.exists(at(path))
+    if replaced and not files.rename(at(path), at(old)):
+        raise OSError(f"cannot replace {path}; the new rows are in {fresh}")
+    if not files.rename(at(fresh), at(path)):
+        raise OSError(f"cannot move {fresh} to {path}" + (f"; the old rows are in {old}" if replaced else ""))
+    if replaced:
+        files.delete(at(old), True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:

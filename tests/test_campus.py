@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import catalog, governance, lineage
 from strata.plans import campus
-from strata.plans.layers import Lake
+from strata.plans.layers import Lake, run_bronze
 from strata.sources.runlog import read_runs
 
 AS_OF = "2024-06-30"
@@ -211,3 +211,17 @@ def test_tables_of_the_session_catalog(spark):
     assert lake.replace(spark.range(3), "strata_bronze", "t").count() == 3
     assert lake.replace(spark.range(2), "strata_bronze", "t").count() == 2
     assert lake.read("strata_bronze", "t").count() == 2
+
+
+def test_a_rerun_keeps_the_profiles_of_tables_that_fail(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for name in ("raw_a", "raw_b"):
+        (landing / f"{name}.csv").write_text("id\n1\n2\n")
+    lake = Lake(spark, str(tmp_path / "lake"))
+    run_bronze(lake, str(landing), {"raw_a": [], "raw_b": []})
+    (landing / "raw_a.csv").write_text("id\n1\n2\n3\n")
+    (landing / "raw_b.csv").unlink()
+    again = run_bronze(lake, str(landing), {"raw_a": [], "raw_b": []})
+    assert sorted(r.table_name for r in again.profiles.collect()) == ["raw_a", "raw_b"]
+    assert again.profiles.where("table_name = 'raw_a'").count() == 1

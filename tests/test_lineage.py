@@ -56,10 +56,10 @@ def test_depth_zero_and_unknown_start(graph, start, rows):
         lineage.traverse(g, start("a"), 1, "UP")
 
 
-@pytest.mark.parametrize("limit", [lineage.BROADCAST_NODES, 0])
+@pytest.mark.parametrize("limit", [lineage.BROADCAST_BYTES, 0])
 def test_traversal_against_brute_force(graph, start, rows, monkeypatch, limit):
     """Same result with broadcast frontiers and with shuffled ones, on a graph with a hub."""
-    monkeypatch.setattr(lineage, "BROADCAST_NODES", limit)
+    monkeypatch.setattr(lineage, "BROADCAST_BYTES", limit)
     rnd = random.Random(7)
     pairs = [(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(90)] + [("hub", f"n{i}") for i in range(40)] + [("n1", "hub")]
     depth_of, level = {"n1": 0}, {"n1"}

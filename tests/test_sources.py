@@ -121,3 +121,25 @@ def test_run_log(spark, tmp_path, rows):
 def test_dataset_summary_counts_records_with_line_breaks(spark, tmp_path):
     (tmp_path / "notes.csv").write_text('id,text\n1,"two\nlines"\n2,one\n')
     assert read.dataset_summary(spark, str(tmp_path), multi_line=True).first()["row_count"] == 2
+
+
+def test_a_failed_replacement_keeps_the_old_rows(spark, tmp_path, rows):
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    path = str(tmp_path / "t")
+    write.replace_files(spark.range(2).toDF("id"), path)
+    write.create_namespace(spark, "strata_kept")
+    write.replace_table(spark.range(2).toDF("id"), "strata_kept.t")
+    for replace in (lambda: write.replace_files(broken, path), lambda: write.replace_table(broken, "strata_kept.t")):
+        with pytest.raises(Exception, match="no"):
+            replace()
+    assert rows(spark.read.parquet(path)) == rows(spark.table("strata_kept.t")) == [(0,), (1,)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"] and spark.catalog.listTables("strata_kept")[0].name == "t"
+
+
+def test_a_table_is_replaced_from_itself(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    write.replace_files(spark.range(4).toDF("id"), path)
+    assert rows(write.replace_files(spark.read.parquet(path).where("id > 1"), path)) == [(2,), (3,)]
+    write.create_namespace(spark, "strata_kept")
+    write.replace_table(spark.range(4).toDF("id"), "strata_kept.own")
+    assert rows(write.replace_table(spark.table("strata_kept.own").where("id > 1"), "strata_kept.own")) == [(2,), (3,)]
