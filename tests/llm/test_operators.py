@@ -336,6 +336,25 @@ def test_main_text(spark, sf):
     assert extract(odd.where("false")).collect() == []
 
 
+def test_main_text_in_frames():
+    from strata.llm.htmltext import main_text
+
+    long = "A long sentence of the main text with many words. " * 4
+    text = long.strip()
+    for page in (
+        f'<div class="layout has-sidebar"><article><p>{long}</p></article></div>', f'<div class="header-fixed"><p>{long}</p></div>', f'<div class="no-comments"><p>{long}</p></div>',
+        f'<div class="layout sidebar"><article><p>{long}</p></article></div>', f"<body><form><div><p>{long}</p></div></form></body>", f"<form><article><p>{long}</p></article></form>",
+        f"<body><nav><a>menu</a><article><p>{long}</p></article></body>", f"<body><div class=ad>Ad<article><p>{long}</p></article></body>", f"<main><nav><a>menu</a><article><p>{long}</p></article></main>",
+        f"<html><head><title>t</title><body><p>{long}</body>", f"<main><p>{long}</p></main><aside><article>teaser</article></aside>",
+        f"<main><p>{long}</p><section class=comments><article>{long * 3}</article></section></main>", f"<div><p>{long}</p></div><footer>{long * 3}</footer>",
+    ):
+        assert main_text(page) == text, page
+    page = f'<p>{long}</p><section id="discussion"><h2>Discussion</h2><p>{long}</p></section><h2 id="related-work">Related</h2><p>few</p><h2 id="search">Search</h2>'
+    assert main_text(f"<article>{page}</article>") == main_text(f"<div>{page}</div>") == f"{text} Discussion {text} Related few Search"
+    assert main_text(f"<main><nav>menu<article><p>{long}</p></article><p>tail</p></main>") == f"{text} tail"
+    assert main_text(f"<article><p>{long}<span class=ad>buy</span> more</p></article>") == f"{text} more"
+
+
 def test_exact(spark, odd, none):
     from strata.llm.exact import deduplicate
 
