@@ -233,7 +233,7 @@ def clustered(lines: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray
     """Sizes of the lines, and which are at or above the mean of the smoothed text-to-tag ratios."""
     sizes = np.array([len(text) for text, _, _ in lines], float)
     ratios = smoothed(sizes / np.maximum(1, [tags for _, tags, _ in lines]))
-    return sizes, ratios >= ratios.mean()
+    return sizes, ratios >= ratios.mean() * (1 - 1e-9)  # the mean of equal ratios may be rounded up
 
 
 def weighed(parents: list[int], lines: list[tuple[str, int, int]]) -> np.ndarray:
@@ -250,10 +250,10 @@ def weighed(parents: list[int], lines: list[tuple[str, int, int]]) -> np.ndarray
 def main_text(html: str | None) -> str:
     """The main text of a page; empty for null, empty or text-free html.
 
-    Frames are cut away (:func:`settled`). Lines above the mean of the smoothed text-to-tag ratios form the content
-    clusters. They select a region: an article or main element if one holds any of them (all such elements that do, if
-    there are several), else the deepest element that holds nine tenths of their text. Every line of the region is
-    kept, so short paragraphs and headings stay.
+    Frames are cut away (:func:`settled`). All article and main elements with text are the region, if there are any.
+    Otherwise the lines at or above the mean of the smoothed text-to-tag ratios form the content clusters, and the
+    smallest element that holds all of them is the region (for a section among others, what they are sections of).
+    Every line of the region is kept, so short paragraphs and headings stay.
     """
     parser = Lines()
     parser.feed(html or "")
@@ -264,14 +264,22 @@ def main_text(html: str | None) -> str:
     lines, content = settled(parser, weighed(parser.parents, parser.lines))
     if not lines:
         return ""
-    total = weighed(parser.parents, lines)
-    marked = [r for r in content if total[r] > 0]
+    parents = parser.parents
+    held = np.zeros(len(parents), bool)
+    for _, _, region in lines:
+        while region >= 0 and not held[region]:
+            held[region] = True
+            region = parents[region]
+    marked = [r for r in content if held[r]]
     if not marked:
-        enough = [r for r in range(len(total)) if total[r] >= 0.9 * total[0]]
-        marked = [enough[-1]]
-    inside = np.zeros(len(total), bool)
-    for region in range(len(total)):
-        inside[region] = region in marked or (region > 0 and inside[parser.parents[region]])
+        total = weighed(parents, lines)
+        region = int(np.flatnonzero(total == total[0])[-1])  # whole numbers: equal sums are the same clusters
+        while parser.kinds[region] == "section" and any(held[r] and r != region and parents[r] == parents[region] and parser.kinds[r] == "section" for r in range(len(parents))):
+            region = parents[region]
+        marked = [region]
+    inside = np.zeros(len(parents), bool)
+    for region in range(len(parents)):
+        inside[region] = region in marked or (region > 0 and inside[parents[region]])
     return " ".join(text for text, _, region in lines if inside[region])
 
 

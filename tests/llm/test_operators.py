@@ -355,6 +355,20 @@ def test_main_text_in_frames():
     assert main_text(f"<article><p>{long}<span class=ad>buy</span> more</p></article>") == f"{text} more"
 
 
+def test_main_text_region():
+    from strata.llm.htmltext import main_text
+
+    assert main_text(f"<body><div>{'x' * 120}</div><article><h1>Title</h1><p>Short text here.</p></article></body>") == "Title Short text here."
+    assert main_text(f"<div>{'x' * 120}</div><article> </article>") == "x" * 120
+    first, second = "lead " * 16, "body " * 184
+    assert main_text(f"<body><section><p>{first}</p></section><section><p>{second}</p></section></body>") == f"{first}{second}".strip()
+    page = "".join(f"<section><p>{'word ' * 40}</p></section>" for _ in range(12))
+    assert main_text(f"<body>{page}<section><p>end</p></section></body>") == ("word " * 480 + "end")
+    for n in range(1, 60):  # equal ratios, whose mean may be rounded up
+        for size in (7, 49, 510):
+            assert main_text("<div></div>" + f"<p>{'y' * size}</p>" * n + "<div></div>") == " ".join(["y" * size] * n)
+
+
 def test_exact(spark, odd, none):
     from strata.llm.exact import deduplicate
 
