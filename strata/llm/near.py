@@ -55,7 +55,7 @@ def sketch(documents: DataFrame) -> DataFrame:
 
 
 def placed(nodes: DataFrame) -> DataFrame:
-    """(node, prefix, rest) per node and tree: a number for the first ``PREFIX`` values, and the next value, by which crowded regions are divided."""
+    """(node, prefix) per node and tree: a number for the tree and its first ``PREFIX`` values."""
 
     def run(batches):
         for batch in batches:
@@ -64,10 +64,9 @@ def placed(nodes: DataFrame) -> DataFrame:
             for k in range(PREFIX):
                 head = shingles.mix(head * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k] + np.uint64(1))
             node = batch.column("node").take(pa.array(np.repeat(np.arange(len(values)), TREES)))
-            rest = values[:, :, PREFIX].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([node, pa.array(head.astype(np.int64).ravel()), pa.array(rest.ravel())], names=["node", "prefix", "rest"])
+            yield pa.RecordBatch.from_arrays([node, pa.array(head.astype(np.int64).ravel())], names=["node", "prefix"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "node binary, prefix long, rest long")
+    return nodes.select("node", "signature").mapInArrow(run, "node binary, prefix long")
 
 
 def spread(same: int, neighbours) -> list[tuple[int, int]]:
@@ -159,8 +158,9 @@ def near_groups(documents: DataFrame) -> DataFrame:
     sets have no links. ``component_id`` is the smallest doc_id that links reach; ``kept`` marks it. Rows without doc_id
     take no part: component null, kept. Rows of equal doc_id and different texts are different nodes with one label.
     Two sets with a Jaccard similarity of 0.75 share a region with probability 1 - 1.7e-5, more similar ones almost
-    surely; all else is exact. Regions of more than ``REGION`` nodes are divided by the next signature value into
-    blocks, families of more than ``WEIGHT`` shingles by hash, and every pair of blocks is compared, so none is capped.
+    surely; all else is exact. Regions of more than ``REGION`` nodes and families of more than ``WEIGHT`` shingles are
+    divided into blocks by a hash of the node, as near copies have most signature values in common, and every pair of
+    blocks is compared, so none is capped and no unit holds more than about two blocks of a region.
     The result is a stored table; signatures, regions and families are deleted once it is written.
     """
     with passing(documents.sparkSession):
@@ -178,7 +178,7 @@ def _grouped(documents: DataFrame) -> DataFrame:
     )
     prefixes = placed(nodes)
     crowds = prefixes.groupBy("prefix").agg(F.count("*").alias("_size")).where("_size > 1").withColumn("_blocks", F.ceil(F.col("_size") / REGION).cast("long"))
-    members = stored(_units(prefixes.join(crowds, "prefix"), "prefix", "_blocks", F.xxhash64("rest")).select("unit", "node"), "near-regions")
+    members = stored(_units(prefixes.join(crowds, "prefix"), "prefix", "_blocks", F.xxhash64("node")).select("unit", "node"), "near-regions")
     tasks = max(1, -(-members.count() // GROUPED))
     compared = members.join(nodes.select("node", "signature"), "node").withColumn("_task", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
     likely = compared.groupBy("_task").applyInArrow(likely_pairs, "a binary, b binary")

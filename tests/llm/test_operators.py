@@ -273,6 +273,26 @@ def test_near_duplicates(spark, sf, odd, none, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in near.near_groups(frame).collect()} == brute_groups(crowd)
 
 
+def test_near_template_crowd(spark, monkeypatch):
+    from strata.llm import near
+
+    keep, most = near.stored, []
+
+    def watched(frame, purpose, **options):
+        table = keep(frame, purpose, **options)
+        if purpose == "near-regions":
+            most.append(max(r["count"] for r in table.groupBy("unit").count().collect()))
+        return table
+
+    monkeypatch.setattr(near, "stored", watched)
+    monkeypatch.setattr(near, "REGION", 64)
+    base = [f"w{i}" for i in range(1000)]
+    crowd = [(i, " ".join(base[:i] + [f"e{i}"] + base[i + 1 :])) for i in range(600)]
+    rows = near.near_groups(spark.createDataFrame(crowd, "doc_id long, text string")).collect()
+    assert len(rows) == 600 and {(r.component_id, r.kept) for r in rows} == {(0, True), (0, False)}
+    assert len(most) == 1 and most[0] <= 3 * near.REGION
+
+
 def check_packing(rows, documents, ids):
     by_document, by_sequence = {}, {}
     for r in rows:
