@@ -1,7 +1,7 @@
-"""Near-duplicate documents by an LSH forest of MinHash signatures, with every link confirmed on full shingle sets.
+"""Near-duplicate documents by banded MinHash signatures, with every link confirmed on full shingle sets.
 
-Documents of equal sets are one node. ``TREES`` trees order the nodes by ``DEPTH`` values of the signature each; nodes
-with a common prefix of ``PREFIX`` values in some tree form a region. In a region, nodes whose signatures agree enough
+Documents of equal sets are one node. A signature has ``TREES`` bands of ``DEPTH`` values; nodes with the same first
+``PREFIX`` values in some band form a region (nothing is sorted, and the prefix is the same for all regions). In a region, nodes whose signatures agree enough
 are joined to a family; families hold every pair that may be a link. The sets of a family are compared exactly.
 """
 
