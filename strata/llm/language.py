@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SAMPLE = 1000  # labelled documents per language that the model is fitted on, at most
-LANGUAGES = 200  # languages that are learned, at most (the most frequent)
+LANGUAGES = 200  # languages that are learned and scored together; more are taken in several groups
 ROUNDS = 3
 STRETCH = 24  # letters of a run that are scored together; longer runs are read in several stretches
 UNKNOWN = 1e-8  # probability of a character outside the vocabulary, the same for every language
@@ -116,19 +116,23 @@ def _fit(words: list[str], counts: np.ndarray, pieces: dict[str, int], rounds: i
     return probability[:, 0]
 
 
-def learn(documents: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages in code point order and the probability of every piece in each.
+def learn(documents: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> list[tuple[list[str], np.ndarray]]:
+    """Groups of ``LANGUAGES`` languages at most in code point order, with the probability of every piece in each.
 
-    Learns from text and non-null lang of the documents outside the held-out fold: of every language (the
-    ``LANGUAGES`` most frequent) the ``sample`` documents with the smallest hash of doc_id. Words are counted by Spark
-    and each language is fitted in a task of its own; only the probabilities, bounded by vocabulary and languages,
-    come to the driver. Without such documents there are no languages.
+    Learns from text and non-null lang of the documents outside the held-out fold: of every language the ``sample``
+    documents with the smallest hash of doc_id. Words are counted by Spark and each language is fitted in a task of its
+    own; only the probabilities, bounded by vocabulary and languages, come to the driver, a group at a time. Without
+    such documents there are no groups.
     """
     labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = dict(sorted(labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()))
+    counts = sorted(map(tuple, labelled.groupBy("lang").count().collect()))
+    groups = (_learned(labelled, dict(counts[k : k + LANGUAGES]), vocabulary, sample, rounds) for k in range(0, len(counts), LANGUAGES))
+    return [(names, probability) for names, probability in groups if names]
+
+
+def _learned(labelled: DataFrame, counts: dict[str, int], vocabulary: str, sample: int, rounds: int) -> tuple[list[str], np.ndarray]:
+    """Those languages of ``counts`` (documents by language) that have words, and the probability of every piece in each."""
     names = list(counts)
-    if not names:
-        return [], np.zeros((0, 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # about twice the sample passes by hash, so that no language's rows meet in one task
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 2.0 * sample / n))])[F.col("lang")]
@@ -190,10 +194,19 @@ def identify(documents: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds
     ``und`` for null, letter-free or unlearnable texts; ``score`` is its share among the languages, 0 for ``und``. Every
     text is read whole. Extra columns stay; input columns named like a result are replaced.
     """
-    names, probability = learn(documents, vocabulary, sample, rounds)
+    groups = learn(documents, vocabulary, sample, rounds)
     kept = [c for c in documents.columns if c not in ("held_out", "lang_pred", "score")]
     frame = documents.select(*kept).withColumn("held_out", held_out(F.col("doc_id")))
-    schema = StructType(list(frame.schema)).add("lang_pred", "string").add("score", "double")
+    for k, (names, probability) in enumerate(groups or [([], np.zeros((0, 0)))]):
+        frame = _scored(frame, vocabulary, names, probability, k == 0)
+    return frame.select(*kept, "held_out", "lang_pred", F.when(F.col("lang_pred") == "und", 0.0).otherwise(1 / F.col("_sum")).alias("score"))
+
+
+def _scored(frame: DataFrame, vocabulary: str, names: list[str], probability: np.ndarray, first: bool) -> DataFrame:
+    """``frame`` with the best language so far, its log probability and the sum of all languages' shares of it (``_top``, ``_sum``)."""
+    schema = StructType(list(frame.schema))
+    if first:
+        schema = schema.add("lang_pred", "string").add("_top", "double").add("_sum", "double")
     key = probability.tobytes()
 
     def run(batches):
@@ -202,17 +215,22 @@ def identify(documents: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds
         if names and key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(vocabulary, probability)
+        scorer = _scorers[key] if names else None
         for part in slices(batches, "text"):
-            texts = part.column("text").to_pylist()
-            predicted, scores = [], []
-            for total in _scorers[key].totals(texts) if names else [None] * len(texts):
-                if total is None:
-                    predicted.append("und")
-                    scores.append(0.0)
-                    continue
-                best = int(total.argmax())
-                predicted.append(names[best])
-                scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            n = part.num_rows
+            columns = part.columns if first else part.columns[:-3]
+            before = [["und"] * n, [-np.inf] * n, [0.0] * n] if first else [c.to_pylist() for c in part.columns[-3:]]
+            found = []
+            totals = scorer.totals(part.column("text").to_pylist()) if names else [None] * n
+            for total, name, top, share in zip(totals, *before):
+                if total is not None:
+                    best = int(total.argmax())
+                    most = max(top, float(total[best]))
+                    here = np.exp(np.maximum(total - most, -700)).sum()
+                    share = float(here + share * np.exp(max(top - most, -700.0)))
+                    name, top = (names[best] if total[best] > top else name), most
+                found.append((name, top, share))
+            results = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *results], names=schema.names)
 
     return frame.mapInArrow(run, schema)

@@ -222,6 +222,17 @@ def test_language(spark, sf, odd, none):
     assert np.allclose(Segmenter(pieces, p).scores(names)[:, 0], [np.log(total("▁" + w)) for w in names])
 
 
+def test_language_groups(spark, sf, monkeypatch):
+    from strata.llm import language
+
+    documents, file = llm.table(spark, sf, "documents").select("doc_id", "text", "lang"), llm.vocabulary("piece_bpe_32k.model")
+    whole = {r.doc_id: r for r in language.identify(documents, file).collect()}
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    grouped = language.identify(documents, file).collect()
+    assert len({r.lang_pred for r in grouped} - {"und"}) == 4
+    assert all(r.lang_pred == whole[r.doc_id].lang_pred and abs(r.score - whole[r.doc_id].score) < 1e-9 for r in grouped)
+
+
 def shingles(text):
     w = words(None if text is None else text.translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
