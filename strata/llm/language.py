@@ -7,7 +7,10 @@ maximisation: forward and backward sums give the expected count of every piece i
 
 from __future__ import annotations
 
+import math
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +21,11 @@ from pyspark.sql.types import StructType
 SAMPLE = 1000  # labelled documents per language that the model is fitted on, at most
 LANGUAGES = 200  # languages that are learned and scored together; more are taken in several groups
 ROUNDS = 3
-STRETCH = 24  # letters of a run that are scored together; longer runs are read in several stretches
+STRETCH = 24  # characters of a word that is summed together with others of its length and remembered; longer ones are summed one by one
 UNKNOWN = 1e-8  # probability of a character outside the vocabulary, the same for every language
 REMEMBERED = 400_000  # scored words per Python worker
-_LETTERS = re.compile(r"[^\W\d_]+")
+_MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))  # vowel signs and the like
+_WORDS = re.compile(rf"[^\W\d_]+(?:[{re.escape(_MARKS)}]+[^\W\d_]*)*")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -30,22 +34,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    """The letter runs of a whole text in lower case, marked at their start; empty without any letter."""
-    runs = _LETTERS.findall(text.lower()) if text else []
-    if not any(map(str.isalpha, runs)):
-        return []
-    if max(map(len, runs)) > STRETCH:
-        runs = [r[i : i + STRETCH] for r in runs for i in range(0, len(r), STRETCH)]
-    return runs
+    """The runs of letters and their marks of a whole text in lower case; empty without any letter."""
+    runs = _WORDS.findall(text.lower()) if text else []
+    return runs if any(any(map(str.isalpha, r)) for r in runs) else []
+
+
+def _lettered(piece: str) -> bool:
+    return piece.isalpha() or bool(piece) and all(c.isalpha() or unicodedata.category(c) in ("Mn", "Mc") for c in piece)
 
 
 def pieces_of(path: str) -> dict[str, int]:
-    """Lower-case letter pieces of a public sentencepiece vocabulary, numbered from 2; a leading mark means a word's start."""
+    """Lower-case pieces of letters and marks of a public sentencepiece vocabulary, numbered from 2; a leading mark means a word's start."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    plain = sorted({n for n in names if n.strip("▁").isalpha() and n == n.lower() and "▁" not in n[1:]})
+    plain = sorted({n for n in names if _lettered(n.strip("▁")) and n == n.lower() and "▁" not in n[1:]})
     return {n: i + 2 for i, n in enumerate(plain)}
 
 
@@ -79,17 +83,58 @@ class Segmenter:
         """Log probability of every word in every language."""
         out = np.zeros((len(words), self.probability.shape[1]))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for length in np.unique(lengths):
+        for k in np.flatnonzero(lengths > STRETCH):
+            out[k] = self.long_score("▁" + words[k])
+        for length in np.unique(lengths[lengths <= STRETCH]):
             at = np.flatnonzero(lengths == length)
             marked = ["▁" + words[k] for k in at]
             out[at] = np.log(self.forward(self.lattice(marked, length + 1), len(at), length + 1)[-1])
         return out
 
+    def ends(self, word: str, j: int) -> list[tuple[int, int]]:
+        """Starts and numbers of the pieces of a marked word that end at ``j``."""
+        get = self.pieces.get
+        found = [(i, get(word[i:j], 0)) for i in range(max(0, j - self.longest), j)]
+        return [(i, p or 1) for i, p in found if p or i == j - 1]
+
+    def long_score(self, word: str) -> np.ndarray:
+        """Log probability of one marked word of any length: the last sums are carried along, scaled before they vanish."""
+        languages = self.probability.shape[1]
+        reach = max(1, self.longest) + 1
+        sums = np.zeros((reach, languages))  # sums[j % reach] belongs to the first j characters
+        sums[0], scale = 1, np.zeros(languages)
+        for j in range(1, len(word) + 1):
+            ends = self.ends(word, j)
+            now = (sums[[i % reach for i, _ in ends]] * self.probability[[p for _, p in ends]]).sum(0)
+            sums[j % reach] = now
+            if now.min() < 1e-100:
+                sums /= now
+                scale += np.log(now)
+        return np.log(sums[len(word) % reach]) + scale
+
+    def long_expected(self, word: str, count: float, total: np.ndarray) -> None:
+        """Adds the expected count of every piece in one marked word of any length to ``total``, by logarithms."""
+        known, n = self.probability[:, 0], len(word)
+        arcs = [[(i, p, math.log(known[p])) for i, p in self.ends(word, j)] for j in range(1, n + 1)]
+        forward = [0.0] + [-math.inf] * n
+        for j, own in enumerate(arcs, 1):
+            parts = [forward[i] + w for i, _, w in own]
+            top = max(parts)
+            forward[j] = top + math.log(sum(math.exp(x - top) for x in parts))
+        weight = [0.0] * n + [float(count)]  # expected passes through a place
+        for j in range(n, 0, -1):
+            for i, p, w in arcs[j - 1]:
+                share = weight[j] * math.exp(forward[i] + w - forward[j])
+                weight[i] += share
+                total[p] += share
+
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected count of every piece in the words, one language (the first column)."""
         total = np.zeros(len(self.probability))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for length in np.unique(lengths):
+        for k in np.flatnonzero(lengths > STRETCH):
+            self.long_expected("▁" + words[k], counts[k], total)
+        for length in np.unique(lengths[lengths <= STRETCH]):
             at = np.flatnonzero(lengths == length)
             n = int(length) + 1
             lattice = self.lattice(["▁" + words[k] for k in at], n)
@@ -173,15 +218,21 @@ class Scorer:
     def totals(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Per text the log probability in every language; None without letters."""
         cut = [words_of(t) for t in texts]
-        new = set().union(*cut).difference(self.place) if cut else set()
-        if len(self.place) + len(new) > REMEMBERED:
+        new = {w for c in cut for w in c if len(w) <= STRETCH}
+        if len(self.place) + len(new.difference(self.place)) > REMEMBERED:
             self.clear()
-            new = set().union(*cut)
-        fresh = list(new)
+        fresh = list(new.difference(self.place))
         self.place.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
         self.table = np.concatenate([self.table, self.segmenter.scores(fresh)])
-        place = self.place.__getitem__
-        return [self.table[np.fromiter(map(place, c), np.int64, len(c))].sum(0) if c else None for c in cut]
+        return [self.total(c) if c else None for c in cut]
+
+    def total(self, words: list[str]) -> np.ndarray:
+        place = self.place.get
+        at = np.fromiter((place(w, -1) for w in words), np.int64, len(words))
+        out = self.table[at[at >= 0]].sum(0)
+        if at.min() < 0:
+            out += self.segmenter.scores([words[k] for k in np.flatnonzero(at < 0)]).sum(0)
+        return out
 
 
 _scorers: dict[bytes, Scorer] = {}

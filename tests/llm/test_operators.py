@@ -233,6 +233,23 @@ def test_language_groups(spark, sf, monkeypatch):
     assert all(r.lang_pred == whole[r.doc_id].lang_pred and abs(r.score - whole[r.doc_id].score) < 1e-9 for r in grouped)
 
 
+def test_words_are_whole():
+    from strata.llm import language
+
+    assert language.words_of("हिन्दी भाषा") == ["हिन्दी", "भाषा"] and language.words_of("x²") == ["x²"] and language.words_of("² 12 ा") == []
+    assert language.words_of("ab" * 40) == ["ab" * 40]
+    pieces = {"▁a": 2, "a": 3, "ab": 4, "b": 5, "▁ab": 6, "▁": 7}
+    p = np.array([[0, 0], [1e-8, 1e-8], [0.1, 0.2], [0.2, 0.1], [0.05, 0.3], [0.3, 0.05], [0.07, 0.1], [0.25, 0.2]])
+    model, whole = language.Segmenter(pieces, p), language.Segmenter(pieces, p)
+    for word in ("ab" * 20, "abb" * 12 + "x", "a" * 30):  # short enough to be summed without scaling
+        lattice = whole.lattice(["▁" + word], len(word) + 1)
+        assert np.allclose(model.scores([word])[0], np.log(whole.forward(lattice, 1, len(word) + 1)[-1, 0]))
+        sums, one = np.zeros(8), language.Segmenter(pieces, p[:, :1])
+        one.long_expected("▁" + word[:20], 2.0, sums)
+        assert np.allclose(sums, one.expected([word[:20]], np.array([2.0])))
+    assert np.isfinite(model.scores(["x" * 5000])).all() and np.isfinite(model.scores(["ab" * 5000])).all()
+
+
 def shingles(text):
     w = words(None if text is None else text.translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
