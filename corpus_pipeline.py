@@ -14,13 +14,12 @@ from strata.llm.queries import vocabulary
 from strata.llm.stored import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-SURE = 0.5  # share of the predicted language among all from which a document passes
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; texts that are null, letter-free or undecided go."""
+    """Documents whose language is identified; texts that are null, letter-free or unlearnable go."""
     found = identify(docs.select(*COLUMNS), vocabulary("piece_bpe_32k.model"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

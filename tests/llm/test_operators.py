@@ -439,6 +439,15 @@ def test_exact(spark, odd, none):
     assert deduplicate(none).collect() == []
 
 
+def test_pipeline_keeps_uncertain_languages(spark, sf, monkeypatch):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = llm.table(spark, sf, "documents").limit(6)
+    monkeypatch.setattr(corpus_pipeline, "identify", lambda d, v: d.withColumn("lang_pred", F.when(F.col("text").isNotNull(), "en").otherwise("und")).withColumn("score", F.lit(0.3)))
+    assert corpus_pipeline.language(spark, docs, sf).count() == docs.where("text IS NOT NULL").count() > 0
+
+
 def test_pipeline(spark, sf, tmp_path):
     """Every stage on its own input: what it keeps, against a brute-force version."""
     import corpus_pipeline
