@@ -199,6 +199,83 @@ def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+INFILL_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+cut AS (
+  SELECT *, len(units)::BIGINT AS n, ('0x' || h[1:8])::UBIGINT % (len(units) + 1) AS one, ('0x' || h[9:16])::UBIGINT % (len(units) + 1) AS two,
+         ('0x' || h[17:24])::UBIGINT % 100 AS plain, ('0x' || h[25:32])::UBIGINT % 100 AS suffix_first FROM drawn),
+parts AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR plain >= 90 THEN 'plain'
+                               WHEN suffix_first < 20 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(one, two)], '') AS prefix, array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1:], '') AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query(INFILL_SQL)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-the-middle text, by checksums of the output and of the text rebuilt from it."""
+    from pyspark.sql import functions as F
+
+    from strata.llm.infill import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+# crc32 of the decimal id, bit by bit, modulo 4; turns as texts of 64 digits, so that prefixes are prefixes of one text.
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'d': digest, 'w': words} ORDER BY turn NULLS FIRST, digest) AS turns FROM turns GROUP BY conv_id),
+drawn AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h FROM own),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns
+  FROM drawn a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+paths AS (SELECT conv_id, turns, coalesce(array_to_string(list_transform(turns, lambda t: t.d), ''), '') AS path FROM rebuilt),
+visits AS (
+  SELECT conv_id, d, path[1:64 * d] AS node, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS words, len(turns) = d AS ends
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM visits GROUP BY node, d),
+children AS (SELECT node[1:64 * (d - 1)] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+known AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+below AS (
+  SELECT top AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT n_children, n_convs, words, node[1:64 * unnest(range(0, d + 1))] AS top FROM known) GROUP BY top)
+SELECT k.conv_id, k.d::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, b.n_leaves, b.saved_tokens, k.ends_sha256
+FROM known k JOIN below b USING (node) LEFT JOIN nodes p ON k.d > 0 AND p.node = k.node[1:64 * (k.d - 1)]
+"""
+
+
+@query(TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    from strata.llm.prefixtrie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    from strata.llm.quality import classify
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(documents, table(spark, sf_dir, "labels").select("doc_id", "quality"), carry=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
