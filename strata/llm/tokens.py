@@ -1,10 +1,10 @@
-"""Exact token ids of whole texts with the tokenizers library, one call per distinct stretch of text instead of one per text.
+"""Exact token ids of whole texts with the tokenizers library, each distinct stretch of text encoded once in a while.
 
 A text is cut at single spaces where no token of the tokenizer can span the cut: a word-level tokenizer drops white
 space, a byte-level one starts a new piece at a space before a word. So the ids of the text are the ids of its
-stretches, and a stretch seen before is looked up. The memory of stretches is bounded and belongs to the Python worker.
-A plain stretch (Latin letters, perhaps with a space before and a mark after) is known to be one piece and goes to the
-tokenizer's model without its normaliser and its splitting pattern.
+stretches, and a stretch seen before is looked up. A plain stretch (Latin letters, perhaps with marks after them) is
+known to be one piece, or two, and goes to the tokenizer's model without its normaliser and its splitting pattern. What
+is remembered is bounded by bytes.
 """
 
 from __future__ import annotations
@@ -13,82 +13,111 @@ import os
 import re
 from array import array
 
+from strata.llm.held import Memory, held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 1_000_000  # stretches per worker
+REMEMBERED = 80 << 20  # bytes that a worker remembers, about
+ENTRY = 220  # bytes of a remembered stretch beside its characters and ids
 LONGEST = 64  # characters of a stretch worth remembering
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_SPACE_RUN = re.compile(r"\s\s")
 # Latin letters that neither normalisation nor lower-casing changes in number, and a run of ASCII marks, which is a piece of its own.
-_PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@[-`{-~]*)")
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@[-`{-~]*)")
 # Byte-level vocabularies write printable bytes as themselves and the others, in order, from character 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_SPACE_RUN = re.compile(r"\s\s")
+
+
+def _bytes_of(piece: str) -> str:
+    """A piece in the letters of byte-level vocabularies."""
+    return piece.encode().decode("latin-1").translate(_BYTES)
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers, as the library gives them without added special tokens.
+
+    Strings of special tokens within a text are those tokens, unless ``special_as_text``.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keeps_space = self.tokenizer.encode("a b", add_special_tokens=False).ids != (
-            self.tokenizer.encode("a", add_special_tokens=False).ids + self.tokenizer.encode("b", add_special_tokens=False).ids
-        )
-        self.known: dict[str, bytes] = {}
+        self.tokenizer.encode_special_tokens = special_as_text
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.keeps_space = one("a b") != one("a") + one("b")
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model.tokenize
+        self.marks: dict[str, bytes] = {}
+        self.memory = Memory(REMEMBERED)
 
     def _stretches(self, text: str) -> list[str]:
+        """The stretches of a text; of a byte-level tokenizer the first after a NUL, the others without their first space."""
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
         if _SPACE_RUN.search(text):
-            parts = _INNER_SPACE.split(text)
-            return parts[:1] + [" " + p for p in parts[1:]]
-        parts = text.replace("\n", " \n").split(" ")  # a lone line break is a piece of its own
-        return parts[:1] + [p if p[:1] == "\n" else " " + p for p in parts[1:]]
-
-    def _learn(self, stretches: list[str]) -> None:
-        known, split, others = self.known, self.tokenizer.model.tokenize, []
+            return _INNER_SPACE.split("\0" + text)
+        return ("\0" + text.replace("\n", " \n")).split(" ")  # a lone line break is a piece of its own
+
+    def _written(self, stretch: str) -> str:
+        """What a stretch stands for in its text."""
+        if not self.keeps_space or stretch[:1] == "\n":
+            return stretch
+        return stretch[1:] if stretch[:1] == "\0" else f" {stretch}"
+
+    def _learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """The ids of every stretch; one with marks after a known word is that word's ids and those of the marks."""
+        found: dict[str, bytes] = {}
+        others, keeps, newer, older = [], self.keeps_space, self.memory.newer, self.memory.older
         for s in stretches:
-            if s.isascii() and (s[1:] if (spaced := self.keeps_space and s[:1] == " ") else s).isalpha():
-                ids = [t.id for t in split("\u0120" + s[1:] if spaced else s if self.keeps_space else s.lower())]
-            elif (plain := _PLAIN.fullmatch(s)) and (self.keeps_space or s[0] not in " \n"):
-                ids = []
-                for piece in plain.groups():
-                    if piece:
-                        piece = piece if self.keeps_space else piece.lower()
-                        ids += [t.id for t in split(piece.encode().decode("latin-1").translate(_BYTES))]
-            else:
+            if s.isascii() and s.isalpha():
+                found[s] = self._piece("\u0120" + s if keeps else s.lower())
+                continue
+            first = s[0] if keeps and s else ""
+            plain = _PLAIN.fullmatch(s[1:] if first in ("\n", "\0") else s)
+            if plain is None or self.special and any(t in s for t in self.special):
                 others.append(s)
                 continue
-            known[s] = array("I", ids).tobytes()
-        for s, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            known[s] = array("I", e.ids).tobytes()
+            word, marks = plain.groups()
+            if first == "\n" or first == "\0":
+                ids = (self._marks("\n") if first == "\n" else b"") + self._piece(_bytes_of(word))
+            elif (ids := newer.get(word) or older.get(word)) is None:
+                ids = self._piece(_bytes_of(f" {word}" if keeps else word.lower()))
+            found[s] = ids + self._marks(marks) if marks else ids
+        for s, e in zip(others, self.tokenizer.encode_batch_fast([self._written(s) for s in others], add_special_tokens=False)):
+            found[s] = array("I", e.ids).tobytes()
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model(piece)]).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        """The ids of a short run of marks, of which there are few."""
+        if marks not in self.marks:
+            if len(self.marks) > 4096:
+                self.marks.clear()
+            self.marks[marks] = self._piece(_bytes_of(marks))
+        return self.marks[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text; null is empty."""
         cut = [self._stretches(t or "") for t in texts]
-        missing = list(set().union(*cut).difference(self.known)) if cut else []
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list(set().union(*cut))
-        self._learn(missing)
-        ids = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for m in missing:
-            if len(m) > LONGEST:
-                del self.known[m]
-        return ids
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+        wanted = set().union(*cut)
+        missing = self.memory.missing(wanted)
+        known = self.memory.newer
+        if missing:
+            learned = self._learn(list(missing))
+            worth = learned if max(map(len, learned)) <= LONGEST else {s: i for s, i in learned.items() if len(s) <= LONGEST}
+            self.memory.add(worth, ENTRY * len(worth) + sum(map(len, worth)) + sum(map(len, worth.values())))
+            if known is not self.memory.newer or worth is not learned:  # a change of generations, or stretches too long to keep
+                known = {s: known[s] for s in wanted.difference(missing)} | learned
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
+
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("tokens", path, special_as_text), lambda: Encoder(path, special_as_text))
 
 
 def slices(batches, texts: str, most_rows: int = 256, most_bytes: int = 4 << 20):
