@@ -9,24 +9,30 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from strata.llm.held import Memory, held
+from strata.llm.names import fresh
 SAMPLE = 1000  # labelled documents per language that the model is fitted on, at most
 LANGUAGES = 200  # languages that are learned and scored together; more are taken in several groups
 ROUNDS = 3
 STRETCH = 24  # characters of a word that is summed together with others of its length and remembered; longer ones are summed one by one
 UNKNOWN = 1e-8  # probability of a character outside the vocabulary, the same for every language
-REMEMBERED = 400_000  # scored words per Python worker
+REMEMBERED = 64 << 20  # bytes of scored tokens that a worker remembers, about
+ENTRY = 240  # bytes of a remembered token beside its characters and scores
 _MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))  # vowel signs and the like
 _WORDS = re.compile(rf"[^\W\d_]+(?:[{re.escape(_MARKS)}]+[^\W\d_]*)*")
 
+_MARKED = string.punctuation  # around a word; neither letters nor marks of letters
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the doc_id as text leaves 2 modulo 4 (null: false)."""
@@ -53,19 +59,58 @@ def pieces_of(path: str) -> dict[str, int]:
     return {n: i + 2 for i, n in enumerate(plain)}
 
 
+class Pieces:
+    """Finds the numbers of many stretches of words at once, by a hash that follows from running sums over a word."""
+
+    _BASE = 0x9E3779B97F4A7C55
+
+    def __init__(self, pieces: dict[str, int]):
+        self.numbers = pieces
+        self.longest = max(map(len, pieces), default=1)
+        self.powers = np.cumprod(np.full(STRETCH + 2, self._BASE, np.uint64)).reshape(1, -1)
+        self.inverse = np.cumprod(np.full(STRETCH + 2, pow(self._BASE, -1, 1 << 64), np.uint64))
+        names = [n for n in pieces if len(n) <= STRETCH + 1]
+        hashes = np.zeros(len(names), np.uint64)
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            hashes[at] = self.sums([names[k] for k in at], int(n))[:, -1]
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.ids = np.array([pieces[n] for n in names], np.int32)[order]
+        assert (np.diff(self.hashes) > 0).all()
+
+    def sums(self, words: list[str], n: int) -> np.ndarray:
+        """Running sums of words of ``n`` characters, from 0 to ``n`` characters."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64)
+        found = np.zeros((len(words), n + 1), np.uint64)
+        np.cumsum((codes + np.uint64(1)) * (codes + np.uint64(0x51ED27)) * self.powers[:, :n], axis=1, out=found[:, 1:])
+        return found
+
+    def find(self, sums: np.ndarray, i: int, j: int) -> np.ndarray:
+        """The number of every word's stretch (i, j), 0 if it is no piece."""
+        if not len(self.hashes):
+            return np.zeros(len(sums), np.int32)
+        wanted = (sums[:, j] - sums[:, i]) * (self.inverse[i - 1] if i else np.uint64(1))
+        at = np.searchsorted(self.hashes, wanted)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == wanted, self.ids[at], 0)
+
+
 class Segmenter:
     """Forward and backward sums of many words at once; column k of ``probability`` is language k."""
 
     def __init__(self, pieces: dict[str, int], probability: np.ndarray):
         self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.known = Pieces(pieces)
         self.probability = probability  # row 0: no piece, row 1: unknown character
 
     def lattice(self, words: list[str], n: int) -> dict[tuple[int, int], np.ndarray]:
         """For every stretch (i, j) of words of ``n`` characters (the start mark included) the numbers of its pieces."""
-        get, found = self.pieces.get, {}
+        sums, found = self.known.sums(words, n), {}
         for j in range(1, n + 1):
             for i in range(max(0, j - self.longest), j):
-                ids = np.fromiter((get(w[i:j], 0) for w in words), np.int32, len(words))
+                ids = self.known.find(sums, i, j)
                 if j == i + 1:
                     ids[ids == 0] = 1
                 if ids.any():
@@ -205,37 +250,49 @@ def _learned(labelled: DataFrame, counts: dict[str, int], vocabulary: str, sampl
 
 
 class Scorer:
-    """Log probabilities of texts; remembers the words it has scored."""
+    """Log probabilities of texts. A text is cut at white space, which no word spans, and the sums of its tokens are remembered."""
 
     def __init__(self, vocabulary: str, probability: np.ndarray):
         self.segmenter = Segmenter(pieces_of(vocabulary), probability)
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((0, self.segmenter.probability.shape[1]))
+        self.languages = probability.shape[1]
+        self.memory = Memory(REMEMBERED)
+
+    def learn(self, tokens: list[str]) -> dict[str, bytes]:
+        """The log probabilities of every token, as bytes; nothing for a token without words. Scores of known words are used again."""
+        newer, older, found, cut = self.memory.newer, self.memory.older, {}, []
+        for token in tokens:
+            word = token.lower().strip(_MARKED)
+            if word.isalpha():
+                if value := newer.get(word) or older.get(word):
+                    found[token] = value
+                else:
+                    cut.append((token, (word,)))
+            else:
+                cut.append((token, words_of(token)))
+        words = list({w for _, c in cut for w in c})
+        scores = self.segmenter.scores(words)
+        size, raw = 8 * self.languages, scores.tobytes()
+        known = {w: raw[k * size : (k + 1) * size] for k, w in enumerate(words)}
+        for token, own in cut:
+            if len(own) == 1:
+                found[token] = known[own[0]]
+            else:
+                found[token] = np.frombuffer(b"".join(map(known.__getitem__, own))).reshape(-1, self.languages).sum(0).tobytes() if own else b""
+        return found
 
     def totals(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Per text the log probability in every language; None without letters."""
-        cut = [words_of(t) for t in texts]
-        new = {w for c in cut for w in c if len(w) <= STRETCH}
-        if len(self.place) + len(new.difference(self.place)) > REMEMBERED:
-            self.clear()
-        fresh = list(new.difference(self.place))
-        self.place.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
-        self.table = np.concatenate([self.table, self.segmenter.scores(fresh)])
-        return [self.total(c) if c else None for c in cut]
-
-    def total(self, words: list[str]) -> np.ndarray:
-        place = self.place.get
-        at = np.fromiter((place(w, -1) for w in words), np.int64, len(words))
-        out = self.table[at[at >= 0]].sum(0)
-        if at.min() < 0:
-            out += self.segmenter.scores([words[k] for k in np.flatnonzero(at < 0)]).sum(0)
-        return out
-
-
-_scorers: dict[bytes, Scorer] = {}
+        cut = [t.split() if t else [] for t in texts]
+        missing = self.memory.missing(set().union(*cut))
+        known = self.memory.newer
+        if missing:
+            learned = self.learn(list(missing))
+            worth = {t: v for t, v in learned.items() if len(t) <= 4 * STRETCH}
+            self.memory.add(worth, (ENTRY + 8 * self.languages) * len(worth) + sum(map(len, worth)))
+            if known is not self.memory.newer or len(worth) < len(learned):
+                known = {t: known[t] for t in set().union(*cut).difference(missing)} | learned
+        found = (b"".join(map(known.__getitem__, c)) for c in cut)
+        return [np.frombuffer(f).reshape(-1, self.languages).sum(0) if f else None for f in found]
 
 
 def identify(documents: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
@@ -247,41 +304,37 @@ def identify(documents: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds
     """
     groups = learn(documents, vocabulary, sample, rounds)
     kept = [c for c in documents.columns if c not in ("held_out", "lang_pred", "score")]
-    frame = documents.select(*kept).withColumn("held_out", held_out(F.col("doc_id")))
-    for k, (names, probability) in enumerate(groups or [([], np.zeros((0, 0)))]):
-        frame = _scored(frame, vocabulary, names, probability, k == 0)
-    return frame.select(*kept, "held_out", "lang_pred", F.when(F.col("lang_pred") == "und", 0.0).otherwise(1 / F.col("_sum")).alias("score"))
+    found = fresh(kept, "_found")[0]
+    frame = documents.select(*kept, held_out(F.col("doc_id")).alias("held_out"), F.lit(None).cast(FOUND).alias(found))
+    for names, probability in groups:
+        frame = frame.withColumn(found, _scored(vocabulary, names, probability)("text", found))
+    share = F.when(F.col(f"{found}.name").isNull(), 0.0).otherwise(1 / F.col(f"{found}.share"))
+    return frame.select(*kept, "held_out", F.coalesce(f"{found}.name", F.lit("und")).alias("lang_pred"), share.alias("score"))
 
 
-def _scored(frame: DataFrame, vocabulary: str, names: list[str], probability: np.ndarray, first: bool) -> DataFrame:
-    """``frame`` with the best language so far, its log probability and the sum of all languages' shares of it (``_top``, ``_sum``)."""
-    schema = StructType(list(frame.schema))
-    if first:
-        schema = schema.add("lang_pred", "string").add("_top", "double").add("_sum", "double")
-    key = probability.tobytes()
+FOUND = "struct<name: string, top: double, share: double>"  # the best language so far, its log probability, the sum of all languages' shares of it
 
-    def run(batches):
+
+def _scored(vocabulary: str, names: list[str], probability: np.ndarray):
+    """A column function of text and what was found so far: the same with the languages ``names``. Only these columns go to Python."""
+    key = ("languages", vocabulary, probability.tobytes())
+
+    @F.arrow_udf(FOUND)
+    def scored(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         from strata.llm.tokens import slices
 
-        if names and key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(vocabulary, probability)
-        scorer = _scorers[key] if names else None
-        for part in slices(batches, "text"):
-            n = part.num_rows
-            columns = part.columns if first else part.columns[:-3]
-            before = [["und"] * n, [-np.inf] * n, [0.0] * n] if first else [c.to_pylist() for c in part.columns[-3:]]
+        scorer = held(key, lambda: Scorer(vocabulary, probability))
+        for texts, before in columns:
             found = []
-            totals = scorer.totals(part.column("text").to_pylist()) if names else [None] * n
-            for total, name, top, share in zip(totals, *before):
-                if total is not None:
-                    best = int(total.argmax())
-                    most = max(top, float(total[best]))
-                    here = np.exp(np.maximum(total - most, -700)).sum()
-                    share = float(here + share * np.exp(max(top - most, -700.0)))
-                    name, top = (names[best] if total[best] > top else name), most
-                found.append((name, top, share))
-            results = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *results], names=schema.names)
-
-    return frame.mapInArrow(run, schema)
+            for part in slices([pa.RecordBatch.from_arrays([texts, before], names=["text", "before"])], "text"):
+                for total, own in zip(scorer.totals(part.column("text").to_pylist()), part.column("before").to_pylist()):
+                    if total is not None:
+                        best, top = int(total.argmax()), own["top"] if own else -np.inf
+                        most = max(top, float(total[best]))
+                        here = float(np.exp(np.maximum(total - most, -700)).sum())
+                        share = here + (own["share"] * float(np.exp(max(top - most, -700.0))) if own else 0.0)
+                        own = {"name": names[best] if total[best] > top else own["name"], "top": most, "share": share}
+                    found.append(own)
+            yield pa.array(found, pa.struct([("name", pa.string()), ("top", pa.float64()), ("share", pa.float64())]))
+
+    return scored
