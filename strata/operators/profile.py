@@ -2,12 +2,14 @@
 
 Scale notes
 -----------
-* The exact profile aggregates one column at a time and unions the results. Every
-  aggregate scans a single column (the columns of a table are read once in total),
-  combines equal values before its shuffle, so a hot value costs one row per task, and
-  needs no ``Expand`` of rows x columns, which one wide aggregate of several distinct
-  counts would get. Long texts enter the distinct count as SHA-256 digests of the whole
-  text, so the shuffle carries 64 bytes instead of the document.
+* The exact profile takes columns in batches of at most ``BATCH``: whole numbers (and what
+  maps to them one to one), fractions, texts. A batch turns a row into as many (column,
+  value) pairs as it has columns, never more, counts equal pairs before the shuffle, so a
+  hot value costs one row per task, and then counts the pairs of each column. One pass
+  gives rows, blanks and distinct values; the columns of a table are read once in total.
+  Long texts enter as SHA-512 digests of the whole text, so the shuffle does not carry
+  documents. Arrays, structs and maps are aggregated one at a time.
+* ``plan="per_column"`` is one aggregate per column, unioned.
 * ``plan="once"`` is for frames that are not stored: it evaluates the frame a single time,
   turns each row into (column, value) pairs and counts equal pairs before the shuffle.
 * The gate needs no distinct counts, so it is a single pass with one row per task
@@ -19,14 +21,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import (
+    ArrayType, BinaryType, BooleanType, ByteType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, MapType,
+    ShortType, StringType, StructField, StructType, TimestampNTZType, TimestampType,
+)
 
 from strata.functions.numbers import gate_status
 from strata.functions.predicates import is_blank
 from strata.operators.refine import union_all
 
 DISTINCT_MODES = ("exact", "approx", "text")
-PLANS = ("per_column", "once")
+PLANS = ("batched", "per_column", "once")
+BATCH = 24  # columns that are turned into pairs together
 
 
 # Texts longer than this many bytes are compared by a digest that is longer still, so it never equals a text kept whole.
@@ -68,14 +74,14 @@ def _stats(table_name: str, position: Column, name: Column, data_type: Column) -
 
 
 def profile_columns(
-    df: DataFrame, table_name: str, distinct: str = "exact", plan: str = "per_column"
+    df: DataFrame, table_name: str, distinct: str = "exact", plan: str = "batched"
 ) -> DataFrame:
     """One row per column: blanks, distinct values and completeness; no rows for an empty table.
 
     ``distinct`` is ``exact`` (NULL is no value), ``approx`` (one pass over all columns,
     HyperLogLog) or ``text`` (values as untrimmed text, NULL and '' are one value).
-    ``plan`` is ``per_column`` for stored tables and ``once`` for frames that are costly to
-    evaluate; both give the same rows.
+    ``plan`` is ``batched`` or ``per_column`` for stored tables and ``once`` for frames that
+    are costly to evaluate; all give the same rows.
     """
     if distinct not in DISTINCT_MODES:
         raise ValueError(f"distinct must be one of {DISTINCT_MODES}")
@@ -85,19 +91,76 @@ def profile_columns(
         return _profile_one_pass(df, table_name)
     if plan == "once":
         return _profile_pairs(df, table_name, distinct)
-    parts = [
-        df.agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.count_if(is_blank(f"`{f.name}`", f.dataType)).alias("null_count"),
-            _distinct(f.name, f.dataType, distinct).alias("distinct_count"),
-        )
-        .where("row_count > 0")
-        .select(*_stats(table_name, F.lit(i), F.lit(f.name), F.lit(str(f.dataType))))
-        for i, f in enumerate(df.schema)
-    ]
+    fields = list(enumerate(df.schema))
+    if plan == "per_column":
+        return union_all([_profile_column(df, table_name, i, f, distinct) for i, f in fields])
+    kinds: dict[str | None, list[tuple[int, StructField]]] = {}
+    for i, f in fields:
+        kinds.setdefault(_kind(f.dataType, distinct), []).append((i, f))
+    parts = [_profile_column(df, table_name, i, f, distinct) for i, f in kinds.pop(None, [])]
+    for kind, own in kinds.items():
+        batches = -(-len(own) // BATCH)
+        parts += [_profile_batch(df, table_name, own[k::batches], kind, distinct) for k in range(batches)]
     return union_all(parts)
 
 
+def _profile_column(df: DataFrame, table_name: str, position: int, field: StructField, distinct: str) -> DataFrame:
+    counts = df.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(is_blank(f"`{field.name}`", field.dataType)).alias("null_count"),
+        _distinct(field.name, field.dataType, distinct).alias("distinct_count"),
+    )
+    return counts.where("row_count > 0").select(*_stats(table_name, F.lit(position), F.lit(field.name), F.lit(str(field.dataType))))
+
+
+def _kind(data_type: DataType, distinct: str) -> str | None:
+    """What the values of a type are compared as: ``long``, ``double``, ``text``, or None for nested values."""
+    if isinstance(data_type, (ArrayType, StructType, MapType)):
+        return None
+    if distinct == "text":
+        return "text"
+    if isinstance(data_type, (ByteType, ShortType, IntegerType, LongType, BooleanType, DateType, TimestampType, TimestampNTZType)):
+        return "long"
+    return "double" if isinstance(data_type, (DoubleType, FloatType)) else "text"
+
+
+def _key(field: StructField, kind: str) -> Column:
+    """A value of ``kind`` that is equal exactly when the field's values are, and NULL when they are."""
+    column = F.col(f"`{field.name}`")
+    if kind == "double":
+        return column.cast("double")
+    if kind == "long":
+        if isinstance(field.dataType, DateType):
+            return F.unix_date(column).cast("long")
+        if isinstance(field.dataType, TimestampType):
+            return F.unix_micros(column)
+        if isinstance(field.dataType, TimestampNTZType):  # free of the session's time zone
+            return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), column)
+        return column.cast("long")
+    text = column.cast("string")
+    if isinstance(field.dataType, (StringType, BinaryType)):  # a blank text stays, so that it can be told
+        long_text = (F.octet_length(text) > LONG_TEXT) & (F.trim(text) != "")
+        return F.when(long_text, F.concat(F.sha2(text, 512), F.lit("+"))).otherwise(text)
+    return text
+
+
+def _profile_batch(df: DataFrame, table_name: str, fields: list[tuple[int, StructField]], kind: str, distinct: str) -> DataFrame:
+    """The rows of some columns of one kind: pairs of column and value, counted twice."""
+    keys = df.select(*[_key(f, kind).alias(f"v{i}") for i, f in fields])
+    pairs = keys.select(F.stack(F.lit(len(fields)), *[x for i, _ in fields for x in (F.lit(i), F.col(f"v{i}"))]).alias("position", "value"))
+    values = pairs.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+    blank = is_blank("value", None if kind == "text" else LongType())
+    values_seen = F.count("value")
+    if distinct == "text":  # NULL and '' are one value
+        values_seen = values_seen + F.max(F.col("value").isNull().cast("int")) * (1 - F.max(F.coalesce(F.col("value") == "", F.lit(False)).cast("int")))
+    counted = values.groupBy("position").agg(
+        F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("null_count"), values_seen.alias("distinct_count")
+    )
+    name_of = F.create_map(*[F.lit(x) for i, f in fields for x in (i, f.name)])
+    type_of = F.create_map(*[F.lit(x) for i, f in fields for x in (i, str(f.dataType))])
+    return counted.select(*_stats(table_name, F.col("position"), name_of[F.col("position")], type_of[F.col("position")]))
+
+
 def _value_text(field: StructField) -> Column:
     """Text that is equal exactly when the values are: one zero, instants free of the time zone."""
     column = _countable(field.name, field.dataType)
@@ -252,7 +315,7 @@ def profile_with_provenance(
     source_status: str | None,
     steps: Sequence[str],
     sources: Sequence[str],
-    plan: str = "per_column",
+    plan: str = "batched",
 ) -> DataFrame:
     """Profile of a refined table together with the gate of its sources and how it was made."""
     quality = F.struct(

@@ -299,7 +299,7 @@ def refresh(
     as_of: str,
     institution: str,
     run_folder: str | None = None,
-    profile_plan: str = "per_column",
+    profile_plan: str = "batched",
     workers: int = 4,
     **gold_options,
 ) -> dict[str, LayerRun]:

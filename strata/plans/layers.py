@@ -153,7 +153,7 @@ def run_bronze(
     pii: Mapping[str, Sequence[str]],
     run_folder: str | None = None,
     multi_line: bool = False,
-    profile_plan: str = "per_column",
+    profile_plan: str = "batched",
     workers: int = 4,
 ) -> LayerRun:
     """Load every raw file into a table of the same name; missing and empty files are skipped.
@@ -186,7 +186,7 @@ def run_silver(
     recipes: Sequence[Refined],
     as_of: str,
     run_folder: str | None = None,
-    profile_plan: str = "per_column",
+    profile_plan: str = "batched",
     workers: int = 4,
 ) -> LayerRun:
     """Build refined tables from bronze ones; a rejected table is not written."""

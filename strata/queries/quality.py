@@ -133,6 +133,56 @@ def profile_blank_distinct(spark, sf_dir):
     return profile.profile_columns(_notes(spark, sf_dir), "notes", distinct="text")
 
 
+# Long texts, and texts that look like the digests by which long ones are compared.
+DIGESTS = """(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '+' || sha256(text) ELSE left(text, 128) END AS mixed,
+              CASE WHEN doc_id % 2 = 0 THEN repeat(' ', 200) ELSE text END AS spaced FROM documents) digests"""
+DIGEST_COLUMNS = [("doc_id", "LongType()", False), ("mixed", "StringType()", True), ("spaced", "StringType()", True)]
+
+
+@query(profile_sql("digests", DIGEST_COLUMNS, DIGESTS))
+def profile_digest_column(spark, sf_dir):
+    """Long and short texts, digests and long blank texts in one column."""
+    documents, text = table(spark, sf_dir, "documents"), F.col("text")
+    mixed = F.when(F.col("doc_id") % 3 == 0, text).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("+"), F.sha2(text, 256))).otherwise(F.left(text, F.lit(128)))
+    spaced = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit(" "), F.lit(200))).otherwise(text)
+    return profile.profile_columns(documents.select("doc_id", mixed.alias("mixed"), spaced.alias("spaced")), "digests")
+
+
+NESTED = """(SELECT o_orderkey, [nullif(o_orderpriority, '1-URGENT'), CASE WHEN o_orderstatus = 'O' THEN 'null' ELSE o_orderstatus END] AS listed,
+             {'status': nullif(o_orderstatus, 'F'), 'day': o_orderdate::DATE} AS packed, o_orderdate::DATE AS day, o_totalprice > 100000 AS large,
+             o_totalprice::DECIMAL(18, 2) AS price FROM orders) nested"""
+NESTED_COLUMNS = [
+    ("o_orderkey", "LongType()", False), ("listed", "ArrayType(StringType(), True)", False),
+    ("packed", "StructType([StructField(''status'', StringType(), True), StructField(''day'', DateType(), True)])", False),
+    ("day", "DateType()", False), ("large", "BooleanType()", False), ("price", "DecimalType(18,2)", False),
+]
+
+
+def _nested(spark, sf_dir) -> DataFrame:
+    """Orders with a list and a struct that hold NULLs, a date, a flag and a decimal."""
+    status = F.col("o_orderstatus")
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.array(F.nullif("o_orderpriority", F.lit("1-URGENT")), F.when(status == "O", "null").otherwise(status)).alias("listed"),
+        F.struct(F.nullif(status, F.lit("F")).alias("status"), day.alias("day")).alias("packed"),
+        day.alias("day"),
+        (F.col("o_totalprice") > 100000).alias("large"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
+    )
+
+
+@query(profile_sql("nested", NESTED_COLUMNS, NESTED))
+def profile_nested(spark, sf_dir):
+    return profile.profile_columns(_nested(spark, sf_dir), "nested")
+
+
+@query(profile_sql("nested", NESTED_COLUMNS, NESTED))
+def profile_nested_once(spark, sf_dir):
+    """The same in a single evaluation, where nested values are compared as JSON texts."""
+    return profile.profile_columns(_nested(spark, sf_dir), "nested", plan="once")
+
+
 def gate_sql(name: str, columns, source: str | None = None) -> str:
     parts = [
         f"round((count(*) - count(*) FILTER ({_blank(c, textual)})) / nullif(count(*), 0) * 100, 2)"

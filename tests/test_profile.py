@@ -111,3 +111,26 @@ def test_null_inside_nested_values(spark):
     frame = spark.createDataFrame([([None],), (["null"],), (["null"],)], "a array<string>")
     for plan in ("per_column", "once"):
         assert profile.profile_columns(frame, "x", plan=plan).first()["distinct_count"] == 2
+
+
+def test_batches_of_many_columns(spark, rows, monkeypatch):
+    """Every kind of type over several batches gives the rows of the aggregates per column."""
+    frame = spark.sql(
+        """SELECT id, cast(id AS int) i, cast(id % 3 AS tinyint) b, id % 2 = 0 f, cast(id / 3 AS float) r, if(id % 4 = 0, -0.0D, 0.0D) z,
+                  if(id % 5 = 0, double('NaN'), NULL) nan, date_add(DATE'2024-01-01', cast(id % 7 AS int)) d, timestamp_micros(id) t,
+                  timestamp_ntz'2024-03-31 02:30:00' + make_dt_interval(0, cast(id % 3 AS int)) n, cast(id AS decimal(20, 3)) m,
+                  if(id % 3 = 0, ' ', if(id % 3 = 1, '', NULL)) s, repeat(cast(id % 4 AS string), 100 + cast(id % 4 AS int) * 20) l,
+                  cast(cast(id AS string) AS binary) x, array(id % 2, NULL) a, repeat(' ', 200) w FROM range(50)"""
+    )
+    want = rows(profile.profile_columns(frame, "f", plan="per_column"))
+    for batch in (1, 2, 24):
+        monkeypatch.setattr(profile, "BATCH", batch)
+        assert rows(profile.profile_columns(frame, "f")) == want
+    text = rows(profile.profile_columns(frame, "f", "text", "per_column"))
+    assert rows(profile.profile_columns(frame, "f", "text")) == text
+
+
+def test_batched_profile_reads_columns_once_and_joins_nothing(spark, sf):
+    """A scan per batch of its own columns; two aggregates; no distinct aggregate over several columns at once."""
+    plan = profile.profile_columns(spark.read.parquet(f"{sf}/lineitem.parquet"), "l")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate stack") == 3 and "Expand" not in plan and "Join" not in plan
