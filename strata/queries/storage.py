@@ -29,6 +29,21 @@ def csv_roundtrip(spark, sf_dir):
     return read.read_staging(spark, path)
 
 
+@query(
+    """SELECT 'documents' AS table_name, count(*) AS row_count FROM documents
+       UNION ALL SELECT 'conversations', count(*) FROM conversations
+       UNION ALL SELECT 'nothing', 0"""
+)
+def csv_summary(spark, sf_dir):
+    """Records of CSV tables whose quoted texts hold line breaks, quotes and commas; one table has a header only."""
+    folder = new_folder(spark, "csv")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit('a "b",\n'), "source").alias("note"))
+    conversations = table(spark, sf_dir, "conversations")
+    for name, frame in {"documents": documents, "conversations": conversations, "nothing": conversations.where("false")}.items():
+        frame.write.option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+    return read.dataset_summary(spark, folder).select("table_name", "row_count")
+
+
 @query("SELECT event_id, user_id, event_type, props FROM events")
 def json_roundtrip(spark, sf_dir):
     path = new_folder(spark, "json")

@@ -119,9 +119,38 @@ def test_run_log(spark, tmp_path, rows):
 
 
 def test_dataset_summary_counts_records_with_line_breaks(spark, tmp_path):
-    (tmp_path / "notes.csv").write_text('id,text\n1,"two\nlines"\n2,one\n')
-    assert read.dataset_summary(spark, str(tmp_path), multi_line=True).first()["row_count"] == 2
-
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert read.dataset_summary(spark, str(tmp_path)).first()["row_count"] == 2
+
+
+def test_csv_records_by_byte_ranges(spark, tmp_path, rows):
+    """Files cut into many ranges, anywhere within quoted fields, against the csv module."""
+    import csv
+    import random
+
+    draw = random.Random(3)
+    want = {}
+    for name in ("one", "two", "three", "empty"):
+        records = [] if name == "empty" else [[draw.choice(["a", 'q"uote', "line\nbreak", "\n\n", ",", 'x"\n"y', ""]) + "pad" * draw.randint(0, 5), draw.choice(["1", "b\n\n\nb", '"'])] for _ in range(400)]
+        with open(tmp_path / f"{name}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n")
+            writer.writerows([["first", "second"], *records])
+        want[name] = len(records)
+    (tmp_path / "blank.csv").write_text('a,b\n\n1,"x\n\n"\n  \n2,y\n\n')
+    (tmp_path / "open.csv").write_text('a\n"x"\n"never\nclosed')
+    (tmp_path / "header.csv").write_text("a,b")
+    want |= {"blank": 2, "open": 2, "header": 0}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("64", "1000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            counted = read.dataset_summary(spark, str(tmp_path))
+            assert dict(rows(counted, "table_name", "row_count")) == want
+            if size == "64":
+                parts = spark.read.text(str(tmp_path / "one.csv")).rdd.getNumPartitions()
+                assert parts > 50  # one file, many tasks
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 def test_a_failed_replacement_keeps_the_old_rows(spark, tmp_path, rows):
     broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
