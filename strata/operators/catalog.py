@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from strata.functions.documents import json_field, json_list, json_list_field, json_object, non_empty_texts
 from strata.functions.text import DATASET, contains_text, layer_of, layer_rank, layer_tag, qualified_name
 from strata.operators.dims import literal_table
 from strata.operators.refine import dedup
+from strata.sources.scratch import ensure_checkpoint_dir
 
 ASSET_COLUMNS = (
     "qualified_name", "name", "type_name", "layer", "format", "location", "description",
@@ -295,6 +296,11 @@ def in_layer_order(umt: DataFrame) -> DataFrame:
     return umt.orderBy(layer_rank("layer"), "asset_qualified_name")
 
 
+def layer_places(umt: DataFrame, name: str = "place") -> DataFrame:
+    """The table with every row's place in ``in_layer_order``."""
+    return placed(umt, [layer_rank("layer"), "asset_qualified_name"], name)
+
+
 def in_layer(umt: DataFrame, layer: str | None) -> DataFrame:
     """Rows of one layer, or all."""
     return umt if layer is None else umt.where(F.col("layer") == layer)
@@ -328,9 +334,60 @@ def search(
     return found
 
 
-def page(df: DataFrame, order: Sequence[str | Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows ``offset + 1 .. offset + limit`` in a total order; each task keeps only its best offset + limit."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+_ROW_BITS = 33  # of the numbers that monotonically_increasing_id gives: partition above, row below
+
+
+def placed(df: DataFrame, order: Sequence[str | Column], name: str = "place") -> DataFrame:
+    """``df`` with the place (from 1) of every row in a total order, whatever its size.
+
+    The rows are sorted by ranges of the order, which split a hot value of the first key by the others, and written to
+    the shared folder. A row's place is its number within its range and the counts of the ranges before; only these
+    counts, a row per range, are summed in one task.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.orderBy(*order).checkpoint().withColumn("_row", F.monotonically_increasing_id())
+    numbered = rows.withColumn("_range", F.shiftright("_row", _ROW_BITS).cast("int"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    bases = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return numbered.join(F.broadcast(bases), "_range").select(*df.columns, (F.col("_base") + within + 1).alias(name))
+
+
+# Beyond so many rows before its end a page is found by counts per range.
+DEEP = 100_000
+
+
+def page(df: DataFrame, order: Sequence[str | Column], limit: int, offset: int = 0, deep: int = DEEP) -> DataFrame:
+    """Rows ``offset + 1 .. offset + limit`` in a total order.
+
+    Up to ``deep`` rows each task keeps only its best offset + limit. A deeper page is cut out of the rows' places
+    (``placed``), so no task holds what comes before it; whoever walks from page to page should use ``page_after``.
+    """
+    if offset + limit <= deep:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    wanted = placed(df, order, "_place").where(F.col("_place").between(offset + 1, offset + limit))
+    return wanted.orderBy("_place").drop("_place")
+
+
+def page_after(df: DataFrame, keys: Sequence[tuple[str, bool]], last: Sequence, limit: int) -> DataFrame:
+    """The ``limit`` rows after the row with the key values ``last``; costs the same on any page.
+
+    ``keys`` are columns and whether they descend; together they are a total order. NULLs come first when ascending and
+    last when descending, as in ``orderBy``.
+    """
+    after, equal = F.lit(False), F.lit(True)
+    for (name, descends), value in zip(keys, last):
+        column = F.col(name)
+        if value is None:
+            beyond = F.lit(False) if descends else column.isNotNull()
+        elif descends:
+            beyond = (column < F.lit(value)) | column.isNull()
+        else:
+            beyond = column > F.lit(value)
+        after = after | (equal & F.coalesce(beyond, F.lit(False)))
+        equal = equal & column.eqNullSafe(F.lit(value))
+    return df.where(after).orderBy(*[F.col(n).desc() if d else F.col(n).asc() for n, d in keys]).limit(limit)
 
 
 def page_number(df: DataFrame, order: Sequence[str | Column], number: int, per_page: int) -> DataFrame:

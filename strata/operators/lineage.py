@@ -3,22 +3,26 @@
 Scale notes
 -----------
 * Edges are an exploded projection of the processes, no per-asset calls.
-* Traversal is breadth first. A level joins the frontier (one row per node) with the
-  edges, deduplicates map-side and drops nodes seen before. The frontier is counted: a
-  small one is broadcast, so the edges are only scanned; with a large one the adaptive
-  skew join splits a hub that holds a third of the edges. Each level is checkpointed, so
-  lost executors cost one level and the plan does not grow with the depth.
+* Traversal is breadth first. The edges are derived once and written as they come. A level
+  joins the frontier (one row per node) with them: a small frontier, by measured bytes, is
+  broadcast, so the edges are only scanned. At the first large one an adjacency table is
+  written, each edge one time, bucketed by the end that the traversal starts from and a salt,
+  so that a hub with a third of the edges lies in many buckets; a large frontier is dealt to
+  the buckets, once for every salt, and the edges are not shuffled again. The level's nodes are merged map-side and nodes seen before dropped. Each level is
+  checkpointed, so lost executors cost one level and the plan does not grow with the depth.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strata.functions.numbers import share_pct
 from strata.functions.text import LAYERS, PROCESS, layer_from_name, layer_of, process_name, qualified_name
-from strata.sources.scratch import shared_folder
+from strata.sources.scratch import ensure_checkpoint_dir, new_folder
 
 
 def _processes(
@@ -91,15 +95,10 @@ def dataset_edges(processes: DataFrame) -> DataFrame:
     ).select("src", F.explode("outputs").alias("dst"), "process")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoint to the folder the cluster shares."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 # A frontier is broadcast if its names have at most this many bytes, counted with ``NODE_BYTES`` more for each.
 BROADCAST_BYTES = 10 * 1024 * 1024
 NODE_BYTES = 32
+SALTS = 16  # parts of a node's edges in an adjacency table
 
 
 def _size(nodes: DataFrame) -> tuple[int, int]:
@@ -112,14 +111,51 @@ def _sized(nodes: DataFrame, size: int) -> DataFrame:
     return F.broadcast(nodes) if size <= BROADCAST_BYTES else nodes
 
 
-def _reach(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """Nodes within ``depth`` steps along src -> dst, with their smallest depth; the start has depth 0."""
+@contextmanager
+def written_edges(graph: DataFrame) -> Iterator[DataFrame]:
+    """The edges as rows of a Parquet table in the shared folder, deleted when the block ends."""
+    spark = graph.sparkSession
+    path = new_folder(spark, "edges")
+    try:
+        graph.select("src", "dst").write.parquet(path)
+        yield spark.read.schema("src string, dst string").parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def adjacency(graph: DataFrame, buckets: int | None = None) -> Iterator[DataFrame]:
+    """The distinct edges of ``graph`` as a table bucketed by ``src`` and ``salt``, dropped when the block ends."""
+    spark = graph.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"strata_adjacency_{uuid.uuid4().hex}"
+    salt = F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")
+    edges = graph.select("src", "dst").distinct().withColumn("salt", salt).repartition(count, "src", "salt")
+    try:
+        edges.write.format("parquet").bucketBy(count, "src", "salt").sortBy("src", "salt").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _reach(graph: DataFrame, start: DataFrame, depth: int, kept: ExitStack | None) -> DataFrame:
+    """Nodes within ``depth`` steps along src -> dst, with their smallest depth; the start has depth 0.
+
+    ``kept`` holds the adjacency table that the first large frontier asks for; without it every level shuffles the edges.
+    """
     frontier = start.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     visited, (found, size) = frontier, _size(frontier)
-    seen = size
+    seen, bucketed = size, None
     for level in range(1, depth + 1):
-        sources = _sized(frontier.select(F.col("node").alias("src")), size)
-        step = graph.join(sources, "src").select(F.col("dst").alias("node")).distinct()
+        sources = frontier.select(F.col("node").alias("src"))
+        if kept is not None and size > BROADCAST_BYTES:
+            bucketed = kept.enter_context(adjacency(graph)) if bucketed is None else bucketed
+            salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+            joined = bucketed.join(sources.select("src", salts).hint("merge"), ["src", "salt"])
+        else:
+            joined = graph.join(_sized(sources, size), "src")
+        step = joined.select(F.col("dst").alias("node")).distinct()
         # An anti join would be pushed below the step and test every edge; this one tests its result.
         known = _sized(visited.select("node", F.lit(True).alias("_seen")), seen)
         unseen = step.join(known, "node", "left").where("_seen is null")
@@ -131,29 +167,25 @@ def _reach(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return visited
 
 
-def traverse(
-    graph: DataFrame, start: DataFrame, depth: int = 5, direction: str = "BOTH", persist: bool = False
-) -> DataFrame:
+def traverse(graph: DataFrame, start: DataFrame, depth: int = 5, direction: str = "BOTH", written: bool = True) -> DataFrame:
     """Nodes within ``depth`` steps of the nodes in ``start`` (column ``node``).
 
     ``INPUT`` follows edges upstream, ``OUTPUT`` downstream, ``BOTH`` does each. One row
-    per node and direction with its smallest depth. Every level scans the edges; with
-    ``persist=True`` edges that are costly to derive are kept while the levels read them.
+    per node and direction with its smallest depth. The edges are derived and written
+    once; ``written=False`` reads ``graph`` at every level instead, for a graph that is
+    stored already. A single step always does.
     """
     if direction not in ("INPUT", "OUTPUT", "BOTH"):
         raise ValueError("direction must be INPUT, OUTPUT or BOTH")
     ensure_checkpoint_dir(graph.sparkSession)
-    forward = graph.select("src", "dst")
-    if persist:
-        forward = forward.persist()
-    backward = forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    ways = {"OUTPUT": forward, "INPUT": backward}
-    wanted = ["INPUT", "OUTPUT"] if direction == "BOTH" else [direction]
-    try:
-        found = [_reach(ways[w], start, depth).withColumn("direction", F.lit(w)) for w in wanted]
-    finally:
-        if persist:
-            forward.unpersist()
+    found = []
+    with ExitStack() as kept:
+        own = written and depth > 1
+        edges = kept.enter_context(written_edges(graph)) if own else graph
+        for way in ["INPUT", "OUTPUT"] if direction == "BOTH" else [direction]:
+            here, there = ("src", "dst") if way == "OUTPUT" else ("dst", "src")
+            turned = edges.select(F.col(here).alias("src"), F.col(there).alias("dst"))
+            found.append(_reach(turned, start, depth, kept if depth > 1 else None).withColumn("direction", F.lit(way)))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 

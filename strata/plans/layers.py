@@ -28,6 +28,7 @@ from strata.sources.write import create_namespace, replace_files, replace_table
 log = logging.getLogger(__name__)
 
 Tables = Mapping[str, DataFrame]
+LOAD = "load_batch"  # partition of tables that grow by batches
 # What building a table gives: its result (None if there was nothing to load) and its profile.
 Built = tuple[dict | None, DataFrame | None]
 
@@ -40,10 +41,31 @@ class Lake:
     root: str | None = None
     table_format: str = "parquet"
 
-    def read(self, layer: str, name: str) -> DataFrame:
+    def read(self, layer: str, name: str, batches: bool = False) -> DataFrame:
+        """A table; of one that grows by batches the rows of all, with the batch of each if ``batches``."""
         if self.root is None:
-            return read_table(self.spark, f"{layer}.{name}")
-        return self.spark.read.parquet(f"{self.root}/{layer}/{name}")
+            table = read_table(self.spark, f"{layer}.{name}")
+        else:
+            path = f"{self.root}/{layer}/{name}"
+            table = self.spark.read.option("mergeSchema", batches).parquet(path)
+        return table if batches else table.drop(LOAD)
+
+    def put_batch(self, df: DataFrame, layer: str, name: str, batch: str) -> DataFrame:
+        """Make ``df`` the rows of one batch of a table and return them; other batches stay, the same one is replaced."""
+        if not batch.isalnum():
+            raise ValueError("a batch is named by letters and digits")
+        if self.root is not None:
+            path = f"{self.root}/{layer}/{name}/{LOAD}={batch}"
+            df.write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        create_namespace(self.spark, layer)
+        table = f"{layer}.{name}"
+        if self.spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{c}`" for c in self.read(layer, name).columns)
+            self.spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({LOAD} = '{batch}') SELECT {columns} FROM {{rows}}", rows=df)
+        else:
+            df.withColumn(LOAD, F.lit(batch)).write.format(self.table_format).partitionBy(LOAD).saveAsTable(table)
+        return read_table(self.spark, table).where(F.col(LOAD) == batch).drop(LOAD)
 
     def replace(self, df: DataFrame, layer: str, name: str) -> DataFrame:
         if self.root is not None:
@@ -175,10 +197,59 @@ def run_bronze(
     return run.finish(lake, run_folder)
 
 
-def _gate(tables: Tables, gated: Sequence[str]) -> dict:
-    gates = [profile.quality_gate(tables[name], name) for name in gated]
-    combined = gates[0] if len(gates) == 1 else profile.combine_gates(gates)
-    return combined.first().asDict()
+def append_bronze(
+    lake: Lake,
+    landing: str,
+    pii: Mapping[str, Sequence[str]],
+    batch: str,
+    run_folder: str | None = None,
+    multi_line: bool = False,
+    workers: int = 4,
+) -> LayerRun:
+    """Load the raw files of one batch as further rows of the tables of the same name; missing and empty files are skipped.
+
+    Only the new rows are scanned for the profile: they are sketched by column, the sketches are kept by batch (layer
+    ``metadata``), and the table's profile is the union of all of them, with exact counts and estimated distinct values.
+    A batch that is loaded again takes its own place, so a run that failed can be repeated. ``batch`` is a text of
+    letters and digits. Tables that ``run_bronze`` has written are not grown: load their rows as the first batch.
+    """
+
+    def load(name: str, columns: Sequence[str]) -> Built:
+        raw = read_staging_or_none(lake.spark, f"{landing}/{name}.csv", multi_line)
+        if raw is None:
+            return None, None
+        rows = lake.put_batch(raw, "bronze", name, batch)
+        lake.put_batch(profile.column_sketches(rows, name), "metadata", f"{name}_sketches", batch)
+        sketches = lake.read("metadata", f"{name}_sketches", batches=True).withColumnRenamed(LOAD, "part")
+        folded = profile.table_profile(profile.profile_of_sketches(sketches)).drop("output_completeness")
+        return _written(rows, "APPENDED"), with_pii_columns(folded, {name: columns})
+
+    run = _start("staging_to_bronze")
+    run.build_all({name: partial(load, name, columns) for name, columns in pii.items()}, workers)
+    return run.finish(lake, run_folder)
+
+
+def _stored_gates(lake: Lake) -> dict[str, dict]:
+    """The gate of every bronze table by the profile that its load has stored: one small row per table."""
+    try:
+        profiles = lake.read("metadata", "staging_to_bronze_profiles")
+    except AnalysisException:  # nothing has been loaded by this library
+        return {}
+    return {row["table_name"]: row.asDict() for row in profile.gate_of_profiles(profiles).collect()}
+
+
+def _gate(tables: Tables, gated: Sequence[str], stored: Mapping[str, dict]) -> dict:
+    """The decision about the gated sources: from their stored profiles, by a scan of those that have none."""
+    spark = next(iter(tables.values())).sparkSession
+    gates = [stored[name] if name in stored else profile.quality_gate(tables[name], name).first().asDict() for name in gated]
+    if len(gates) == 1:
+        return gates[0]
+    schema = "table_name string, row_count bigint, column_count bigint, completeness double, quality_score double, status string"
+    rows = [spark.createDataFrame([tuple(gate[c] for c in GATE_COLUMNS)], schema) for gate in gates]
+    return profile.combine_gates(rows).first().asDict()
+
+
+GATE_COLUMNS = ("table_name", "row_count", "column_count", "completeness", "quality_score", "status")
 
 
 def run_silver(
@@ -188,12 +259,18 @@ def run_silver(
     run_folder: str | None = None,
     profile_plan: str = "batched",
     workers: int = 4,
+    scan_gate: bool = False,
 ) -> LayerRun:
-    """Build refined tables from bronze ones; a rejected table is not written."""
+    """Build refined tables from bronze ones; a rejected table is not written.
+
+    The gate follows from the profiles that loading the sources has stored, so it scans nothing; ``scan_gate`` takes it
+    from the rows instead, for bronze tables that something else has changed.
+    """
+    stored = {} if scan_gate else _stored_gates(lake)
 
     def refine(recipe: Refined) -> Built:
         tables = {name: lake.read("bronze", name) for name in recipe.sources}
-        gate = _gate(tables, recipe.gated)
+        gate = _gate(tables, recipe.gated, stored)
         if gate["status"] == "REJECT" and recipe.gate == "skip":
             log.warning("%s rejected, score %s", recipe.name, gate["quality_score"])
             return {"row_count": 0, "status": "REJECT", "written": False}, None

@@ -267,11 +267,22 @@ def unified_metadata_documents(spark, sf_dir):
 )
 def unified_metadata_top(spark, sf_dir):
     """The first fifty rows of the table in layer order, numbered."""
-    ordered = catalog.in_layer_order(catalog.unified_metadata(document_assets(spark, sf_dir))).limit(50)
-    numbered = ordered.select(F.collect_list(F.struct("asset_qualified_name", "layer")).alias("rows"))
-    return numbered.select(F.posexplode("rows").alias("pos", "row")).select(
-        (F.col("pos") + 1).cast("bigint").alias("place"), "row.asset_qualified_name", "row.layer"
+    places = catalog.layer_places(catalog.unified_metadata(document_assets(spark, sf_dir)))
+    return places.where("place <= 50").select("place", "asset_qualified_name", "layer")
+
+
+@query(
+    _sql(
+        f"""SELECT CAST(row_number() OVER (ORDER BY CASE layer WHEN 'staging' THEN 0 WHEN 'bronze' THEN 1 WHEN 'silver' THEN 2
+                        WHEN 'gold' THEN 3 WHEN 'unknown' THEN 4 ELSE 99 END, qualified_name) AS BIGINT) AS place,
+                   qualified_name AS asset_qualified_name, layer
+            FROM (SELECT qualified_name, {LAYER} AS layer FROM assets)"""
     )
+)
+def unified_metadata_order(spark, sf_dir):
+    """The place of every asset in layer order."""
+    places = catalog.layer_places(catalog.unified_metadata(document_assets(spark, sf_dir)))
+    return places.select("place", "asset_qualified_name", "layer")
 
 
 @query(_sql(f"SELECT asset_qualified_name, last_enriched_at FROM ({UMT}) WHERE layer = 'gold'"))

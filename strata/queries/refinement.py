@@ -171,6 +171,33 @@ def top_orders_page(spark, sf_dir):
     return catalog.page_number(orders, [F.col("o_totalprice").desc(), "o_orderkey"], 2, 25)
 
 
+LINE_ORDER = "l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
+        ORDER BY {LINE_ORDER} LIMIT 5 OFFSET 49995"""
+)
+def lineitem_page_10000(spark, sf_dir):
+    """Page 10,000 of 5, found by counts per range."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return catalog.page(lines, order, 5, 9999 * 5, deep=10_000)
+
+
+@query(
+    """WITH last AS (SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1 OFFSET 999)
+       SELECT o.o_orderkey, o.o_totalprice FROM orders o, last
+       WHERE o.o_totalprice < last.o_totalprice OR o.o_totalprice = last.o_totalprice AND o.o_orderkey > last.o_orderkey
+       ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 25"""
+)
+def orders_after_key(spark, sf_dir):
+    """The page after the thousandth order, by its key."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    last = catalog.page(orders, [F.col("o_totalprice").desc(), "o_orderkey"], 1, 999).first()
+    return catalog.page_after(orders, [("o_totalprice", True), ("o_orderkey", False)], (last.o_totalprice, last.o_orderkey), 25)
+
+
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 3")
 def newest_events(spark, sf_dir):
     events = table(spark, sf_dir, "events")

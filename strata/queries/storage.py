@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from strata.functions.dates import year_of
 from strata.functions.predicates import at_least
-from strata.operators import kpi, refine, runs
-from strata.plans.layers import Curated, Lake, Refined, Tables, run_bronze, run_gold, run_silver
+from strata.operators import kpi, profile, refine, runs
+from strata.plans.layers import Curated, Lake, Refined, Tables, append_bronze, run_bronze, run_gold, run_silver
 from strata.queries import query, table
 from strata.queries.kpis import FALLBACK, TARGETS
 from strata.sources import read, runlog, write
@@ -150,3 +150,61 @@ def layer_refresh_fact(spark, sf_dir):
     """The curated fact of that refresh, from text columns end to end."""
     lake, _ = refreshed(spark, sf_dir)
     return lake.read("gold", "fact_orders").select("period_key", "o_orderpriority", "total", "fulfilled", "remaining")
+
+
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+_LATE_ORDERS = "CASE WHEN o_orderkey % 3 = 0 AND o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END"
+
+
+@query(
+    "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({v}) AS null_count,
+                   round((count(*) - count({v})) / count(*) * 100, 2) AS null_pct, round(count({v}) / count(*) * 100, 2) AS completeness_pct,
+                   true AS distinct_in_bound FROM orders"""
+        for c in _ORDER_COLUMNS
+        for v in [_LATE_ORDERS if c == "o_orderpriority" else c]
+    )
+)
+def layer_refresh_after_append(spark, sf_dir):
+    """The profile of a raw table that was loaded in three batches, one of them twice; each batch was sketched alone.
+
+    Counts are those of a full profile. Distinct values are within four standard errors of the exact ones, which the
+    query takes from the loaded table.
+    """
+    base = new_folder(spark, "lake")
+    day, priority = F.date_format("o_orderdate", "yyyy-MM-dd"), F.when((F.col("o_orderkey") % 3 != 0) | (F.col("o_orderpriority") != "5-LOW"), F.col("o_orderpriority"))
+    orders = table(spark, sf_dir, "orders").select(*_ORDER_COLUMNS).withColumns({"o_orderdate": day, "o_orderpriority": priority})
+    lake = Lake(spark, f"{base}/lake")
+    for batch in (0, 1, 2):
+        write.export_csv(orders.where(F.col("o_orderkey") % 3 == batch), f"{base}/landing{batch}/raw_orders.csv")
+    for batch in (0, 1, 1, 2):
+        run = append_bronze(lake, f"{base}/landing{batch}", {"raw_orders": ["o_custkey"]}, f"day{batch}")
+    merged = run.profiles.select(F.explode(F.map_entries("columns")).alias("entry"), "row_count")
+    exact = profile.profile_columns(lake.read("bronze", "raw_orders"), "raw_orders").select("column_name", F.col("distinct_count").alias("exact"))
+    found = merged.select(F.col("entry.key").alias("column_name"), "row_count", "entry.value.*")
+    bound = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(1), 4 * 0.0163 * F.col("exact"))
+    return found.join(exact, "column_name").select("column_name", "row_count", "null_count", "null_pct", "completeness_pct", bound.alias("distinct_in_bound"))
+
+
+@query(
+    """SELECT 'staging_to_bronze' AS pipeline, CAST(2 AS BIGINT) AS tables_total, CAST(2 AS BIGINT) AS tables_written,
+              2 * count(*) AS rows_written FROM orders
+       UNION ALL SELECT 'bronze_to_silver', 3, 2, 2 * count(*) FROM orders"""
+)
+def layer_refresh_rejected(spark, sf_dir):
+    """Run records of a refresh in which one refined table is rejected for its mostly blank source, one is written all the same."""
+    base = new_folder(spark, "lake")
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    blank = [F.col("o_orderkey"), *[F.lit("  ").alias(c) for c in orders.columns[1:]]]
+    write.export_csv(orders, f"{base}/landing/raw_orders.csv")
+    orders.select(*blank).write.option("header", True).option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/landing/raw_blank.csv")
+    lake, log = Lake(spark, f"{base}/lake"), f"{base}/runs"
+    run_bronze(lake, f"{base}/landing", {"raw_orders": [], "raw_blank": []}, log)
+    keys = lambda name: lambda t, as_of: t[name].select("o_orderkey")
+    recipes = [
+        Refined("silver_orders", ["raw_orders"], ["raw_orders"], ["KEYS"], keys("raw_orders")),
+        Refined("silver_blank", ["raw_blank"], ["raw_blank"], ["KEYS"], keys("raw_blank")),
+        Refined("silver_reported", ["raw_blank"], ["raw_blank"], ["KEYS"], keys("raw_blank"), gate="report"),
+    ]
+    run_silver(lake, recipes, "2001-06-01", log)
+    return read_log(spark, log)

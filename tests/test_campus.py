@@ -225,3 +225,37 @@ def test_a_rerun_keeps_the_profiles_of_tables_that_fail(spark, tmp_path):
     again = run_bronze(lake, str(landing), {"raw_a": [], "raw_b": []})
     assert sorted(r.table_name for r in again.profiles.collect()) == ["raw_a", "raw_b"]
     assert again.profiles.where("table_name = 'raw_a'").count() == 1
+
+
+def test_the_gate_follows_the_stored_profiles(spark, tmp_path):
+    """The decision needs no scan of the sources; on request it is taken from the rows."""
+    from strata.plans import layers
+
+    lake = Lake(spark, str(tmp_path / "lake"))
+    (tmp_path / "raw_a.csv").write_text("k,v\n1,x\n2,y\n")
+    run_bronze(lake, str(tmp_path), {"raw_a": [], "raw_none": []})
+    stored = layers._stored_gates(lake)
+    assert stored["raw_a"]["status"] == "PASS" and stored["raw_a"]["row_count"] == 2
+    lake.replace(spark.createDataFrame([(None, None)], "k string, v string"), "bronze", "raw_a")  # behind the library's back
+    recipe = layers.Refined("silver_a", ["raw_a"], ["raw_a"], ["none"], lambda t, as_of: t["raw_a"])
+    assert layers.run_silver(lake, [recipe], AS_OF).results["silver_a"]["status"] == "PASS"
+    assert layers.run_silver(lake, [recipe], AS_OF, scan_gate=True).results["silver_a"]["status"] == "REJECT"
+
+
+@pytest.mark.parametrize("in_catalog", [False, True])
+def test_batches_are_appended_and_replaced(spark, tmp_path, in_catalog):
+    from strata.plans import layers
+
+    lake = Lake(spark) if in_catalog else Lake(spark, str(tmp_path / "lake"))
+    for batch, text in {"a": "k,v\n1,x\n2,\n", "b": "k,v\n3,x\n", "c": "k,v\n"}.items():
+        (tmp_path / batch).mkdir()
+        (tmp_path / batch / "raw_grown.csv").write_text(text)
+    for batch in ("a", "b", "b", "c"):
+        run = layers.append_bronze(lake, str(tmp_path / batch), {"raw_grown": ["v"]}, batch)
+        if batch == "c":
+            assert run.results == {}  # nothing in it
+            continue
+        entry = run.profiles.where("table_name = 'raw_grown'").first()
+    assert sorted(tuple(r) for r in lake.read("bronze", "raw_grown").select("k", "v").collect()) == [("1", "x"), ("2", None), ("3", "x")]
+    assert lake.read("bronze", "raw_grown").columns == ["k", "v"]
+    assert entry.row_count == 3 and entry["columns"]["v"].null_count == 1 and entry["columns"]["v"].distinct_count == 1 and entry["columns"]["k"].distinct_count == 3

@@ -196,3 +196,32 @@ def test_glossary(assets, spark, rows):
 def test_registration_snapshot(assets, spark):
     got = governance.registration_snapshot(assets(full("silver"), full("gold")), spark.range(3), "gold", AS_OF).first()
     assert tuple(got) == ("gold", AS_OF, 2, 3, 1)
+
+
+def test_places_and_deep_pages(spark, rows):
+    """Places of a frame with a hot first key over many ranges; deep pages are those of a sort."""
+    frame = spark.range(3000).selectExpr("if(id % 3 = 0, id % 50, 7) AS a", "cast(pmod(id * 7919, 3001) AS string) AS b")
+    order = [F.col("a").desc(), "b"]
+    want = sorted(((r.a, r.b) for r in frame.collect()), key=lambda r: (-r[0], r[1]))
+    got = sorted(catalog.placed(frame, order).collect(), key=lambda r: r.place)
+    assert [(r.a, r.b) for r in got] == want and [r.place for r in got] == list(range(1, 3001))
+    for offset in (0, 1234, 2995, 4000):
+        page = [tuple(r) for r in catalog.page(frame, order, 10, offset, deep=5).collect()]
+        assert page == want[offset : offset + 10] == [tuple(r) for r in catalog.page(frame, order, 10, offset).collect()]
+    assert catalog.placed(frame.where("false"), order).collect() == []
+
+
+def test_a_deep_page_leaves_no_rows_before_it_in_one_task(spark):
+    frame = spark.range(1000)
+    plan = catalog.page(frame, ["id"], 5, 900, deep=10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan and "CollectLimit" not in plan
+
+
+def test_page_after_a_key(spark):
+    values = [(1, "b"), (1, None), (None, "a"), (2, "a"), (2, "c"), (None, None), (1, "a")]
+    frame = spark.createDataFrame(values, "x int, y string")
+    for keys in ([("x", True), ("y", False)], [("x", False), ("y", True)]):
+        order = [F.col(n).desc() if d else F.col(n).asc() for n, d in keys]
+        want = [tuple(r) for r in frame.orderBy(*order).collect()]
+        for k, row in enumerate(want):
+            assert [tuple(r) for r in catalog.page_after(frame, keys, row, 3).collect()] == want[k + 1 : k + 4]

@@ -94,3 +94,18 @@ def test_checkpoint_folder_of_the_cluster_is_used(spark, tmp_path):
     before = context.getCheckpointDir()
     lineage.ensure_checkpoint_dir(spark)
     assert context.getCheckpointDir() == before
+
+
+def test_edges_are_written_once_and_never_shuffled_again(spark, graph, start, rows):
+    """A hub's edges lie in several buckets; a large frontier joins them without an exchange of the edges."""
+    hub = graph([("hub", f"n{i}") for i in range(400)] + [("hub", "n1"), ("n1", "z")])
+    with lineage.adjacency(hub, 8) as edges:
+        assert edges.count() == 401 and edges.where("src = 'hub'").select("salt").distinct().count() == lineage.SALTS
+        frontier = spark.createDataFrame([("hub", s) for s in range(lineage.SALTS)], "src string, salt int").hint("merge")
+        joined = edges.join(frontier, ["src", "salt"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        scan = plan[plan.index("strata_adjacency") - 400 : plan.index("strata_adjacency")]
+        assert joined.count() == 400 and "hashpartitioning(src" in plan and plan.count("Exchange") == 1, scan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("strata_adjacency")]
+    for written in (True, False):
+        assert len(rows(lineage.traverse(hub, start("hub"), 3, "OUTPUT", written), "node", "depth")) == 402

@@ -134,3 +134,34 @@ def test_batched_profile_reads_columns_once_and_joins_nothing(spark, sf):
     """A scan per batch of its own columns; two aggregates; no distinct aggregate over several columns at once."""
     plan = profile.profile_columns(spark.read.parquet(f"{sf}/lineitem.parquet"), "l")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate stack") == 3 and "Expand" not in plan and "Join" not in plan
+
+
+def test_sketches_of_parts_give_the_profile(spark, sf):
+    """Counts exactly, distinct values within four standard errors; a column that a part lacks is NULL there."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("note", F.when(F.col("l_linenumber") > 2, F.lit(" ")))
+    exact = {r.column_name: r for r in profile.profile_columns(lines, "l").collect()}
+    parts = None
+    for k in range(3):
+        part = lines.where(f"l_orderkey % 3 = {k}")
+        own = profile.column_sketches(part.drop("note") if k == 0 else part, "l").withColumn("part", F.lit(k))
+        parts = own if parts is None else parts.unionByName(own)
+    parts = parts.unionByName(profile.column_sketches(lines.where("false"), "l").withColumn("part", F.lit(9)))
+    got = {r.column_name: r for r in profile.profile_of_sketches(parts).collect()}
+    assert got.keys() == exact.keys()
+    missing = lines.where("l_orderkey % 3 = 0 AND l_linenumber > 2").count()
+    for name, r in got.items():
+        truth = exact[name]
+        assert (r.row_count, r.null_count, r.data_type) == (truth.row_count, truth.null_count, truth.data_type)
+        assert abs(r.distinct_count - truth.distinct_count) <= max(1, 4 * 0.0163 * truth.distinct_count), name
+    assert missing and got["note"].null_count == lines.count()
+
+
+def test_gate_of_stored_profiles_is_the_scanned_gate(spark, sf, rows):
+    frames = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("customer", "orders", "labels")}
+    frames["holes"] = spark.sql("SELECT if(id % 3 = 0, ' ', 'x') a, if(id % 2 = 0, NULL, id) b, cast(NULL AS int) c FROM range(31)")
+    stored = [profile.table_profile(profile.profile_columns(df, n)) for n, df in frames.items()]
+    profiles = stored[0]
+    for other in stored[1:]:
+        profiles = profiles.unionByName(other)
+    scanned = [rows(profile.quality_gate(df, n))[0] for n, df in frames.items()]
+    assert rows(profile.gate_of_profiles(profiles)) == sorted(scanned, key=repr)
