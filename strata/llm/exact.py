@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.llm.names import aliases
 from strata.llm.stored import stored
 from strata.llm.urls import LOWER, UPPER
 
@@ -52,7 +53,9 @@ def deduplicate(
     """
     results = ("keep_id", "group_size", "kept", "text_sha256")
     carried = [c for c in rows.columns if (carry is None or c in carry or c == key) and c not in results]
-    hashed = rows.select(*carried, normalised(F.col(text)).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    own = aliases(carried)
+    inside, key = list(own.values()), own[key]
+    hashed = rows.select(*[F.col(c).alias(a) for c, a in own.items()], normalised(F.col(text)).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     entries = stored(hashed.select(F.col("_hash").alias("hash")), "dedup-entries")
     cells = stored(directory(entries, buckets, bits).coalesce(1), "dedup-directory")
     chain = Window.partitionBy("_bucket", "_page", "_hash", "_text")
@@ -70,7 +73,7 @@ def deduplicate(
     )
     chained = stored(owned.drop("_cell", "cell", "depth", "_bucket"), "dedup-chains")
     alone = chained.where("pages = 1").select(
-        *carried, F.col("_largest").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_first").alias("kept"), "text_sha256"
+        *inside, F.col("_largest").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_first").alias("kept"), "text_sha256"
     )
     merged = (
         chained.where("pages > 1 AND _first")
@@ -82,7 +85,7 @@ def deduplicate(
         .select("text_sha256", "group_size", "_winner")
     )
     paged = chained.where("pages > 1").join(merged, "text_sha256").select(
-        *carried, F.col("_winner._largest").alias("keep_id"), "group_size",
+        *inside, F.col("_winner._largest").alias("keep_id"), "group_size",
         (F.col("_first") & (F.col("_page") == F.col("_winner._page"))).alias("kept"), "text_sha256",
     )
-    return alone.unionByName(paged)
+    return alone.unionByName(paged).select(*[F.col(a).alias(c) for c, a in own.items()], "keep_id", "group_size", "kept", "text_sha256")

@@ -15,3 +15,8 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+def aliases(columns: Iterable[str]) -> dict[str, str]:
+    """A name for each of ``columns`` by which an operator knows it inside, so that none clashes with its own names."""
+    return {c: f"in_{i}" for i, c in enumerate(columns)}

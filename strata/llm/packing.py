@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.karmarkar import deal
+from strata.llm.names import aliases
 from strata.llm.stored import stored
 
 CAPACITY = 2048
@@ -71,13 +72,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, batch: int = BATCH) -> Dat
     as many windows as its sum needs and more if a window would overflow. Sequences are numbered by the totals of the
     batches. Lengths of other columns do not matter; extra columns are kept. An empty table gives no rows.
     """
-    numbered = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
-    count = numbered.where(F.col("length") < capacity).count()
+    own = aliases(c for c in pieces.columns if c not in ("sequence_id", "offset"))
+    kept, length = list(own.values()), own["length"]
+    numbered = stored(pieces.select(*[F.col(c).alias(a) for c, a in own.items()], F.monotonically_increasing_id().alias("_row")), "pack-pieces")
+    count = numbered.where(F.col(length) < capacity).count()
     batches = max(1, -(-count // batch))
     dealt = numbered.withColumn("_batch", F.pmod(F.xxhash64("_row"), F.lit(batches)).cast("long"))
 
     def solve(table: pa.Table) -> pa.Table:
-        lengths = table.column("length").to_numpy().astype(np.int64)
+        lengths = table.column(length).to_numpy().astype(np.int64)
         full = lengths >= capacity
         window = np.zeros(len(lengths), np.int64)
         window[~full] = windows_of(lengths[~full], capacity)
@@ -89,12 +92,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, batch: int = BATCH) -> Dat
         offset = starts - np.maximum.accumulate(np.where(new, starts, 0))
         return table.take(order).append_column("_window", pa.array(window[order])).append_column("offset", pa.array(offset))
 
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     schema = dealt.select(*kept, "_row", "_batch").schema.add("_window", "long").add("offset", "long")
     solved = stored(dealt.select(*kept, "_row", "_batch").groupBy("_batch").applyInArrow(solve, schema), "pack-windows")
     before = Window.orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)  # one row per batch
     bases = solved.groupBy("_batch").agg((F.max("_window") + 1).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return solved.join(bases, "_batch").select(*kept, (F.col("_base") + F.col("_window")).cast("long").alias("sequence_id"), "offset")
+    return solved.join(bases, "_batch").select(*[F.col(a).alias(c) for c, a in own.items()], (F.col("_base") + F.col("_window")).cast("long").alias("sequence_id"), "offset")
 
 
 def pack_documents(documents: DataFrame, vocabulary: str) -> DataFrame:

@@ -19,8 +19,8 @@ def path_of(url: Column) -> Column:
 
 
 def _key(labels: Column, path: Column) -> Column:
-    """Host labels from the top level down, then the path, as bytes (which sort unsigned)."""
-    return F.encode(F.concat(F.concat_ws(".", F.reverse(labels)), path), "UTF-8")
+    """Host labels from the top level down, a slash, which no host holds, and the path, as bytes (which sort unsigned)."""
+    return F.encode(F.concat(F.concat_ws(".", F.reverse(labels)), F.lit("/"), path), "UTF-8")
 
 
 def _boundaries(rules: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     and carries the last boundary forward, which is the top of the stack of active rules. All keys of a url meet in
     its group, so urls are shuffled once. Of rules with equal host and path one stays. Null and malformed urls have
     empty host and path and fit no rule; without rules every page gets the default. Input columns named host, path,
-    rule or verdict are replaced.
+    rule or verdict are replaced; repeated pages are judged alike.
     """
     most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]

@@ -209,3 +209,64 @@ def test_a_learner_follows_the_gradient():
     assert weights[0] > 1 > -1 > weights[1]
     rare = quality.Learner(np.array([quality.L1 / 2, 0.0]), np.zeros(2))
     assert rare.weights(np.array([0]))[0] == 0  # small evidence leaves a weight at 0
+
+
+def test_a_rule_without_path_fits_whole_labels_only(spark):
+    from strata.llm.urls import judge
+
+    pages = spark.createDataFrame([(1, "http://orgx/a"), (2, "http://org/a"), (3, "http://a.org"), (4, "http://a.orgx.com/")], "page_id long, url string")
+    rules = spark.createDataFrame([("org", "", "block"), ("x.org", "", "allow"), ("orgx.com", "", "block")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge(pages, rules, salts=2).collect()}
+    assert got == {1: (None, "allow"), 2: ("org", "block"), 3: ("org", "block"), 4: ("orgx.com", "block")}
+
+
+def test_columns_with_the_operators_own_names(spark):
+    from strata.llm.exact import deduplicate
+    from strata.llm.packing import pack
+
+    names = ["cell", "depth", "pages", "_hash", "_text", "_bucket", "in_0"]
+    rows = [(i, "AB"[i % 2] * 3 if i % 3 else None, *[f"{n}{i}" for n in names]) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = deduplicate(frame, buckets=2, bits=3)
+    assert found.columns == [*frame.columns, "keep_id", "group_size", "kept", "text_sha256"]
+    for r in found.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r.keep_id >= r.doc_id and r.kept == (r.keep_id == r.doc_id)
+    pieces = spark.createDataFrame([(i, 1 + i % 7, f"b{i}", i) for i in range(50)] + [(99, 8, "full", 0)], "doc_id long, length long, _batch string, _window long")
+    packed = pack(pieces, capacity=8, batch=10)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    held = defaultdict(int)
+    for r in packed.collect():
+        assert r["_batch"] == ("full" if r.doc_id == 99 else f"b{r.doc_id}")
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 8 and sorted(held) == list(range(len(held)))
+
+
+def test_special_tokens_are_those_of_the_library():
+    from strata.llm.tokens import Encoder
+
+    for file in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = llm.vocabulary(file)
+        for as_text in (False, True):
+            encoder = Encoder(path, as_text)
+            texts = ["a <|endoftext|> b<|endoftext|>", "<|endoftext|>", "plain, it's DON'T", " x  y\n\nz \n w\n", "", None, "\tß ÀB!! ~", "word word, word."]
+            want = [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+            assert encoder.encode(texts) == want == encoder.encode(texts)
+            assert (np.frombuffer(want[1], "<u4").size == 1) == (not as_text)
+
+
+def test_a_memory_is_bounded_and_keeps_what_is_used(monkeypatch):
+    from strata.llm import tokens
+    from strata.llm.held import Memory, held
+
+    memory = Memory(1000)
+    for k in range(100):
+        assert not memory.missing({"common"}) or k == 0
+        fresh = {"common"} if k == 0 else set()
+        memory.add({w: w for w in fresh | {f"w{k}"}}, 100)
+        assert len(memory.newer) + len(memory.older) <= 14
+    monkeypatch.setattr(tokens, "REMEMBERED", 4000)
+    encoder = tokens.Encoder(llm.vocabulary("byte_bpe_50k.json"))
+    texts = [f"some w{k}rd and{k} more, {'x' * 70}{k}" for k in range(300)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [encoder.encode([t])[0] for t in texts] == want and encoder.encode(texts) == want
+    assert held("one", list) is held("one", list) and held("two", dict) == {}
