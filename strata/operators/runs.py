@@ -7,6 +7,9 @@ from pyspark.sql.window import Window
 
 from strata.operators.refine import dedup
 
+# Kinds of reports, the beginnings of their names.
+DATASET_SUMMARY, REGISTRATION = "dataset_summary", "registration"
+
 
 def latest_runs(runs: DataFrame, by: str = "pipeline", time: str = "ended_at", tiebreak: tuple = ()) -> DataFrame:
     """The newest run of every pipeline."""
@@ -34,10 +37,14 @@ def experiment_summary(
     quality: DataFrame,
     coverage: DataFrame,
     umt: DataFrame,
+    reports: DataFrame | None = None,
+    newest_of_kind: int = 3,
 ) -> DataFrame:
-    """One row: latest run per pipeline, total run time, quality and coverage by layer, catalog size.
+    """One row: latest run per pipeline, total run time, quality and coverage by layer, catalog size, newest reports.
 
-    The collected lists hold one entry per pipeline or layer.
+    ``reports`` (kind, report, file_time, document) gives the newest dataset summaries and registration snapshots, as
+    (report, document), the newest last. The collected lists hold one entry per pipeline or layer, or
+    ``newest_of_kind`` reports.
     """
     latest = latest_runs(runs)
     entries = latest.agg(
@@ -46,6 +53,13 @@ def experiment_summary(
     listed = lambda df: df.select(
         F.array_sort(F.collect_list(F.struct(*df.columns))).alias("x")
     ).scalar()
+    def newest_reports(kind: str):
+        if reports is None:
+            return F.array().cast("array<struct<report: string, document: string>>")
+        own = newest(reports.where(F.col("kind") == kind), newest_of_kind, "kind", "file_time", (F.col("report").desc(),))
+        ordered = own.select(F.array_sort(F.collect_list(F.struct("file_time", "report", "document"))).alias("x"))
+        return ordered.select(F.transform("x", lambda r: F.struct(r["report"].alias("report"), r["document"].alias("document")))).scalar()
+
     return entries.select(
         F.lit(experiment_id).alias("experiment_id"),
         F.lit(as_of).alias("generated_at"),
@@ -54,4 +68,6 @@ def experiment_summary(
         listed(quality).alias("metadata_quality"),
         listed(coverage).alias("metadata_coverage"),
         umt.select(F.count(F.lit(1))).scalar().alias("umt_rows"),
+        newest_reports(DATASET_SUMMARY).alias("dataset_summaries"),
+        newest_reports(REGISTRATION).alias("registration_snapshots"),
     )

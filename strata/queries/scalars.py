@@ -11,6 +11,8 @@ from strata.queries import query, table
 from strata.queries.assets import AS_OF, document_assets
 from strata.queries.kpis import FALLBACK, TARGETS, _kpi, _targets_sql, rounded
 from strata.queries.refinement import MONTH_CASE
+from strata.sources import read, runlog
+from strata.sources.scratch import new_folder
 
 K = "json_extract_string(props, '$.k')"
 
@@ -207,3 +209,37 @@ def experiment_summary(spark, sf_dir):
         F.size("metadata_coverage").alias("coverage_layers"),
         "umt_rows",
     )
+
+
+_REPORTED = ("customer", "orders", "events", "documents")
+
+
+@query(
+    "\nUNION ALL\n".join(
+        [f"SELECT 'dataset_summary' AS kind, {k} AS place, '{t}' AS item, count(*) AS n FROM {t}" for k in (1, 2, 3) for t in _REPORTED[: k + 1]]
+        + [f"SELECT 'registration', {k}, 'processes', count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey % {k + 1} = 0" for k in (1, 2, 3)]
+        + [f"SELECT 'registration', {k}, 'datasets', count(*) FROM documents" for k in (1, 2, 3)]
+    )
+)
+def experiment_reports(spark, sf_dir):
+    """The newest three dataset summaries and registration snapshots of an experiment by content; four of each were written."""
+    folder = new_folder(spark, "reports")
+    assets, orders = document_assets(spark, sf_dir), table(spark, sf_dir, "orders").select("o_orderkey").distinct()
+    summary = read.dataset_summary(spark, sf_dir, "parquet")
+    for k in range(4):
+        tables = summary.where(F.col("table_name").isin(*_REPORTED[: k + 1])).agg(
+            F.sum("row_count").alias("total_rows"), F.array_sort(F.collect_list(F.struct("table_name", "row_count"))).alias("tables")
+        )
+        runlog.write_report(tables, folder, f"dataset_summary_{9 - k}")  # names do not follow the time
+        snapshot = governance.registration_snapshot(assets, orders.where(F.col("o_orderkey") % (k + 1) == 0), "silver", AS_OF)
+        runlog.write_report(snapshot, folder, f"registration_{k}")
+    nothing = spark.createDataFrame([], "pipeline string, ended_at timestamp, duration_sec double, rows_written bigint")
+    reports = runlog.read_reports(spark, folder, (runs.DATASET_SUMMARY, runs.REGISTRATION))
+    found = runs.experiment_summary("X-1", AS_OF, nothing, nothing.select("pipeline"), nothing.select("pipeline"), nothing, reports)
+    summaries = found.select(F.posexplode("dataset_summaries").alias("pos", "r")).select(
+        F.lit("dataset_summary").alias("kind"), "pos", F.inline(F.from_json("r.document", "tables array<struct<table_name: string, row_count: bigint>>")["tables"]).alias("item", "n")
+    )
+    counts = F.from_json("r.document", "processes bigint, datasets bigint")
+    entries = F.array(*[F.struct(F.lit(c).alias("item"), counts[c].alias("n")) for c in ("processes", "datasets")])
+    snapshots = found.select(F.posexplode("registration_snapshots").alias("pos", "r")).select(F.lit("registration").alias("kind"), "pos", F.inline(entries))
+    return summaries.unionByName(snapshots).select("kind", (F.col("pos") + 1).alias("place"), "item", "n")

@@ -37,7 +37,7 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def _table_of(path_column: str, folder: str) -> Column:
+def table_of(path_column: str, folder: str) -> Column:
     """First name below ``folder`` in a path, without extension: a file, or the folder of a table."""
     inner = re.sub(r"^[A-Za-z0-9]+:/*", "", folder).strip("/")
     return F.regexp_extract(path_column, rf"\Q{inner}\E/+([^/]+?)(\.[^./]*)?(/.*)?$", 1).alias("table_name")
@@ -82,13 +82,13 @@ def dataset_summary(spark: SparkSession, folder: str, file_format: str = "csv")
     """
     find = {"pathGlobFilter": f"*.{file_format}", "recursiveFileLookup": True}
     listing = spark.read.format("binaryFile").options(**find).load(folder)
-    sizes = listing.groupBy(_table_of("path", folder)).agg(F.sum("length").alias("size_bytes"))
+    sizes = listing.groupBy(table_of("path", folder)).agg(F.sum("length").alias("size_bytes"))
     if file_format == "csv":
         per_file = csv_records(spark, folder)
     else:
         scan = spark.read.format(file_format).schema("_unused string").options(**find)
         per_file = scan.load(folder).groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n"))
-    counted = per_file.groupBy(_table_of("file_path", folder)).agg(F.sum("n").alias("row_count"))
+    counted = per_file.groupBy(table_of("file_path", folder)).agg(F.sum("n").alias("row_count"))
     return sizes.join(counted, "table_name", "left").select(
         "table_name",
         F.coalesce("row_count", F.lit(0)).alias("row_count"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +16,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from strata.sources.read import table_of
+
 TABLE_RESULT = StructType(
     [
         StructField("table_name", StringType()),
@@ -70,3 +72,22 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).json(folder).withColumn(
         "file_time", F.col("_metadata.file_modification_time")
     )
+
+
+def write_report(report: DataFrame, folder: str, name: str) -> None:
+    """A report of one row as a JSON document below ``folder``, under its name."""
+    report.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/{name}")
+
+
+def read_reports(spark: SparkSession, folder: str, kinds: Sequence[str]) -> DataFrame:
+    """(kind, report, file_time, document) of the JSON reports of any shape below ``folder``.
+
+    A report is a file, or a folder that holds one; its kind is the one of ``kinds`` that its name begins with, before an
+    underscore. Others are left out.
+    """
+    text = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    named = text.select(
+        table_of("_metadata.file_path", folder).alias("report"), F.col("_metadata.file_modification_time").alias("file_time"), F.col("value").alias("document")
+    )
+    kind = F.coalesce(*[F.when(F.startswith("report", F.lit(f"{k}_")), F.lit(k)) for k in kinds])
+    return named.where("document <> ''").withColumn("kind", kind).where("kind IS NOT NULL").select("kind", "report", "file_time", "document")

@@ -172,3 +172,21 @@ def test_a_table_is_replaced_from_itself(spark, tmp_path, rows):
     write.create_namespace(spark, "strata_kept")
     write.replace_table(spark.range(4).toDF("id"), "strata_kept.own")
     assert rows(write.replace_table(spark.table("strata_kept.own").where("id > 1"), "strata_kept.own")) == [(2,), (3,)]
+
+
+def test_reports_of_any_shape_by_time(spark, tmp_path):
+    """Files and folders of JSON; the newest of a kind by file time, other files left out."""
+    import os
+
+    for n, name in enumerate(["dataset_summary_b.json", "dataset_summary_a.json", "dataset_summary_c.json", "dataset_summary_d.json", "registration_x.json", "notes.json"]):
+        (tmp_path / name).write_text(json.dumps({"no": n, "deep": [{"x": None}]}, indent=1))
+        os.utime(tmp_path / name, (1_700_000_000 + n, 1_700_000_000 + n))
+    runlog.write_report(spark.range(1), str(tmp_path), "registration_y")
+    reports = runlog.read_reports(spark, str(tmp_path), (runs.DATASET_SUMMARY, runs.REGISTRATION))
+    assert reports.count() == 6
+    log = spark.createDataFrame([], "pipeline string, ended_at timestamp, duration_sec double, rows_written bigint")
+    one = spark.createDataFrame([("bronze", 1)], "layer string, n int")
+    summary = runs.experiment_summary("X", "now", log, one, one, spark.range(4), reports).first()
+    assert [(r.report, json.loads(r.document)["no"]) for r in summary.dataset_summaries] == [("dataset_summary_a", 1), ("dataset_summary_c", 2), ("dataset_summary_d", 3)]
+    assert [r.report for r in summary.registration_snapshots] == ["registration_x", "registration_y"]
+    assert runs.experiment_summary("X", "now", log, one, one, spark.range(4)).first().dataset_summaries == []
