@@ -1,8 +1,11 @@
-"""Near-duplicate documents by banded MinHash signatures, with every link confirmed on full shingle sets.
-
-Documents of equal sets are one node. A signature has ``TREES`` bands of ``DEPTH`` values; nodes with the same first
-``PREFIX`` values in some band form a region (nothing is sorted, and the prefix is the same for all regions). In a region, nodes whose signatures agree enough
-are joined to a family; families hold every pair that may be a link. The sets of a family are compared exactly.
+"""Near-duplicate documents by a forest of sorted MinHash signatures, with every link confirmed on full shingle sets.
+
+Documents of equal sets are one node. A signature has ``TREES`` trees of ``DEPTH`` values. Each tree sorts all nodes by its
+values, so that the nodes with the longest common prefix are neighbours; neighbours with ``PREFIX`` common values or more
+are one region. A crowded region is parted where its neighbours have the fewest values in common, so its windows lie as
+deep as they must. In a window, nodes whose signatures agree enough are joined to a family. What parting kept asunder is
+made up for: in a parted region the nodes outside its largest family are compared with all others of the region. Families
+thus hold every pair of a region that may be a link. The sets of a family are compared exactly.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from strata.llm.stored import passing, stored
 TREES, DEPTH, PREFIX = 20, 5, 3
 SIMILAR = 75  # per cent of the union that the intersection of linked sets has at least
 LIKELY = 0.53  # share of equal signature values from which a pair may be a link: five standard errors below 0.75
-REGION = 4096  # nodes of a region that are compared together
+REGION = 4096  # nodes of a window, and of a block of a parted region
 WEIGHT = 4_000_000  # shingles of a family that are compared together
 GROUPED = 20_000  # rows that a task compares at a time, about
 
+KEY = 1 + 4 * DEPTH  # bytes of a sort key
+
 _SIGNATURE = shingles.multipliers(TREES * DEPTH)
 
 
@@ -54,19 +59,125 @@ def sketch(documents: DataFrame) -> DataFrame:
     )
 
 
-def placed(nodes: DataFrame) -> DataFrame:
-    """(node, prefix) per node and tree: a number for the tree and its first ``PREFIX`` values."""
+def keyed(nodes: DataFrame) -> DataFrame:
+    """(key, node) per node and tree: a byte for the tree, then its values with the first byte highest, so that bytes sort as values."""
 
     def run(batches):
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(np.uint64)
-            head = np.broadcast_to(np.arange(TREES, dtype=np.uint64), values.shape[:2])
-            for k in range(PREFIX):
-                head = shingles.mix(head * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k] + np.uint64(1))
+            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
+            keys = np.empty((len(values), TREES, KEY), np.uint8)
+            keys[:, :, 0] = np.arange(TREES)
+            keys[:, :, 1:] = np.ascontiguousarray(values.astype(">u4")).view(np.uint8).reshape(len(values), TREES, KEY - 1)
+            sort = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY), len(values) * TREES, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
             node = batch.column("node").take(pa.array(np.repeat(np.arange(len(values)), TREES)))
-            yield pa.RecordBatch.from_arrays([node, pa.array(head.astype(np.int64).ravel())], names=["node", "prefix"])
+            yield pa.RecordBatch.from_arrays([sort, node], names=["key", "node"])
+
+    return nodes.select("node", "signature").mapInArrow(run, "key binary, node binary")
+
+
+def common(keys: np.ndarray) -> np.ndarray:
+    """How many values each key (a row of bytes) shares with the one before it, from the first value on; 0 for the first key and across trees."""
+    shared = np.zeros(len(keys), np.int64)
+    if len(keys) > 1:
+        equal = np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1)
+        shared[1:] = equal[:, 4 : KEY : 4].sum(axis=1)
+    return shared
+
 
-    return nodes.select("node", "signature").mapInArrow(run, "node binary, prefix long")
+def parted(shared: np.ndarray, most: int) -> list[int]:
+    """Starts of windows of at most ``most`` rows: cut where neighbours share the fewest values, as late as that allows."""
+    starts, at = [0], 0
+    while len(shared) - at > most:
+        half = at + most // 2 + 1
+        choice = shared[half : at + most + 1]
+        at = half + len(choice) - 1 - int(np.argmin(choice[::-1]))
+        starts.append(at)
+    return starts
+
+
+def windows(batches, most: int):
+    """(region, unit, node) for the sorted rows (key, node) of one task, where a region holds more than one of them.
+
+    ``region`` names the first ``PREFIX`` values, ``unit`` the window. The first and the last region of the task may go on
+    in other tasks and are always given. A window has at most ``most`` rows; of an open region at most twice as many and a batch are held.
+    """
+    keys, nodes, torn = np.zeros((0, KEY), np.uint8), [], True
+
+    def given(upto, starts, shared, edges):
+        ends = np.append(starts[1:], upto)
+        wide = (ends - starts > 1) | edges
+        cuts = [a + np.array(parted(shared[a:e], most)) for a, e in zip(starts[wide], ends[wide])]
+        if not cuts:
+            return None
+        first = np.concatenate(cuts)
+        length = np.diff(np.append(first, 0))
+        lasts = np.cumsum([len(c) for c in cuts]) - 1
+        length[lasts] = ends[wide] - first[lasts]
+        region = _named(keys[first, : 1 + 4 * PREFIX])
+        unit = _named(np.hstack([keys[first], np.frombuffer(b"".join(nodes[i] for i in first), np.uint8).reshape(len(first), -1)]))
+        rows = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        columns = [pa.array(np.repeat(region, length)), pa.array(np.repeat(unit, length)), pa.array([nodes[i] for i in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["region", "unit", "node"])
+
+    def step(last):
+        nonlocal keys, nodes, torn
+        shared = common(keys)
+        starts = np.flatnonzero(shared < PREFIX)
+        if last:
+            upto = len(keys)
+        elif len(keys) - starts[-1] > 2 * most:  # the front windows of an open region
+            upto = starts[-1] + parted(shared[starts[-1] :], most)[-1]
+        else:
+            upto, starts = starts[-1], starts[:-1]
+        edges = np.zeros(len(starts), bool)
+        if len(starts):
+            edges[0] = torn
+            edges[-1] |= last or upto > starts[-1] and upto < len(keys) and shared[upto] >= PREFIX
+            found = given(upto, starts, shared, edges)
+            torn = bool(upto < len(keys) and shared[upto] >= PREFIX)
+            keys, nodes = keys[upto:], nodes[upto:]
+            return found
+        return None
+
+    for batch in batches:
+        if batch.num_rows:
+            keys = np.concatenate([keys, np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(-1, KEY)])
+            nodes = nodes + batch.column("node").to_pylist()
+            if (found := step(False)) is not None:
+                yield found
+    if len(keys) and (found := step(True)) is not None:
+        yield found
+
+
+def _named(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit number for every row of bytes."""
+    return np.array([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in rows], np.int64)
+
+
+def missed(members: DataFrame, families: DataFrame) -> DataFrame:
+    """(unit, node): what the windows ``members`` (region, unit, node) of parted regions have not compared.
+
+    In every region with several windows and several ``families`` (node, root) the largest family needs no comparison
+    within itself. The other nodes meet one another and that family in pairs of blocks of at most about ``REGION`` nodes,
+    chosen by a hash of the node. If the others fit one block, the work is in proportion to the region.
+    """
+    several = members.groupBy("region").agg(F.min("unit").alias("_a"), F.max("unit").alias("_b")).where("_a <> _b").select("region")
+    named = members.select("region", "node").join(several, "region").join(families, "node", "left")
+    own = stored(named.select("region", "node", F.coalesce("root", "node").alias("_family")), "near-parted")
+    sizes = own.groupBy("region", "_family").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy("region").agg(
+        F.max(F.struct("_n", "_family")).alias("_top"), F.sum("_n").alias("_all"),
+    ).where("_all > _top._n")
+    counted = largest.select(
+        "region", F.col("_top._family").alias("_main"),
+        F.ceil(F.col("_top._n") / REGION).cast("int").alias("_mains"), F.ceil((F.col("_all") - F.col("_top._n")) / REGION).cast("int").alias("_others"),
+    )
+    placed = own.join(counted, "region").withColumn("_in", F.col("_family") == F.col("_main"))
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64("node"), F.when(F.col("_in"), F.col("_mains")).otherwise(F.col("_others"))).cast("int"))
+    to_others = F.expr("transform(sequence(0, _others - 1), o -> IF(_in, struct(true AS m, _block AS x, o AS y), struct(false AS m, least(_block, o) AS x, greatest(_block, o) AS y)))")
+    to_main = F.expr("IF(_in, array(), transform(sequence(0, _mains - 1), k -> struct(true AS m, k AS x, _block AS y)))")
+    met = placed.select("region", "node", F.explode(F.concat(to_others, to_main)).alias("_p"))
+    return met.select(F.xxhash64("region", "_p.m", "_p.x", "_p.y").alias("unit"), "node")
 
 
 def spread(same: int, neighbours) -> list[tuple[int, int]]:
@@ -158,9 +269,9 @@ def near_groups(documents: DataFrame) -> DataFrame:
     sets have no links. ``component_id`` is the smallest doc_id that links reach; ``kept`` marks it. Rows without doc_id
     take no part: component null, kept. Rows of equal doc_id and different texts are different nodes with one label.
     Two sets with a Jaccard similarity of 0.75 share a region with probability 1 - 1.7e-5, more similar ones almost
-    surely; all else is exact. Regions of more than ``REGION`` nodes and families of more than ``WEIGHT`` shingles are
-    divided into blocks by a hash of the node, as near copies have most signature values in common, and every pair of
-    blocks is compared, so none is capped and no unit holds more than about two blocks of a region.
+    surely; all else is exact. Crowded regions are parted into windows of ``REGION`` neighbours, and what the windows do not
+    join is compared in pairs of blocks of about as many nodes, so nothing is capped. Families of more than ``WEIGHT``
+    shingles are divided into blocks by a hash of the node, and every pair of blocks is compared. An empty table gives none.
     The result is a stored table; signatures, regions and families are deleted once it is written.
     """
     with passing(documents.sparkSession):
@@ -176,13 +287,19 @@ def _grouped(documents: DataFrame) -> DataFrame:
         ),
         "near-nodes",
     )
-    prefixes = placed(nodes)
-    crowds = prefixes.groupBy("prefix").agg(F.count("*").alias("_size")).where("_size > 1").withColumn("_blocks", F.ceil(F.col("_size") / REGION).cast("long"))
-    members = stored(_units(prefixes.join(crowds, "prefix"), "prefix", "_blocks", F.xxhash64("node")).select("unit", "node"), "near-regions")
-    tasks = max(1, -(-members.count() // GROUPED))
-    compared = members.join(nodes.select("node", "signature"), "node").withColumn("_task", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
-    likely = compared.groupBy("_task").applyInArrow(likely_pairs, "a binary, b binary")
-    families = connected(likely.distinct(), "near-families")
+    signatures = nodes.select("node", "signature")
+    ordered = keyed(nodes).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    most = REGION  # a value of the job, not of the worker's module
+    members = stored(ordered.mapInArrow(lambda batches: windows(batches, most), "region long, unit long, node binary"), "near-regions")
+
+    def compared(units: DataFrame) -> DataFrame:
+        tasks = max(1, -(-units.count() // GROUPED))
+        held = units.select("unit", "node").join(signatures, "node").withColumn("_task", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
+        return held.groupBy("_task").applyInArrow(likely_pairs, "a binary, b binary").distinct()
+
+    joined = connected(compared(members), "near-joined")
+    rest = stored(missed(members, joined), "near-rest")
+    families = connected(compared(rest).unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))), "near-families")
 
     heavy = families.join(nodes.select("node", "label", "n"), "node")
     weights = heavy.groupBy("root").agg(F.ceil(F.sum("n") / WEIGHT).cast("long").alias("_blocks"), F.sum("n").alias("_weight"))

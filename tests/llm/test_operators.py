@@ -321,6 +321,65 @@ def test_near_template_crowd(spark, monkeypatch):
     assert len(most) == 1 and most[0] <= 3 * near.REGION
 
 
+def test_sorted_windows():
+    """Windows of sorted keys: whole regions at every batch size, parted where the prefix is shortest, against a plain grouping."""
+    import pyarrow as pa
+
+    from strata.llm import near
+
+    most = 8
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.integers(0, 3, (400, near.DEPTH)), np.tile([1, 1, 1, 2, 2], (60, 1))]).astype(">u4")
+    keys = np.hstack([rng.integers(0, 2, (len(values), 1)).astype(np.uint8), np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)])
+    rows = sorted((k.tobytes(), i.to_bytes(16, "big")) for i, k in enumerate(keys))
+    head = 1 + 4 * near.PREFIX
+    for size in (1, 7, 1000):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([n for _, n in part], pa.binary())], names=["key", "node"])
+            for part in (rows[i : i + size] for i in range(0, len(rows), size))
+        ]
+        found = [tuple(r.values()) for b in near.windows(iter(batches), most) for r in b.to_pylist()]
+        regions, units = {}, {}
+        for region, unit, node in found:
+            regions.setdefault(region, set()).add(node)
+            units.setdefault(unit, set()).add((region, node))
+        plain = {}
+        for k, n in rows:
+            plain.setdefault(k[:head], set()).add(n)
+        edge = {rows[0][0][:head], rows[-1][0][:head]}
+        assert sorted(map(sorted, regions.values())) == sorted(sorted(v) for k, v in plain.items() if len(v) > 1 or k in edge)
+        assert len(found) == sum(map(len, regions.values()))  # every node once in its region
+        assert all(len(u) <= most and len({r for r, _ in u}) == 1 for u in units.values())
+        whole = [len({u for u, m in units.items() if (r, n) in m}) for r, m in regions.items() for n in m]
+        assert set(whole) == {1}
+    assert list(near.windows(iter([]), most)) == []
+    assert near.parted(np.array([0, 5, 5, 3, 5, 4, 5, 5]), 4) == [0, 3, 7]  # rows 3 to 6, then the rest: as late as equal depths allow
+
+
+def test_near_crowd_of_two_families(spark, monkeypatch):
+    """One region with a large and several small families, parted everywhere: links across windows are found, work stays linear."""
+    from strata.llm import near
+
+    keep, rest = near.stored, []
+
+    def watched(frame, purpose, **options):
+        table = keep(frame, purpose, **options)
+        if purpose == "near-rest":
+            rest.append(table.count())
+        return table
+
+    monkeypatch.setattr(near, "stored", watched)
+    monkeypatch.setattr(near, "REGION", 16)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(200)]
+    crowd = {i: " ".join(base[:a] + [f"e{i}"] + base[a + 1 :]) for i, a in enumerate(rng.integers(0, 200, 300))}
+    for i in range(300, 340):  # near the threshold: a tail of other words of growing length
+        crowd[i] = " ".join(base[: 200 - (i - 300)] + [f"t{k}" for k in range(i - 300)])
+    got = {r.doc_id: tuple(r)[1:] for r in near.near_groups(spark.createDataFrame(list(crowd.items()), "doc_id long, text string")).collect()}
+    assert got == brute_groups(crowd)
+    assert rest[0] <= 4 * near.TREES * len(crowd)
+
+
 def check_packing(rows, documents, ids):
     by_document, by_sequence = {}, {}
     for r in rows:
