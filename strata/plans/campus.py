@@ -115,8 +115,8 @@ def _shaped(fact: DataFrame, *columns: str) -> DataFrame:
     return fact.withColumnsRenamed(names).select("fact_id", "waktu_id", *columns, "target_iku", "capaian_iku")
 
 
-def _calendar(spark: SparkSession) -> DataFrame:
-    months = dims.calendar_dimension(dims.fixed_years(spark, 2020, 2025))
+def _calendar(spark: SparkSession, years: tuple[int, int]) -> DataFrame:
+    months = dims.calendar_dimension(dims.fixed_years(spark, *years))
     names = {
         "calendar_id": "waktu_id", "year": "tahun", "term": "semester",
         "quarter": "triwulan", "month": "bulan", "month_name": "nama_bulan",
@@ -150,11 +150,14 @@ def _undergraduate(programmes: DataFrame) -> DataFrame:
     return programmes.where(F.col("jenjang") == "S1").select("prodi_id")
 
 
-def gold_specs(spark: SparkSession, institution: str, numerator: str = "sum", strict: bool = False) -> list[Curated]:
+def gold_specs(
+    spark: SparkSession, institution: str, numerator: str = "sum", strict: bool = False, years: tuple[int, int] = (2020, 2025)
+) -> list[Curated]:
     """Five dimensions and nine facts.
 
     ``numerator`` and ``strict`` choose between adding up overlapping categories and
-    counting every entity once (see ``Kpi`` and ``coverage_share``).
+    counting every entity once (see ``Kpi`` and ``coverage_share``). The calendar runs from the first to the last of
+    ``years``; an inner join with it drops the facts of other years.
     """
     targets = kpi.target_table(spark, values.TARGETS)
 
@@ -258,7 +261,7 @@ def gold_specs(spark: SparkSession, institution: str, numerator: str = "sum", st
         "jenis_kelamin",
     )
     return [
-        Curated("dim_waktu", "dimension", ["generated"], lambda t: _calendar(spark)),
+        Curated("dim_waktu", "dimension", ["generated"], lambda t: _calendar(spark, years)),
         Curated("dim_prodi", "dimension", ["raw_prodi"], lambda t: _programmes(t, institution)),
         Curated("dim_dosen", "dimension", ["silver_dosen"], lecturer),
         Curated("dim_mahasiswa", "dimension", ["silver_mahasiswa"], student),
@@ -355,7 +358,7 @@ def kpi_attributes(spark: SparkSession, institution: str) -> DataFrame:
 
 def consumption_attributes(spark: SparkSession) -> DataFrame:
     rows = {
-        t: {"consumers": [values.LEADERSHIP[i] for i in readers], "olap_role": role}
+        t: {"consumers": readers, "olap_role": role}
         for t, (readers, role) in values.CONSUMPTION.items()
     }
     return _attributes(spark, rows, consumers=TEXTS, olap_role=StringType())
@@ -389,8 +392,13 @@ def register(
     return refine.union_all(assets), refine.union_all(processes)
 
 
-def campus_glossary(spark: SparkSession, assets: DataFrame, institution: str) -> DataFrame:
-    """Terms collected from the assets, completed by the local ones."""
+def campus_glossary(
+    spark: SparkSession, assets: DataFrame, institution: str, catalog_terms: DataFrame | None = None
+) -> DataFrame:
+    """Terms of the catalog (same columns as the local dictionary), then those collected from the assets, then the local ones.
+
+    A term keeps the definition of the first of the three that has it.
+    """
     named = lambda terms: {t: (d.format(institution=institution), c) for t, (d, c) in terms.items()}
     collected = glossary.glossary_terms(
         assets,
@@ -398,4 +406,4 @@ def campus_glossary(spark: SparkSession, assets: DataFrame, institution: str) ->
         values.DEFAULT_DEFINITION.format(institution=institution),
     )
     local = glossary.dictionary(spark, named(values.LOCAL_TERMS))
-    return glossary.merge_glossary(local.limit(0), collected, local)
+    return glossary.merge_glossary(local.limit(0) if catalog_terms is None else catalog_terms, collected, local)

@@ -187,8 +187,14 @@ def test_catalog(refreshed, spark):
     complete = {r.layer: r.with_incoming_pct for r in lineage.completeness(assets, edges).collect()}
     assert complete == {"bronze": 100.0, "silver": 100.0, "gold": round(11 / 14 * 100, 2)}
     terms = {r.term: r for r in campus.campus_glossary(spark, assets, "Campus").collect()}
-    assert terms["MBKM"].category == "Academic" and terms["PKS"].definition.endswith("antara Campus dan mitra")
+    assert terms["MBKM"].category == "Academic" and "Campus" in terms["PKS"].definition
     assert terms["IKU-1"].source == "gold_metadata" and terms["Renstra"].source == "local"
+    stated = spark.createDataFrame([("mbkm", "As the catalog has it", "Policy"), ("Kelas", "A group", "Policy")], "term string, definition string, category string")
+    merged = {r.term: (r.definition, r.source) for r in campus.campus_glossary(spark, assets, "Campus", stated).collect()}
+    assert merged["mbkm"] == ("As the catalog has it", "catalog") and merged["Kelas"][1] == "catalog" and "MBKM" not in merged
+    assert len(merged) == len(terms) + 1
+    years = {s.name: s for s in campus.gold_specs(spark, "Campus", years=(2019, 2020))}["dim_waktu"].build({})
+    assert years.count() == 24 and years.agg({"tahun": "min"}).first()[0] == 2019
     umt = catalog.unified_metadata(assets)
     assert umt.count() == 44 and catalog.in_layer(umt, "gold").count() == 14
 
