@@ -25,6 +25,7 @@ TREES, DEPTH, PREFIX = 20, 5, 3
 SIMILAR = 75  # per cent of the union that the intersection of linked sets has at least
 LIKELY = 0.53  # share of equal signature values from which a pair may be a link: five standard errors below 0.75
 REGION = 4096  # nodes of a window, and of a block of a parted region
+SALTS = 32  # tasks that share the rows of a region in a join
 WEIGHT = 4_000_000  # shingles of a family that are compared together
 GROUPED = 20_000  # rows that a task compares at a time, about
 
@@ -162,7 +163,10 @@ def missed(members: DataFrame, families: DataFrame) -> DataFrame:
     chosen by a hash of the node. If the others fit one block, the work is in proportion to the region.
     """
     several = members.groupBy("region").agg(F.min("unit").alias("_a"), F.max("unit").alias("_b")).where("_a <> _b").select("region")
-    named = members.select("region", "node").join(several, "region").join(families, "node", "left")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")  # a crowded region is many tasks' work in every join by region
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    wanted = members.select("region", "node", salt.alias("_salt")).join(several.withColumn("_salt", every), ["region", "_salt"])
+    named = wanted.join(families, "node", "left")
     own = stored(named.select("region", "node", F.coalesce("root", "node").alias("_family")), "near-parted")
     sizes = own.groupBy("region", "_family").agg(F.count("*").alias("_n"))
     largest = sizes.groupBy("region").agg(
@@ -172,7 +176,7 @@ def missed(members: DataFrame, families: DataFrame) -> DataFrame:
         "region", F.col("_top._family").alias("_main"),
         F.ceil(F.col("_top._n") / REGION).cast("int").alias("_mains"), F.ceil((F.col("_all") - F.col("_top._n")) / REGION).cast("int").alias("_others"),
     )
-    placed = own.join(counted, "region").withColumn("_in", F.col("_family") == F.col("_main"))
+    placed = own.withColumn("_salt", salt).join(counted.withColumn("_salt", every), ["region", "_salt"]).withColumn("_in", F.col("_family") == F.col("_main"))
     placed = placed.withColumn("_block", F.pmod(F.xxhash64("node"), F.when(F.col("_in"), F.col("_mains")).otherwise(F.col("_others"))).cast("int"))
     to_others = F.expr("transform(sequence(0, _others - 1), o -> IF(_in, struct(true AS m, _block AS x, o AS y), struct(false AS m, least(_block, o) AS x, greatest(_block, o) AS y)))")
     to_main = F.expr("IF(_in, array(), transform(sequence(0, _mains - 1), k -> struct(true AS m, k AS x, _block AS y)))")
