@@ -63,13 +63,29 @@ def permuted(rows: DataFrame, index: str, size: str, rank: str, epoch: str, name
     return rows.drop("_cut")
 
 
+def shard_counts(drawn: DataFrame, shards: int, chunk: int) -> DataFrame:
+    """How many draws of every (source, epoch) each output shard gets, and the place of its first one.
+
+    ``drawn`` has one row per (rank, epoch) with ``_draws``. Every draw picks a shard by hash, all shards alike, so the
+    counts of a source are one multinomial draw; the picks are counted where they are made, and only the counts are
+    shuffled. The shards then take consecutive places of the source, in the order of their numbers.
+    """
+    chunks = drawn.select("*", F.explode(F.expr(f"sequence(0L, (_draws - 1) div {chunk})")).alias("_chunk")).repartition("rank", "epoch", "_chunk")
+    picks = chunks.select("*", F.explode(F.expr(f"sequence(_chunk * {chunk}, least(_draws, (_chunk + 1) * {chunk}) - 1)")).alias("_draw"))
+    shard = F.pmod(F.xxhash64("rank", "epoch", "_draw"), F.lit(shards)).cast("int").alias("shard")
+    counts = picks.groupBy("rank", "epoch", "source_size", "blocks", "_left", shard).agg(F.count("*").alias("count"))
+    earlier = Window.partitionBy("rank", "epoch").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+
+
 def slots(plan: DataFrame, length: int, shards: int, chunk: int = 4096) -> DataFrame:
-    """The draws of a mix: (rank, epoch, place, block, words, shard), one row per block taken.
+    """The draws of a mix: (rank, epoch, shard, slot, place, block, words), one row per block taken.
 
     A source's target is drawn in whole epochs, each taking every block once, and a last one that stops when the target
-    is reached; its last block is cut there (so a source misses its target by less than a block). ``place`` counts the draws of an epoch and the source's permutation maps
-    it to a block. Given the number of draws, the counts per output shard are one multinomial draw per source: every
-    draw picks one of ``shards`` shards by hash. Draws are made from chunks, so a large source spreads over tasks.
+    is reached; its last block is cut there (so a source misses its target by less than a block). Every output shard
+    has a drawn number of blocks of each source and epoch (:func:`shard_counts`); its slots, counted from 0, stand at
+    consecutive places, which the source's permutation maps to blocks. Slots are made from chunks, so a large source
+    spreads over tasks.
     """
     words = F.least(F.round("target").cast("long"), F.col("source_size") * MOST)
     epochs = plan.where("source_size > 0").withColumn("_words", words).withColumn("blocks", F.ceil(F.col("source_size") / length).cast("long")).select(
@@ -77,13 +93,13 @@ def slots(plan: DataFrame, length: int, shards: int, chunk: int = 4096) -> DataF
     )
     drawn = epochs.withColumn("_left", F.least(F.col("source_size"), F.expr("_words - epoch * source_size"))).where("_left > 0")
     drawn = drawn.withColumn("_draws", F.ceil(F.col("_left") / length).cast("long"))
-    chunks = drawn.select("*", F.explode(F.expr(f"sequence(0L, (_draws - 1) div {chunk})")).alias("_chunk")).repartition("rank", "epoch", "_chunk")
-    each = chunks.select("*", F.explode(F.expr(f"sequence(_chunk * {chunk}, least(_draws, (_chunk + 1) * {chunk}) - 1)")).alias("place"))
-    mapped = permuted(each, "place", "blocks", "rank", "epoch", "block")
+    counts = shard_counts(drawn, shards, chunk)
+    chunks = counts.select("*", F.explode(F.expr(f"sequence(0L, (count - 1) div {chunk})")).alias("_chunk")).repartition("rank", "epoch", "shard", "_chunk")
+    each = chunks.select("*", F.explode(F.expr(f"sequence(_chunk * {chunk}, least(count, (_chunk + 1) * {chunk}) - 1)")).alias("slot"))
+    mapped = permuted(each.withColumn("place", F.col("start") + F.col("slot")), "place", "blocks", "rank", "epoch", "block")
     return mapped.select(
-        "rank", "epoch", "place", "block",
+        "rank", "epoch", "shard", "slot", "place", "block",
         F.when(F.col("_left") == F.col("source_size"), F.lit(length).cast("long")).otherwise(F.least(F.lit(length).cast("long"), F.expr(f"_left - place * {length}"))).alias("words"),
-        F.pmod(F.xxhash64("rank", "epoch", "place"), F.lit(shards)).cast("int").alias("shard"),
     )
 
 
@@ -92,20 +108,20 @@ def mix(documents: DataFrame, length: int = BLOCK, shards: int = 64, weights: tu
 
     ``sizes``: one row per document: doc_id, source, size (words; null text: 0), rank, source_size, target, before (its
     first word among the words of its source) and the columns named by ``carry``. ``plan``: one row per source. ``takes``: one row per document and draw
-    that touches it: rank, before, epoch, shard, first and last (words of the document, last excluded).
+    that touches it: rank, before, epoch, shard, slot, first and last (words of the document, last excluded).
 
-    The documents of a source are laid end to end, in an order that doc_id and size decide, and cut into blocks of
+    The documents of a source are laid end to end, in an order that doc_id, size and text decide, and cut into blocks of
     ``length`` words; the source's last block is shorter. Draws meet documents by (source, block). A document is taken
     at most ``most`` times, as a source's epochs are. Null sources form a source of their own; without any words every
-    target is 0. Rows of equal doc_id are separate documents.
+    target is 0. Rows of equal doc_id are separate documents. An empty table gives three empty tables.
     """
-    counted = documents.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    counted = documents.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_mark"))
     counted = stored(counted, "mix-sizes")
     plan = stored(targets(counted.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).coalesce(1), "mix-plan")
     known = counted.withColumnRenamed("source", "_source").join(plan, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
     spread = F.coalesce(F.col("doc_id"), F.col("size"))
-    placed = with_before(known, "rank", spread, [F.col("doc_id"), F.col("size")], F.col("size"), buckets, "before")
-    sizes = stored(placed, "mix-places")
+    placed = with_before(known, "rank", spread, [F.col("doc_id"), F.col("size"), F.col("_mark")], F.col("size"), buckets, "before")
+    sizes = stored(placed.drop("_mark"), "mix-places")
     pieces = sizes.where("size > 0").select(
         "rank", "before", "size", F.explode(F.expr(f"sequence(before div {length}, (before + size - 1) div {length})")).alias("block")
     )
@@ -113,7 +129,7 @@ def mix(documents: DataFrame, length: int = BLOCK, shards: int = 64, weights: tu
     joined = pieces.join(draws, ["rank", "block"])
     first = F.greatest(F.lit(0), F.expr(f"block * {length} - before"))
     last = F.least(F.col("size"), F.expr(f"block * {length} + words - before"))
-    takes = joined.select("rank", "before", "epoch", "shard", first.alias("first"), last.alias("last")).where("last > first")
+    takes = joined.select("rank", "before", "epoch", "shard", "slot", first.alias("first"), last.alias("last")).where("last > first")
     return sizes, plan, takes
 
 

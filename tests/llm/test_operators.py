@@ -190,6 +190,27 @@ def test_mix(spark, sf, odd, none):
     assert set(mixed_texts(odd).columns) == set(odd.columns) and mixed_texts(none).collect() == []
 
 
+def test_shard_draws(spark):
+    """Counts per shard are drawn like multinomials, and the slots of all shards together are every place once."""
+    from strata.llm.mixing import slots
+
+    plan = spark.createDataFrame([(0, 64 * 5000, 64 * 7500.0), (1, 100, 150.0), (2, 0, 0.0)], "rank long, source_size long, target double")
+    rows = slots(plan, 64, 16, chunk=100).collect()
+    places, counts = {}, Counter()
+    for r in rows:
+        places.setdefault((r.rank, r.epoch), []).append((r.place, r.block, r.words))
+        counts[r.rank, r.epoch, r.shard] += 1
+    assert {k: len(v) for k, v in places.items()} == {(0, 0): 5000, (0, 1): 2500, (1, 0): 2, (1, 1): 1}
+    for held in places.values():
+        assert sorted(p for p, _, _ in held) == list(range(len(held))) and len({b for _, b, _ in held}) == len(held)
+    assert sum(w for _, _, w in places[0, 1]) == 64 * 2500 and [w for _, _, w in places[1, 1]] == [50]
+    spread = sum((counts[0, 0, s] - 312.5) ** 2 / 312.5 for s in range(16))
+    assert 3 < spread < 45  # neither equal shares nor a skewed draw (15 degrees of freedom)
+    for (rank, epoch, shard), n in counts.items():
+        own = sorted((r.slot, r.place) for r in rows if (r.rank, r.epoch, r.shard) == (rank, epoch, shard))
+        assert [a for a, _ in own] == list(range(n)) and [b - own[0][1] for _, b in own] == list(range(n))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
 def test_permutation(spark, n):
     from strata.llm.mixing import permuted
