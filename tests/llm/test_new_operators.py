@@ -227,7 +227,7 @@ def test_columns_with_the_operators_own_names(spark):
     names = ["cell", "depth", "pages", "_hash", "_text", "_bucket", "in_0"]
     rows = [(i, "AB"[i % 2] * 3 if i % 3 else None, *[f"{n}{i}" for n in names]) for i in range(12)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
-    found = deduplicate(frame, buckets=2, bits=3)
+    found = deduplicate(frame, capacity=2, start=1)
     assert found.columns == [*frame.columns, "keep_id", "group_size", "kept", "text_sha256"]
     for r in found.collect():
         assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r.keep_id >= r.doc_id and r.kept == (r.keep_id == r.doc_id)

@@ -507,7 +507,7 @@ def test_exact(spark, odd, none):
         return groups
 
     hot = [(i, "same TEXT" if i % 3 else f"text {i}") for i in range(900)]
-    for frame, rows, size in ((odd, [(r.doc_id, r.text) for r in odd.collect()], {}), (spark.createDataFrame(hot, "doc_id long, text string").repartition(7), hot, {"buckets": 16, "bits": 6})):
+    for frame, rows, size in ((odd, [(r.doc_id, r.text) for r in odd.collect()], {}), (spark.createDataFrame(hot, "doc_id long, text string").repartition(7), hot, {"capacity": 16, "start": 1})):
         groups = expected(rows)
         got = deduplicate(frame, **size).collect()
         assert len(got) == len(rows)
@@ -519,6 +519,34 @@ def test_exact(spark, odd, none):
     assert deduplicate(none).collect() == []
 
 
+def test_directory_grows(spark, monkeypatch):
+    """More rows give a deeper directory and buckets of the same size; a deep one is joined, not broadcast."""
+    from pyspark.sql import functions as F
+    from strata.llm import exact
+
+    depths = []
+    for n in (100, 10000):
+        hashes = spark.range(n).select(F.xxhash64("id").alias("hash"))
+        found, bits = exact.directory(hashes, 64, 2, n)
+        depths.append(bits)
+        cells = {r.cell: (r.depth, r.pages) for r in found.collect()}
+        held = Counter()
+        for r in hashes.collect():
+            cell = (r.hash % 2**64) >> (64 - bits)
+            held[cell >> (bits - cells[cell][0]), cells[cell][0]] += 1
+        assert max(held.values()) <= 64 and {p for _, p in cells.values()} == {1}
+        for bucket, depth in held:  # no bucket lies within another
+            assert not any((bucket >> up, depth - up) in held for up in range(1, depth + 1))
+    assert depths[0] == 6 and depths[1] == 12
+    monkeypatch.setattr(exact, "BROADCAST", 0)
+    rows = spark.createDataFrame([(i, f"t{i % 40}" if i % 2 else "copy") for i in range(400)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.deduplicate(rows, capacity=8, start=1).collect()}
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.text, []).append(r.doc_id)
+    assert got == {i: (max(g), len(g)) for g in groups.values() for i in g}
+
+
 def test_pipeline_keeps_uncertain_languages(spark, sf, monkeypatch):
     import corpus_pipeline
     from pyspark.sql import functions as F
