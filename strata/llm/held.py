@@ -42,3 +42,21 @@ class Memory:
             self.older, self.newer, self.size = self.newer, {}, 0
         self.newer.update(found)
         self.size += cost
+
+
+def trim() -> None:
+    """Give what this worker has freed back to the system: workers live on after their tasks, beside those of other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if give_back is not None:
+        give_back(0)
+
+
+def release() -> None:
+    """Forget the object that the worker holds for another operator, and :func:`trim`."""
+    _held.clear()
+    trim()

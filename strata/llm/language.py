@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.held import Memory, held
+from strata.llm.held import Memory, held, trim
 from strata.llm.names import fresh
 SAMPLE = 1000  # labelled documents per language that the model is fitted on, at most
 LANGUAGES = 200  # languages that are learned and scored together; more are taken in several groups
@@ -336,5 +336,6 @@ def _scored(vocabulary: str, names: list[str], probability: np.ndarray):
                         own = {"name": names[best] if total[best] > top else own["name"], "top": most, "share": share}
                     found.append(own)
             yield pa.array(found, pa.struct([("name", pa.string()), ("top", pa.float64()), ("share", pa.float64())]))
+        trim()
 
     return scored

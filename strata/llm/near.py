@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import shingles
 from strata.llm.components import connected
+from strata.llm.held import release, trim
 from strata.llm.stored import passing, stored
 
 TREES, DEPTH, PREFIX = 20, 5, 3
@@ -54,6 +55,7 @@ def sketch(documents: DataFrame) -> DataFrame:
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary())],
                 names=["doc_id", "n_shingles", "node", "signature"],
             )
+        release()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, node binary, signature binary"
@@ -148,6 +150,7 @@ def windows(batches, most: int):
                 yield found
     if len(keys) and (found := step(True)) is not None:
         yield found
+    release()
 
 
 def _named(rows: np.ndarray) -> np.ndarray:
@@ -215,6 +218,7 @@ def _pairs(table: pa.Table, key: str, joined) -> pa.Table:
         for x, y in joined(rows):
             left.append(nodes[x])
             right.append(nodes[y])
+    trim()
     return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
 
@@ -318,6 +322,7 @@ def _grouped(documents: DataFrame) -> DataFrame:
             found = [(n, s.tobytes()) for n, t in zip(part.column("node").to_pylist(), part.column("text").to_pylist())
                      if hashlib.blake2b((s := shingles.shingle_set(t)).tobytes(), digest_size=16).digest() == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["node", "items"])
+        release()
 
     wanted = units.select("label", "node").distinct().hint("merge")  # the same plan at every size
     texts = documents.select(F.col("doc_id").cast("long").alias("label"), "text").join(wanted, "label").select("node", "text")
