@@ -34,6 +34,7 @@ from strata.functions.numbers import (
     target_status,
 )
 from strata.functions.predicates import any_of
+from strata.operators.containment import containing
 from strata.operators.dims import literal_table
 from strata.operators.refine import union_all
 
@@ -392,27 +393,35 @@ def kpi_summary(fact: DataFrame, table_name: str, value: str, unit: str = "%") -
     )
 
 
-def match_kpi_assets(assets: DataFrame, kpis: Sequence[Mapping[str, str]]) -> DataFrame:
+def match_kpi_assets(assets: DataFrame, kpis: DataFrame | Sequence[Mapping[str, str]]) -> DataFrame:
     """The asset of each KPI (``code``, ``fact``): by name, qualified name, part of the name or stated code.
 
-    One pass over the assets marks the codes a row matches; of several matches the first
-    qualified name counts. KPIs without an asset are absent.
+    KPIs may be a table of any size: names and stated codes are equi-joins, containment goes by posted n-grams. An asset
+    counts once per code; of several matches the first qualified name counts. KPIs without an asset are absent.
     """
-    name = F.coalesce("name", F.lit(""))
-    qualified = F.coalesce("qualified_name", F.lit(""))
-    stated = json_field("profiling", "kpi.iku_code")
-
-    def matches(kpi: Mapping[str, str]) -> Column:
-        by_part = (F.col("layer") == "gold") & name.contains(kpi["fact"].replace("fact_", ""))
-        hit = (name == kpi["fact"]) | qualified.contains(kpi["fact"]) | by_part | (stated == kpi["code"])
-        return F.when(F.coalesce(hit, F.lit(False)), F.lit(kpi["code"]))
-
-    codes = F.array_compact(F.array(*[matches(k) for k in kpis]))
-    return (
-        assets.select(F.explode(codes).alias("code"), "qualified_name")
-        .groupBy("code")
-        .agg(F.min("qualified_name").alias("qualified_name"), F.count(F.lit(1)).alias("matches"))
-    )
+    if not isinstance(kpis, DataFrame):
+        kpis = assets.sparkSession.createDataFrame([(k["code"], k["fact"]) for k in kpis], "code string, fact string")
+    kpis = kpis.select("code", "fact").where("code IS NOT NULL").distinct()
+    parts = kpis.select("code", F.replace("fact", F.lit("fact_"), F.lit("")).alias("pattern")).distinct()
+    own = ["name", "qualified", "is_gold", "stated", "qualified_name"]
+    known = assets.select(
+        F.coalesce("name", F.lit("")).alias("name"),
+        F.coalesce("qualified_name", F.lit("")).alias("qualified"),
+        F.col("layer").eqNullSafe("gold").alias("is_gold"),
+        json_field("profiling", "kpi.iku_code").alias("stated"),
+        "qualified_name",
+    ).groupBy(*own).agg(F.count(F.lit(1)).alias("copies"))
+    gold = known.where("is_gold")
+    in_qualified = containing(known.select("qualified"), kpis.select("fact")).withColumnsRenamed({"text": "qualified", "pattern": "fact"})
+    in_name = containing(gold.select("name"), parts.select("pattern")).withColumnRenamed("text", "name")
+    hits = [
+        known.join(kpis.select("code", F.col("fact").alias("name")), "name"),
+        known.join(in_qualified, "qualified").join(kpis, "fact"),
+        gold.join(in_name, "name").join(parts, "pattern"),
+        known.join(kpis.select("code", F.col("code").alias("stated")).distinct(), "stated"),
+    ]
+    found = reduce(DataFrame.unionByName, [h.select("code", *own, "copies") for h in hits]).distinct()
+    return found.groupBy("code").agg(F.min("qualified_name").alias("qualified_name"), F.sum("copies").alias("matches"))
 
 
 def progress(scores: DataFrame) -> DataFrame:

@@ -548,6 +548,23 @@ def kpi_asset_match(spark, sf_dir):
     return kpi.match_kpi_assets(document_assets(spark, sf_dir), kpis)
 
 
+@query(
+    _sql(
+        f"""SELECT 'IKU-' || c_custkey AS code, min(qualified_name) AS qualified_name, count(*) AS matches FROM assets, customer
+            WHERE name = 'fact_doc_' || c_custkey OR contains(qualified_name, 'fact_doc_' || c_custkey)
+               OR (layer = 'gold' AND contains(name, 'doc_' || c_custkey)) OR {_jp("kpi.iku_code")} = 'IKU-' || c_custkey
+            GROUP BY c_custkey"""
+    )
+)
+def kpi_asset_match_all(spark, sf_dir):
+    """One indicator per customer against the assets of all documents."""
+    key = F.col("c_custkey").cast("string")
+    kpis = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("IKU-"), key).alias("code"), F.concat(F.lit("fact_doc_"), key).alias("fact")
+    )
+    return kpi.match_kpi_assets(document_assets(spark, sf_dir), kpis)
+
+
 @query(
     _sql(
         """SELECT 'silver' AS layer, '2024-07-01T00:00:00Z' AS generated_at, count(*) AS datasets,

@@ -1,8 +1,11 @@
 """KPI facts on hand-made rows."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from strata.operators import kpi
+from strata.operators import containment, kpi
 
 TARGETS = {2023: {"K": 77, "L": "BB"}, 2024: {"K": 50, "L": "BB", "M": 80}, 2025: {"K": 60, "L": "A"}}
 
@@ -163,6 +166,37 @@ def test_match_kpi_assets(spark, rows):
     ]
 
 
+def test_match_kpi_assets_counts_each_asset_once(spark, rows):
+    """Repeated rows count, repeated indicators and several reasons do not; null takes no part; an empty part fits all gold names."""
+    assets = spark.createDataFrame(
+        [("gold.fact_a@l", "fact_a", "gold", '{"kpi":{"iku_code":"A"}}'), ("gold.fact_a@l", "fact_a", "gold", '{"kpi":{"iku_code":"A"}}'), (None, None, None, None), ("x", "a", "silver", None)],
+        "qualified_name string, name string, layer string, profiling string",
+    )
+    kpis = spark.createDataFrame([("A", "fact_a", 1), ("A", "fact_a", 2), ("A", "gold", 3), ("E", "fact_", 4), (None, "x", 5), ("N", None, 6)], "code string, fact string, extra int")
+    assert rows(kpi.match_kpi_assets(assets, kpis)) == [("A", "gold.fact_a@l", 2), ("E", "gold.fact_a@l", 2)]
+    assert kpi.match_kpi_assets(assets.limit(0), kpis).isEmpty() and kpi.match_kpi_assets(assets, kpis.limit(0)).isEmpty()
+
+
+def test_containing_equals_brute_force(spark, rows):
+    """Random strings of few letters, also none and beyond the Unicode base plane, against every pair."""
+    draw = random.Random(5)
+    make = lambda most: "".join(draw.choice("aab_\U0001f600é") for _ in range(draw.randint(0, most)))
+    texts, patterns = [make(40) for _ in range(150)] + [None], [make(12) for _ in range(150)] + [None]
+    got = rows(containment.containing(*(spark.createDataFrame([(x,) for x in xs], f"{c} string") for c, xs in (("t", texts), ("p", patterns)))))
+    assert got == sorted({(t, p) for t in texts for p in patterns if t is not None and p is not None and p in t}, key=repr)
+
+
+def test_indicator_plan_does_not_grow(spark, sf):
+    """The plan of ten thousand indicators is the plan of ten, without a nested loop."""
+    from strata.queries.assets import document_assets
+
+    assets = document_assets(spark, sf)
+    size = lambda n: len(kpi.match_kpi_assets(assets, [{"code": f"C{i}", "fact": f"fact_doc_{i}"} for i in range(n)])._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(10) == size(10_000)
+    plan = kpi.match_kpi_assets(assets, assets.select(F.col("name").alias("code"), F.col("name").alias("fact")))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_gold_profile_of_dimension(spark):
     got = kpi.gold_profile(spark.range(3), "d", "dimension", ["generated"]).first()
     assert (got.row_count, got.column_count, got.schema, got.sample_kpi) == (3, 1, {"id": "LongType()"}, None)
