@@ -23,7 +23,7 @@ from strata.operators.kpi import gold_profile, kpi_summary
 from strata.operators.refine import union_all
 from strata.sources.read import read_staging_or_none, read_table
 from strata.sources.runlog import append_run, run_record
-from strata.sources.write import create_namespace, replace_files, replace_table
+from strata.sources.write import create_namespace, replace_files, replace_table, settle_files, settle_table
 
 log = logging.getLogger(__name__)
 
@@ -44,9 +44,11 @@ class Lake:
     def read(self, layer: str, name: str, batches: bool = False) -> DataFrame:
         """A table; of one that grows by batches the rows of all, with the batch of each if ``batches``."""
         if self.root is None:
+            settle_table(self.spark, f"{layer}.{name}")
             table = read_table(self.spark, f"{layer}.{name}")
         else:
             path = f"{self.root}/{layer}/{name}"
+            settle_files(self.spark, path)
             table = self.spark.read.option("mergeSchema", batches).parquet(path)
         return table if batches else table.drop(LOAD)
 

@@ -174,6 +174,67 @@ def test_a_table_is_replaced_from_itself(spark, tmp_path, rows):
     assert rows(write.replace_table(spark.table("strata_kept.own").where("id > 1"), "strata_kept.own")) == [(2,), (3,)]
 
 
+@pytest.mark.parametrize("same_layout", [True, False])
+@pytest.mark.parametrize("cut", range(4))
+def test_a_cut_off_replacement_leaves_the_old_or_the_new_table(spark, monkeypatch, rows, same_layout, cut):
+    """The process ends before its n-th statement that changes the catalog; whoever reads next finds all rows of one state."""
+    from strata.plans.layers import Lake
+
+    name = f"cut_{cut}_{same_layout}".lower()
+    lake = Lake(spark)
+    lake.replace(spark.range(2).toDF("id"), "strata_cut", name)
+    fresh = spark.range(5, 8).toDF("id") if same_layout else spark.range(5, 8).select(F.col("id").cast("string").alias("id"))
+    plain, calls = type(spark).sql, []
+
+    def dying(self, text, *args, **kwargs):
+        if text.startswith(("ALTER", "DROP")):
+            calls.append(text)
+            if len(calls) > cut:
+                raise KeyboardInterrupt(text)
+        return plain(self, text, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark), "sql", dying)
+    try:
+        write.replace_table(fresh, f"strata_cut.{name}")
+        ended = True
+    except KeyboardInterrupt:
+        ended = False
+    monkeypatch.setattr(type(spark), "sql", plain)
+    assert ended == (cut >= (1 if same_layout else 3))
+    switched = cut >= (1 if same_layout else 2)
+    assert rows(lake.read("strata_cut", name)) == rows(fresh if switched else spark.range(2).toDF("id"))
+    assert rows(lake.replace(fresh, "strata_cut", name)) == rows(fresh)
+    assert rows(lake.replace(spark.range(1).toDF("other"), "strata_cut", name)) == [(0,)]
+
+
+def test_an_undeleted_version_does_not_come_back(spark, monkeypatch, rows):
+    """A switch that is cut off before it deletes the old version leaves files in the table's own folder; the table may be replaced by any layout."""
+    write.create_namespace(spark, "strata_left")
+    write.replace_table(spark.range(2).toDF("id"), "strata_left.t")
+    plain = type(spark.catalog).refreshTable
+
+    def dying(self, name):
+        raise KeyboardInterrupt(name)
+
+    monkeypatch.setattr(type(spark.catalog), "refreshTable", dying)
+    with pytest.raises(KeyboardInterrupt):
+        write.replace_table(spark.range(3).toDF("id"), "strata_left.t")
+    monkeypatch.setattr(type(spark.catalog), "refreshTable", plain)
+    assert spark.table("strata_left.t").count() == 3
+    assert rows(write.replace_table(spark.range(1).select(F.lit("x").alias("other")), "strata_left.t")) == [("x",)]
+
+
+def test_a_cut_off_replacement_of_files_is_settled(spark, tmp_path, rows):
+    from strata.plans.layers import Lake
+
+    lake = Lake(spark, str(tmp_path))
+    lake.replace(spark.range(2).toDF("id"), "gold", "t")
+    (tmp_path / "gold" / "t").rename(tmp_path / "gold" / "_t-old-1")  # what a crash after the first rename leaves
+    spark.range(3).write.parquet(str(tmp_path / "gold" / "_t-new-1"))
+    assert rows(lake.read("gold", "t")) == [(0,), (1,)]
+    assert rows(lake.replace(spark.range(1).toDF("id"), "gold", "t")) == [(0,)]
+
+
 def test_reports_of_any_shape_by_time(spark, tmp_path):
     """Files and folders of JSON; the newest of a kind by file time, other files left out."""
     import os
