@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strata.functions import dates, documents, numbers, predicates, text
 from strata.operators import catalog, governance, kpi, runs
 from strata.operators.dims import MONTHS, TERMS
-from strata.queries import query, table
+from strata.queries import ORACLE, query, table
 from strata.queries.assets import AS_OF, document_assets
 from strata.queries.kpis import FALLBACK, TARGETS, _kpi, _targets_sql, rounded
 from strata.queries.refinement import MONTH_CASE
@@ -178,14 +178,7 @@ def first_match(spark, sf_dir):
     )
 
 
-@query(
-    """SELECT 'X-1' AS experiment_id, count(*) AS pipelines, CAST(sum(duration) AS DOUBLE) AS pipeline_runtime_total_sec,
-              CAST(3 AS INTEGER) AS quality_layers, CAST(3 AS INTEGER) AS coverage_layers, (SELECT count(*) FROM documents) AS umt_rows
-       FROM (SELECT event_type, CAST(value AS DECIMAL(18,3)) AS duration, row_number() OVER
-                    (PARTITION BY event_type ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1"""
-)
-def experiment_summary(spark, sf_dir):
-    """Run times, metadata quality, coverage and catalog size in one row."""
+def _experiment(spark, sf_dir):
     assets = document_assets(spark, sf_dir)
     records = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("pipeline"),
@@ -193,7 +186,7 @@ def experiment_summary(spark, sf_dir):
         F.col("value").alias("duration_sec"),
         F.lit(1).cast("bigint").alias("rows_written"),
     )
-    summary = runs.experiment_summary(
+    return runs.experiment_summary(
         "X-1",
         AS_OF,
         records,
@@ -201,7 +194,17 @@ def experiment_summary(spark, sf_dir):
         governance.coverage(assets),
         catalog.unified_metadata(assets),
     )
-    return summary.select(
+
+
+@query(
+    """SELECT 'X-1' AS experiment_id, count(*) AS pipelines, CAST(sum(duration) AS DOUBLE) AS pipeline_runtime_total_sec,
+              CAST(3 AS INTEGER) AS quality_layers, CAST(3 AS INTEGER) AS coverage_layers, (SELECT count(*) FROM documents) AS umt_rows
+       FROM (SELECT event_type, CAST(value AS DECIMAL(18,3)) AS duration, row_number() OVER
+                    (PARTITION BY event_type ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1"""
+)
+def experiment_summary(spark, sf_dir):
+    """Run times, metadata quality, coverage and catalog size in one row."""
+    return _experiment(spark, sf_dir).select(
         "experiment_id",
         F.size("pipelines").cast("bigint").alias("pipelines"),
         "pipeline_runtime_total_sec",
@@ -211,6 +214,27 @@ def experiment_summary(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT event_type AS pipeline, value AS duration_sec, CAST(1 AS BIGINT) AS rows_written
+       FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1"""
+)
+def experiment_pipelines(spark, sf_dir):
+    """The runs that the summary lists."""
+    return _experiment(spark, sf_dir).select(F.inline("pipelines"))
+
+
+@query(ORACLE["metadata_quality_layers"])
+def experiment_quality(spark, sf_dir):
+    """The metadata quality that the summary lists, by layer."""
+    return _experiment(spark, sf_dir).select(F.inline("metadata_quality"))
+
+
+@query(ORACLE["metadata_coverage"])
+def experiment_coverage(spark, sf_dir):
+    """The coverage that the summary lists, by layer."""
+    return _experiment(spark, sf_dir).select(F.inline("metadata_coverage"))
+
+
 _REPORTED = ("customer", "orders", "events", "documents")
 
 
