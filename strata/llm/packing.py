@@ -43,9 +43,9 @@ def pieces_of(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY, p
 
         encode = encoder(vocabulary)
         end = np.array([END], "<u4").tobytes()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", most_rows=1024):
             rows: list[tuple] = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode.encode(part.column("text").to_pylist())):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode.encode(part.column("text"))):
                 ids += end
                 n = len(ids) // 4
                 rows += [(doc_id, a, size, zlib.crc32(ids[4 * a : 4 * (a + size)]), n) for a, size in cuts(n, capacity, piece)]

@@ -254,6 +254,30 @@ def test_special_tokens_are_those_of_the_library():
             assert (np.frombuffer(want[1], "<u4").size == 1) == (not as_text)
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_word_is_learned_once_whatever_marks_follow(file, monkeypatch):
+    from strata.llm.tokens import Encoder
+
+    encoder, learned = Encoder(llm.vocabulary(file)), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new, *rest: learned.append(len(new)) or learn(new, *rest))
+    words, marks = [f"qu{a}x{b}ö" for a in "bcdfg" for b in "klmnp"], [".", ",", "!?", ")", ""]
+    texts = ["so " + " ".join(w + m for w in words for m in marks), "\n".join(f"so {w}" for w in words)]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want == encoder.encode(texts)
+    assert sum(learned) <= len(words) + 5
+
+
+def test_zero_characters_and_odd_white_space_are_encoded_as_they_stand():
+    from strata.llm.tokens import Encoder
+
+    texts = ["a \0b", "\0a b", "\0", "\0\0x y.", "a\n\0b c", "\1a \1b", "\nab", "a\x85\u2028b c", "x \xa0y z", "ab\x1c\x1d c d.", "née, à l'été 12 中文 ok", " ", "  ", "\n", "a ", None]
+    for file in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = Encoder(llm.vocabulary(file))
+        want = [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.encode(texts) == want == [encoder.encode([t])[0] for t in texts] and encoder.encode([]) == []
+
+
 def test_a_memory_is_bounded_and_keeps_what_is_used(monkeypatch):
     from strata.llm import tokens
     from strata.llm.held import Memory, held
