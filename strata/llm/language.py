@@ -67,9 +67,8 @@ class Pieces:
     def __init__(self, pieces: dict[str, int]):
         self.numbers = pieces
         self.longest = max(map(len, pieces), default=1)
-        self.powers = np.cumprod(np.full(STRETCH + 2, self._BASE, np.uint64)).reshape(1, -1)
-        self.inverse = np.cumprod(np.full(STRETCH + 2, pow(self._BASE, -1, 1 << 64), np.uint64))
-        names = [n for n in pieces if len(n) <= STRETCH + 1]
+        self._powers_up_to(max(STRETCH + 2, self.longest))
+        names = list(pieces)
         hashes = np.zeros(len(names), np.uint64)
         sizes = np.fromiter(map(len, names), np.int64, len(names))
         for n in np.unique(sizes):
@@ -80,8 +79,14 @@ class Pieces:
         self.ids = np.array([pieces[n] for n in names], np.int32)[order]
         assert (np.diff(self.hashes) > 0).all()
 
+    def _powers_up_to(self, n: int) -> None:
+        self.powers = np.cumprod(np.full(n, self._BASE, np.uint64)).reshape(1, -1)
+        self.inverse = np.cumprod(np.full(n, pow(self._BASE, -1, 1 << 64), np.uint64))
+
     def sums(self, words: list[str], n: int) -> np.ndarray:
         """Running sums of words of ``n`` characters, from 0 to ``n`` characters."""
+        if n > self.powers.shape[1]:
+            self._powers_up_to(n)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64)
         found = np.zeros((len(words), n + 1), np.uint64)
         np.cumsum((codes + np.uint64(1)) * (codes + np.uint64(0x51ED27)) * self.powers[:, :n], axis=1, out=found[:, 1:])
@@ -305,37 +310,37 @@ def identify(documents: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds
     groups = learn(documents, vocabulary, sample, rounds)
     kept = [c for c in documents.columns if c not in ("held_out", "lang_pred", "score")]
     found = fresh(kept, "_found")[0]
-    frame = documents.select(*kept, held_out(F.col("doc_id")).alias("held_out"), F.lit(None).cast(FOUND).alias(found))
+    frame = documents.select(*kept, F.lit(None).cast(FOUND).alias(found))
     for names, probability in groups:
-        frame = frame.withColumn(found, _scored(vocabulary, names, probability)("text", found))
+        frame = _scored(frame, found, vocabulary, names, probability)
     share = F.when(F.col(f"{found}.name").isNull(), 0.0).otherwise(1 / F.col(f"{found}.share"))
-    return frame.select(*kept, "held_out", F.coalesce(f"{found}.name", F.lit("und")).alias("lang_pred"), share.alias("score"))
+    name = F.coalesce(f"{found}.name", F.lit("und"))
+    return frame.select(*kept, held_out(F.col("doc_id")).alias("held_out"), name.alias("lang_pred"), share.alias("score"))
 
 
 FOUND = "struct<name: string, top: double, share: double>"  # the best language so far, its log probability, the sum of all languages' shares of it
 
 
-def _scored(vocabulary: str, names: list[str], probability: np.ndarray):
-    """A column function of text and what was found so far: the same with the languages ``names``. Only these columns go to Python."""
+def _scored(frame: DataFrame, found: str, vocabulary: str, names: list[str], probability: np.ndarray) -> DataFrame:
+    """``frame`` with what was found so far of its texts, and after that the same with the languages ``names``."""
     key = ("languages", vocabulary, probability.tobytes())
+    place, text = frame.columns.index(found), next(c for c in frame.columns if c.lower() == "text")
 
-    @F.arrow_udf(FOUND)
-    def scored(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strata.llm.tokens import slices
 
         scorer = held(key, lambda: Scorer(vocabulary, probability))
-        for texts, before in columns:
-            found = []
-            for part in slices([pa.RecordBatch.from_arrays([texts, before], names=["text", "before"])], "text"):
-                for total, own in zip(scorer.totals(part.column("text").to_pylist()), part.column("before").to_pylist()):
-                    if total is not None:
-                        best, top = int(total.argmax()), own["top"] if own else -np.inf
-                        most = max(top, float(total[best]))
-                        here = float(np.exp(np.maximum(total - most, -700)).sum())
-                        share = here + (own["share"] * float(np.exp(max(top - most, -700.0))) if own else 0.0)
-                        own = {"name": names[best] if total[best] > top else own["name"], "top": most, "share": share}
-                    found.append(own)
-            yield pa.array(found, pa.struct([("name", pa.string()), ("top", pa.float64()), ("share", pa.float64())]))
+        for part in slices(batches, text):
+            rows = []
+            for total, own in zip(scorer.totals(part.column(text).to_pylist()), part.column(found).to_pylist()):
+                if total is not None:
+                    best, top = int(total.argmax()), own["top"] if own else -np.inf
+                    most = max(top, float(total[best]))
+                    here = float(np.exp(np.maximum(total - most, -700)).sum())
+                    share = here + (own["share"] * float(np.exp(max(top - most, -700.0))) if own else 0.0)
+                    own = {"name": names[best] if total[best] > top else own["name"], "top": most, "share": share}
+                rows.append(own)
+            yield part.set_column(place, part.schema.field(found), pa.array(rows, part.schema.field(found).type))
         trim()
 
-    return scored
+    return frame.mapInArrow(run, frame.schema)
